@@ -321,8 +321,11 @@ STEPS: dict[str, tuple[str, list[str]]] = {
 }
 
 
-def sql(final: str, *names: str) -> str:
-    """``WITH`` clause of the named steps (and their inputs) followed by the final SELECT."""
+def sql(final: str, *names: str, ev_filter: str | None = None) -> str:
+    """``WITH`` clause of the named steps (and their inputs) followed by the final SELECT.
+
+    ``ev_filter`` restricts the events every step starts from.
+    """
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -335,4 +338,7 @@ def sql(final: str, *names: str) -> str:
         visit(name)
     if not order:
         return final
-    return "WITH " + ",\n".join(f"{n} AS ({STEPS[n][0]})" for n in order) + "\n" + final
+    texts = {n: STEPS[n][0] for n in order}
+    if ev_filter:
+        texts["ev"] += f" WHERE {ev_filter}"
+    return "WITH " + ",\n".join(f"{n} AS ({t})" for n, t in texts.items()) + "\n" + final

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from sleuthgraph.functions import fixed
+from sleuthgraph.operators import events as e
 from sleuthgraph.operators import graph as g
+from sleuthgraph.operators import iterate
 from sleuthgraph.operators import mentions as m
 from sleuthgraph.operators import prune as p
 from sleuthgraph.operators import roles as r
+from sleuthgraph.operators import threat
+from sleuthgraph.plans import incident
+from sleuthgraph.plans.lineage import cut
 
+from . import oracle_text  # noqa: F401  (adds SQL steps)
 from . import workload as w
-from .oracle import sql
+from .catalog import catalog
+from .oracle import STEPS, basename, sql
 from .registry import micros, query
 
 
@@ -80,3 +90,219 @@ def merged_links(spark, sf):
 @query(sql("SELECT node_id, risk, role, outside AS external, touched_by_alert FROM roles", "roles"))
 def node_roles(spark, sf):
     return r.assign_roles(built(spark, sf)).nodes.select("node_id", "risk", "role", "external", "touched_by_alert")
+
+
+# --- reading and pruning ---------------------------------------------------------------------
+
+@query(sql("""SELECT count(*) AS events, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM links) AS links,
+  epoch_us(min(time)) AS window_from, epoch_us(max(time)) AS window_to, string_agg(DISTINCT source, ',' ORDER BY source) AS sources
+  FROM ev""", "nodes", "ev"))
+def graph_summary(spark, sf):
+    events = w.events(spark, sf)
+    return g.graph_summary(events, g.build_graph(events)).select(
+        "events", "nodes", "links", micros("window_from").alias("window_from"), micros("window_to").alias("window_to"),
+        F.array_join("sources", ",").alias("sources"))
+
+
+@query(sql("""SELECT node_id, prop, value FROM (
+  SELECT node_id, 'cmdline' AS prop, first(cmd ORDER BY time, uid) AS value FROM (
+    SELECT k.uid, ev.time, k.proc_key AS node_id, CASE WHEN k.class_name = 'Process Activity' THEN k.proc_cmdline END AS cmd
+    FROM keyed k JOIN ev USING (uid)) WHERE node_id IS NOT NULL AND cmd IS NOT NULL GROUP BY node_id
+  UNION ALL SELECT node_id, 'domain', first(actor_domain ORDER BY time, uid) FROM (
+    SELECT uid, time, user_key AS node_id, actor_domain FROM keyed WHERE class_name NOT IN ('Email Activity', 'DNS Activity'))
+    WHERE node_id IS NOT NULL AND actor_domain IS NOT NULL GROUP BY node_id)""", "keyed", "ev"))
+def node_properties(spark, sf):
+    return g.node_props(m.entity_mentions(w.events(spark, sf), with_props=True)).where("prop IN ('cmdline', 'domain')")
+
+
+@query(sql("""SELECT source, target, rel, first(detail ORDER BY time, uid) AS detail FROM relations JOIN facts USING (uid)
+  WHERE detail IS NOT NULL GROUP BY source, target, rel""", "relations", "facts"))
+def link_properties(spark, sf):
+    return g.link_details(m.relation_mentions(w.events(spark, sf)))
+
+
+@query(sql("""SELECT node_id, uid, n AS position FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY time, uid) AS n
+  FROM (SELECT DISTINCT coalesce(new_id, node_id) AS node_id, uid, time FROM mentions JOIN facts USING (uid)
+        LEFT JOIN alias ON node_id = old_id)) WHERE n <= 200""", "mentions", "facts", "alias"))
+def node_event_sample(spark, sf):
+    events = w.events(spark, sf)
+    mentions = m.entity_mentions(events)
+    aliases = g.find_aliases(g.aggregate_nodes(mentions), g.aggregate_links(m.relation_mentions(events)))
+    return g.sample_uids(g.node_events(mentions, aliases), ["node_id"]).select("node_id", "uid", F.col("position").cast("bigint").alias("position"))
+
+
+TOP_USER = "(SELECT node_id FROM nodes WHERE type = 'user' ORDER BY risk DESC, label, node_id LIMIT 1)"
+
+
+def top_user(graph):
+    return g.ordered_nodes(graph.nodes.where("type = 'user'")).first().node_id
+
+
+@query(sql(f"""SELECT DISTINCT uid FROM mentions LEFT JOIN alias ON node_id = old_id
+  WHERE coalesce(new_id, node_id) = {TOP_USER}""", "mentions", "alias", "nodes"))
+def events_behind_node(spark, sf):
+    events = w.events(spark, sf)
+    mentions = m.entity_mentions(events)
+    graph = g.build_graph(events)
+    aliases = g.find_aliases(g.aggregate_nodes(mentions), g.aggregate_links(m.relation_mentions(events)))
+    chosen = spark.createDataFrame([(top_user(graph),)], "node_id string")
+    return e.events_of_node(events, chosen, g.node_events(mentions, aliases), limit=None).select("uid")
+
+
+@query(sql("""SELECT 'node' AS kind, node_id AS id FROM nodes WHERE type IN ('user', 'host', 'ip')
+  UNION ALL SELECT 'link', source || '>' || rel || '>' || target FROM links WHERE
+  (split_part(source, ':', 1) IN ('user', 'host') AND split_part(target, ':', 1) IN ('user', 'host')) OR
+  (split_part(source, ':', 1) IN ('ip', 'host') AND split_part(target, ':', 1) IN ('ip', 'host'))""", "nodes", "links"))
+def united_graphs(spark, sf):
+    graph = built(spark, sf)
+    both = g.union_graphs(p.keep_types(graph, ["user", "host"]), p.keep_types(graph, ["ip", "host"]))
+    return both.nodes.select(F.lit("node").alias("kind"), F.col("node_id").alias("id")).unionByName(
+        both.links.select(F.lit("link").alias("kind"), F.concat_ws(">", "source", "rel", "target").alias("id")))
+
+
+@query(sql("""SELECT 'node' AS kind, type AS value, count(*) AS n FROM nodes WHERE first_seen <= TIMESTAMP '2024-01-05 06:00:00' GROUP BY type
+  UNION ALL SELECT 'link', rel, count(*) FROM links WHERE first_seen <= TIMESTAMP '2024-01-05 06:00:00' GROUP BY rel""", "nodes", "links"))
+def replay_frame(spark, sf):
+    frame = g.as_of(built(spark, sf), dt.datetime(2024, 1, 5, 6, tzinfo=dt.timezone.utc))
+    n = F.count(F.lit(1)).alias("n")
+    return frame.nodes.groupBy(F.lit("node").alias("kind"), F.col("type").alias("value")).agg(n).unionByName(
+        frame.links.groupBy(F.lit("link").alias("kind"), F.col("rel").alias("value")).agg(n))
+
+
+@query(sql("""SELECT 'type' AS facet, type AS value, count(*) AS n FROM roles GROUP BY type
+  UNION ALL SELECT 'role', role, count(*) FROM roles GROUP BY role UNION ALL SELECT 'relation', rel, count(*) FROM links GROUP BY rel
+  """ + "".join(f" UNION ALL SELECT 'source', '{s}', count(*) FROM roles WHERE (source_mask & {1 << i}) <> 0 HAVING count(*) > 0"
+                for i, s in enumerate(fixed.SOURCES))
+    + "".join(f" UNION ALL SELECT 'tactic', '{t}', count(*) FROM roles WHERE (tactic_mask & {1 << i}) <> 0 HAVING count(*) > 0"
+              for i, t in enumerate(fixed.TACTICS)), "roles", "links"))
+def graph_facets(spark, sf):
+    return g.facet_counts(r.assign_roles(built(spark, sf)))
+
+
+KEPT = "split_part(source, ':', 1) IN ('user', 'host', 'process') AND split_part(target, ':', 1) IN ('user', 'host', 'process')"
+
+
+@query(sql(f"""SELECT source, target, rel, CAST(count AS BIGINT) AS count FROM links
+  WHERE {KEPT} AND rel IN ('executed', 'authenticated', 'lateral')""", "links"))
+def links_of_kept_types(spark, sf):
+    return p.keep_types(built(spark, sf), ["User", "host", "process"], ["executed", "authenticated", "lateral"]).links.select(
+        "source", "target", "rel", "count")
+
+
+def _hops(n: int) -> dict[str, str]:
+    steps = {"h0": f"SELECT {TOP_USER} AS node_id, 0 AS distance"}
+    for i in range(1, n + 1):
+        steps[f"h{i}"] = (f"SELECT node_id, min(distance) AS distance FROM (SELECT * FROM h{i - 1} UNION ALL "
+                          f"SELECT p.other, {i} FROM pairs p JOIN h{i - 1} h ON h.node_id = p.node_id) GROUP BY node_id")
+    return steps
+
+
+STEPS.update({name: (text, ["nodes", "pairs"] + ([f"h{int(name[1:]) - 1}"] if name != "h0" else []))
+              for name, text in _hops(3).items()})
+
+
+@query(sql("SELECT node_id, CAST(distance AS INTEGER) AS distance FROM h3", "h3"))
+def node_neighborhood(spark, sf):
+    graph = built(spark, sf).cut()
+    return p.neighborhood(graph.links, top_user(graph), 3)
+
+
+@query(sql("SELECT node_id, risk FROM nodes ORDER BY risk DESC, type, label, node_id LIMIT 50", "nodes"))
+def riskiest_nodes(spark, sf):
+    return p.top_risk(built(spark, sf).cut(), 50).nodes.select("node_id", "risk")
+
+
+@query(sql(f"""SELECT node_id FROM nodes WHERE type IN ('user', 'host', 'process') AND (risk >= 60 OR node_id IN (
+  SELECT source FROM links WHERE {KEPT} AND rel = 'lateral' UNION SELECT target FROM links WHERE {KEPT} AND rel = 'lateral'))""",
+           "nodes", "links"))
+def connected_nodes(spark, sf):
+    return p.prune(built(spark, sf), ["user", "host", "process"], ["lateral"]).nodes.select("node_id")
+
+
+@query(sql("""SELECT source, target, rel FROM links JOIN roles a ON a.node_id = source AND a.role IN ('hostile', 'victim')
+  JOIN roles b ON b.node_id = target AND b.role IN ('hostile', 'victim')""", "links", "roles"))
+def links_between_roles(spark, sf):
+    return p.keep_roles(r.assign_roles(built(spark, sf)), ["hostile", "victim"]).links.select("source", "target", "rel")
+
+
+@query(sql("SELECT node_id, risk, role FROM roles WHERE risk >= 60 OR node_id IN (SELECT node_id FROM pairs)", "roles", "pairs",
+           ev_filter="severity >= 3"))
+def filtered_incident_graph(spark, sf):
+    graph = incident.filtered_graph(w.events(spark, sf), min_severity=3, clusters=False, levels=False)
+    return graph.nodes.select("node_id", "risk", "role")
+
+
+@query(sql("""SELECT node_id, t.tool, CASE WHEN t.tool IS NOT NULL AND role IN ('neutral', 'asset') THEN 'suspicious' ELSE role END AS role
+  FROM (SELECT r.*, coalesce(a.tool, b.tool) AS tool FROM roles r
+    LEFT JOIN bin_d a ON type IN ('process', 'file') AND lower(""" + basename("label") + """) = a.pattern
+    LEFT JOIN bin_d b ON type IN ('process', 'file') AND lower(""" + basename("coalesce(path, regexp_replace(node_id, '^[^|]*[|]', ''))")
+    + """) = b.pattern) t""", "roles", "bin_d"))
+def nodes_with_known_tools(spark, sf):
+    graph = r.annotate_tools(r.assign_roles(built(spark, sf)), threat.binary_index(catalog(spark).tools))
+    return graph.nodes.select("node_id", "tool", "role")
+
+
+@query(sql("SELECT node_id, risk FROM roles WHERE role = 'hostile'", "roles"))
+def hostile_nodes(spark, sf):
+    return r.nodes_by_role(r.assign_roles(built(spark, sf)).nodes, "hostile").select("node_id", "risk")
+
+
+# --- iterative -----------------------------------------------------------------------------------
+
+LEVEL_ROUNDS = 8
+STEPS["v0"] = ("SELECT node_id, CASE " + " ".join(f"WHEN (tactic_mask & {1 << i}) <> 0 THEN {i}" for i in range(14))
+               + " END AS level FROM nodes WHERE tactic_mask <> 0", ["nodes"])
+for _i in range(1, LEVEL_ROUNDS + 1):
+    STEPS[f"v{_i}"] = (f"""SELECT * FROM v{_i - 1} UNION ALL SELECT p.node_id, min(v.level) FROM pairs p JOIN v{_i - 1} v
+      ON v.node_id = p.other WHERE p.node_id NOT IN (SELECT node_id FROM v{_i - 1}) GROUP BY p.node_id""", [f"v{_i - 1}", "pairs"])
+RANKS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in fixed.ENTITY_RANK.items())
+
+
+@query(sql(f"""SELECT node_id, CAST(dense_rank() OVER (ORDER BY level) - 1 AS INTEGER) AS level FROM (
+  SELECT n.node_id, coalesce(v.level, CASE n.type {RANKS} ELSE 9 END) AS level FROM nodes n LEFT JOIN v{LEVEL_ROUNDS} v USING (node_id))""",
+           f"v{LEVEL_ROUNDS}", "nodes"))
+def kill_chain_levels(spark, sf):
+    return iterate.assign_levels(built(spark, sf).cut()).select("node_id", "level")
+
+
+@query()
+def node_communities(spark, sf):
+    return iterate.assign_clusters(built(spark, sf).cut()).select("node_id", "cluster")
+
+
+# --- a larger graph from the order tables ------------------------------------------------------------
+
+def trade_relations(spark, sf):
+    """Customers reach suppliers through order lines: one relation mention per line."""
+    w.tune(spark)
+    lines = w.table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_discount")
+    orders = w.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("uid"), F.col("l_shipdate").cast("timestamp").alias("time"),
+        F.when(F.col("l_discount") >= 0.08, 4).otherwise(2).alias("severity"), F.lit(2).alias("source_mask"),
+        F.concat(F.lit("user:c"), "o_custkey").alias("source"), F.concat(F.lit("host:s"), "l_suppkey").alias("target"),
+        F.when(F.col("l_linenumber") == 1, "authenticated").otherwise("connected").alias("rel"))
+
+
+@query("""SELECT 'user:c' || o_custkey AS source, 'host:s' || l_suppkey AS target,
+  CASE WHEN l_linenumber = 1 THEN 'authenticated' ELSE 'connected' END AS rel, count(*) AS count,
+  epoch_us(min(l_shipdate)) AS first_seen, epoch_us(max(l_shipdate)) AS last_seen,
+  CAST(max(CASE WHEN l_discount >= 0.08 THEN 4 ELSE 2 END) AS BIGINT) AS max_severity, CAST(2 AS BIGINT) AS source_mask
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""")
+def trade_links(spark, sf):
+    return link_rows(g.aggregate_links(trade_relations(spark, sf)))
+
+
+@query("""WITH l AS (SELECT 'user:c' || o_custkey AS s, 'host:s' || l_suppkey AS t, l_linenumber = 1 AS a
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+  e AS (SELECT s AS node_id, a, s, t FROM l UNION ALL SELECT t, a, s, t FROM l)
+  SELECT node_id, CAST(count(*) * 3 AS BIGINT) AS rel_weight, count(DISTINCT (s, t, a)) AS degree FROM e GROUP BY node_id""")
+def trade_degrees(spark, sf):
+    return g.end_totals(g.aggregate_links(trade_relations(spark, sf))).select("node_id", "rel_weight", F.col("degree").cast("bigint").alias("degree"))
+
+
+@query()
+def trade_communities(spark, sf):
+    links = cut(g.aggregate_links(trade_relations(spark, sf)))
+    nodes = links.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    return iterate.label_propagation(nodes, links, rounds=4)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sleuthgraph.functions import fixed, values
+from sleuthgraph.plans.session import tune
 
 
 def spark_quote(text: str | None) -> str:
@@ -214,7 +215,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    tune(spark)
     table(spark, sf_dir, "events").createOrReplaceTempView("driver_events")
     return spark.sql(flat_events_sql("driver_events", spark_quote))
 

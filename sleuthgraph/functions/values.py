@@ -57,7 +57,7 @@ def parse_severity(value: Column, scale: int = 10) -> Column:
     scaled = number if scale <= 5 else number / float(scale) * 5
     bounded = F.greatest(F.lit(0), F.least(F.lit(5), F.floor(scaled + 0.5).cast("int")))
     known = F.try_element_at(literal_map(fixed.SEVERITY_WORDS), word)
-    return F.coalesce(known, F.when(~F.isnan(number), bounded), F.lit(1))
+    return F.coalesce(known, F.when(number.isNotNull() & ~F.isnan(number), bounded), F.lit(1))
 
 
 def standardize_time_severity(df: DataFrame, *, time: str, severity: str, scale: int,
