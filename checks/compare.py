@@ -48,13 +48,18 @@ def main(sf_dir: str, only: list[str]) -> int:
         if only and name not in only:
             continue
         begin = time.time()
-        got = fn(spark, sf_dir).toPandas()
-        spent = time.time() - begin
         oracle = registry.ORACLES.get(name)
-        if oracle is None:
-            print(f"rows  {name}: {len(got)} rows {spent:.1f}s")
+        try:
+            got = fn(spark, sf_dir).toPandas()
+            spent = time.time() - begin
+            if oracle is None:
+                print(f"rows  {name}: {len(got)} rows {spent:.1f}s")
+                continue
+            want = con.execute(oracle).df()
+        except Exception as error:  # report and go on with the next query
+            failures += 1
+            print(f"FAIL  {name}: {type(error).__name__} {str(error)[:600]}")
             continue
-        want = con.execute(oracle).df()
         a, b = rows(got), rows(want)
         ok = sorted(got.columns) == sorted(want.columns) and a == b
         failures += not ok

@@ -126,9 +126,8 @@ def link_properties(spark, sf):
         LEFT JOIN alias ON node_id = old_id)) WHERE n <= 200""", "mentions", "facts", "alias"))
 def node_event_sample(spark, sf):
     events = w.events(spark, sf)
-    mentions = m.entity_mentions(events)
-    aliases = g.find_aliases(g.aggregate_nodes(mentions), g.aggregate_links(m.relation_mentions(events)))
-    return g.sample_uids(g.node_events(mentions, aliases), ["node_id"]).select("node_id", "uid", F.col("position").cast("bigint").alias("position"))
+    bridge = g.node_events(m.entity_mentions(events), g.build_graph(events).aliases)
+    return g.sample_uids(bridge, ["node_id"]).select("node_id", "uid", F.col("position").cast("bigint").alias("position"))
 
 
 TOP_USER = "(SELECT node_id FROM nodes WHERE type = 'user' ORDER BY risk DESC, label, node_id LIMIT 1)"
@@ -142,11 +141,9 @@ def top_user(graph):
   WHERE coalesce(new_id, node_id) = {TOP_USER}""", "mentions", "alias", "nodes"))
 def events_behind_node(spark, sf):
     events = w.events(spark, sf)
-    mentions = m.entity_mentions(events)
     graph = g.build_graph(events)
-    aliases = g.find_aliases(g.aggregate_nodes(mentions), g.aggregate_links(m.relation_mentions(events)))
     chosen = spark.createDataFrame([(top_user(graph),)], "node_id string")
-    return e.events_of_node(events, chosen, g.node_events(mentions, aliases), limit=None).select("uid")
+    return e.events_of_node(events, chosen, g.node_events(m.entity_mentions(events), graph.aliases), limit=None).select("uid")
 
 
 @query(sql("""SELECT 'node' AS kind, node_id AS id FROM nodes WHERE type IN ('user', 'host', 'ip')

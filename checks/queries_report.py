@@ -129,7 +129,7 @@ def unhelpful_tools(spark, sf):
     return a.unhelpful_tools(found(spark, sf), cat.catalog(spark))
 
 
-@query(sql("""SELECT g.grp AS "group", g.tool, CAST(n_groups AS INTEGER) AS used_by_groups, round(weight, 2) AS weight, d.category_label,
+@query(sql("""SELECT g.grp AS "group", g.tool, CAST(w.n_groups AS INTEGER) AS used_by_groups, round(weight, 2) AS weight, d.category_label,
   count(s.uid) AS sightings FROM group_d g JOIN weight_d w ON w.tool = g.tool JOIN tool_d d ON d.tool = g.tool
   LEFT JOIN tool_seen s ON s.tool = g.tool GROUP BY ALL""", "group_d", "weight_d", "tool_d", "tool_seen"))
 def group_profiles_with_sightings(spark, sf):
@@ -140,11 +140,11 @@ def group_profiles_with_sightings(spark, sf):
 
 # --- narrative and story ----------------------------------------------------------------------------
 
-ENTRY = "epoch_us(time) AS time, epoch_us(until) AS until, count, severity, first_uid, text, source"
+ENTRY = "epoch_us(time) AS time, epoch_us(coalesce(until, time)) AS until, count, severity, first_uid, text, source"
 
 
 def entry_rows(df, *extra):
-    return df.select(micros("time").alias("time"), micros("until").alias("until"), "count", "severity", "first_uid", "text", *extra)
+    return df.select(micros("time").alias("time"), F.coalesce(micros("until"), micros("time")).alias("until"), "count", "severity", "first_uid", "text", *extra)
 
 
 @query(sql(f"SELECT {ENTRY} FROM entries", "entries"))
@@ -170,16 +170,15 @@ STEPS.update({
 })
 
 
-@query(sql(f"""SELECT epoch_us(min(time)) AS time, epoch_us(CASE WHEN count(*) > 1 THEN max(time) END) AS until, count(*) AS count,
+@query(sql(f"""SELECT epoch_us(min(time)) AS time, epoch_us(max(time)) AS until, count(*) AS count,
   max(severity) AS severity, first(uid ORDER BY time, uid) AS first_uid, any_value(text) AS text, any_value(rel) AS rel,
   any_value(CASE WHEN s = {TOP_USER} THEN o ELSE s END) AS other, any_value(s = {TOP_USER}) AS outbound FROM steps GROUP BY run
   ORDER BY severity DESC, min(time), first_uid LIMIT 120""", "steps", "nodes"))
 def entity_story(spark, sf):
     events = w.events(spark, sf)
-    relations = m.relation_mentions(events)
-    node = top_user(built(spark, sf))
-    aliases = g.find_aliases(g.aggregate_nodes(m.entity_mentions(events)), g.aggregate_links(relations))
-    return entry_rows(rp.story(events, g.link_events(relations, aliases), node), "rel", "other", "outbound")
+    graph = g.build_graph(events)
+    bridge = g.link_events(m.relation_mentions(events), graph.aliases)
+    return entry_rows(rp.story(events, bridge, top_user(graph)), "rel", "other", "outbound")
 
 
 # --- report sections -----------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sleuthgraph.functions import fixed, values
-from sleuthgraph.plans.session import tune
+from sleuthgraph.plans.session import spread, tune
 
 
 def spark_quote(text: str | None) -> str:
@@ -216,7 +216,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
-    table(spark, sf_dir, "events").createOrReplaceTempView("driver_events")
+    spread(table(spark, sf_dir, "events")).createOrReplaceTempView("driver_events")
     return spark.sql(flat_events_sql("driver_events", spark_quote))
 
 

@@ -47,10 +47,10 @@ def candidates(f: Findings, catalog: Catalog) -> DataFrame:
                .join(weights, "tool", "left").fillna(1.0, ["weight"]).fillna(0, ["n_groups"])
                .join(observed_tools(f).withColumn("seen", F.lit(True)), "tool", "left"))
     seen = F.coalesce("seen", F.lit(False))
-    rare = seen & (F.col("n_groups") <= total * fixed.UBIQUITY_CUTOFF)
-    listed = lambda test: F.array_sort(F.array_compact(F.collect_list(F.when(test, F.col("tool")))))
+    profile = profile.withColumn("rare", seen & (F.col("n_groups") <= total * fixed.UBIQUITY_CUTOFF))
+    listed = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("tool"))))
     groups = profile.groupBy("group").agg(
-        listed(seen).alias("matched"), listed(rare).alias("discriminating"),
+        listed(seen).alias("matched"), listed(F.col("rare")).alias("discriminating"),
         F.coalesce(F.sum(F.when(seen, F.col("weight"))), F.lit(0.0)).alias("_hit"),
         F.sum("weight").alias("_all"), F.count(F.lit(1)).alias("_size"))
     scored = groups.withColumn("group_key", name_key(F.col("group"))).join(note_evidence(f), "group_key", "left")

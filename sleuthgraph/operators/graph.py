@@ -9,7 +9,7 @@ those aggregates, never on the mentions.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -28,9 +28,10 @@ class Graph:
     links: DataFrame
     truncated: bool = False
     notes: tuple[str, ...] = ()
+    aliases: DataFrame | None = None
 
     def cut(self) -> "Graph":
-        return Graph(cut(self.nodes), cut(self.links), self.truncated, self.notes)
+        return replace(self, nodes=cut(self.nodes), links=cut(self.links))
 
 
 # --- aggregates -----------------------------------------------------------------
@@ -201,17 +202,17 @@ def with_link_id(links: DataFrame) -> DataFrame:
 def build_graph(events: DataFrame, weights: dict | None = None, checkpoint: bool = True) -> Graph:
     """Events -> resolved, scored graph.
 
-    With ``checkpoint`` the two first aggregates are written once to the
-    checkpoint folder, so that the events are scanned exactly twice however
+    With ``checkpoint`` the two first aggregates and the alias map are written
+    once to the checkpoint folder, so that the events are scanned exactly twice however
     often the result is used.
     """
     hold = cut if checkpoint else (lambda df: df)
     nodes = hold(aggregate_nodes(entity_mentions(events)))
     links = hold(aggregate_links(relation_mentions(events)))
-    aliases = find_aliases(nodes, links)
+    aliases = hold(find_aliases(nodes, links))
     rewired = rewire_links(links, aliases)
     return Graph(with_scores(merge_nodes(nodes, aliases), rewired, weights),
-                 with_link_id(rewired.where("source <> target")))
+                 with_link_id(rewired.where("source <> target")), aliases=aliases)
 
 
 # --- reading a graph ------------------------------------------------------------------

@@ -174,8 +174,8 @@ def duration_text(start: Column, end: Column) -> Column:
     seconds = F.floor((F.unix_micros(end) - F.unix_micros(start)) / 1000000)
     text = (F.when(seconds < 60, F.format_string("%d seconds", seconds))
             .when(seconds < 3600, F.format_string("%d minutes", F.floor(seconds / 60)))
-            .when(seconds < 86400, F.concat(F.format_number(seconds / 3600, "0.0"), F.lit(" hours")))
-            .otherwise(F.concat(F.format_number(seconds / 86400, "0.0"), F.lit(" days"))))
+            .when(seconds < 86400, F.format_string("%.1f hours", seconds / 3600))
+            .otherwise(F.format_string("%.1f days", seconds / 86400)))
     return F.when(end > start, text)
 
 
