@@ -13,6 +13,8 @@ SETTINGS = {
     # rules are wide projections: with this limit they run as several compiled
     # methods instead of one interpreted whole-stage method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Projections this wide never fit one method; do not generate it in vain.
+    "spark.sql.codegen.maxFields": "40",
 }
 
 
