@@ -41,7 +41,15 @@ def parse_time(value: Column, year: int) -> Column:
 
     ``year`` completes syslog times, which carry none.
     """
-    text = F.regexp_replace(canon.strip(value), r"\s+", " ")
+    return parse_clean_time(clean_time(value), year)
+
+
+def clean_time(value: Column) -> Column:
+    return F.regexp_replace(canon.strip(value), r"\s+", " ")
+
+
+def parse_clean_time(text: Column, year: int) -> Column:
+    """:func:`parse_time` of text that is already stripped; it is referred to once per layout."""
     number = text.try_cast("double")
     seconds = F.when(number > 1e11, number / 1000.0).otherwise(number)
     formats = [F.try_to_timestamp(text, F.lit(f)) for f in TIME_LAYOUTS]
@@ -88,6 +96,16 @@ def listed_hash(value: Column, algorithm: str) -> Column:
     return canon.not_in(canon.strip(found), [""])
 
 
+def unnest(df: DataFrame, kept: list[Column], structs: Column, key: str) -> DataFrame:
+    """``kept`` columns plus the fields of each struct; ``key`` is a field that is never null.
+
+    The outer form with a test afterwards is used on purpose: for the inner form
+    the optimiser adds a size test, pushes it below the projections that build
+    the array and so computes the whole array twice.
+    """
+    return df.select(*kept, F.inline_outer(structs)).where(F.col(key).isNotNull())
+
+
 COMMAND_SPLIT = r"[\s\"'`|&;,()<>]+"
 
 
@@ -108,7 +126,7 @@ def explode_artifacts(df: DataFrame, *, key: str, hashes: str, cmdline: str) ->
         F.coalesce(F.transform(command_names(F.col(cmdline)),
                                lambda n: F.struct(F.lit("binary").alias("kind"), n.alias("value"))),
                    F.array().cast("array<struct<kind:string,value:string>>"))))
-    return df.select(key, F.inline(found))
+    return unnest(df, [F.col(key)], found, "value")
 
 
 def decode_payload(value: Column) -> Column:

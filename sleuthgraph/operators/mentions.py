@@ -172,8 +172,8 @@ def _facts() -> list[Column]:
 def entity_mentions(events: DataFrame, with_props: bool = False) -> DataFrame:
     """One row per (event, entity): uid, time, severity, source_mask, tactic_mask, entity fields."""
     staged = _entities(_staged(events, _Rules(with_props)))
-    return staged.select(*_facts(), values.tactic_mask(values.tactics_of(F.col("mitre"))).alias("tactic_mask"),
-                         F.inline(_merged(F.col("_all"), with_props)))
+    facts = [*_facts(), values.tactic_mask(values.tactics_of(F.col("mitre"))).alias("tactic_mask")]
+    return values.unnest(staged, facts, _merged(F.col("_all"), with_props), "node_id")
 
 
 def _relations(staged: DataFrame) -> Column:
@@ -223,4 +223,4 @@ def _relations(staged: DataFrame) -> Column:
 def relation_mentions(events: DataFrame) -> DataFrame:
     """One row per relation occurrence: uid, time, severity, source_mask, source, target, rel, detail."""
     staged = _staged(events, _Rules(False))
-    return staged.select(*_facts(), F.inline(_relations(staged)))
+    return values.unnest(staged, _facts(), _relations(staged), "source")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import canon, fixed, values
+from ..sources.records import last_wins_map
 from . import field_names as names
 
 MESSAGE_CHARS = 400
@@ -93,27 +94,31 @@ def with_route(records: DataFrame) -> DataFrame:
 
 # --- slots ----------------------------------------------------------------------------------
 
-def _lowered_map() -> Column:
-    from ..sources.records import last_wins_map
-
-    made = last_wins_map(F.transform(F.map_keys("record"), F.lower), F.map_values("record"))
-    return F.when(F.col("route").startswith("qradar"), made)
-
-
 def _slot(by_route: dict[str, list[str]]) -> Column:
-    """CASE over the routes; whole-vendor entries come after the specific ones."""
-    out = None
-    for key in sorted(by_route, key=lambda k: ("." not in k, k)):
-        exact = "." in key or key == "generic"
-        test = F.col("route") == key if exact else F.col("route").startswith(key + ".")
-        value = _first(by_route[key], "_lowered" if key.startswith("qradar") else "record")
-        out = F.when(test, value) if out is None else out.when(test, value)
-    return out
+    """First filled field among the route's candidates.
+
+    The candidates are a constant array chosen by route (whole-vendor entries
+    come after the specific ones), so a slot the route does not use costs one
+    comparison chain and no map lookup.
+    """
+    keys = None
+    for name in sorted(by_route, key=lambda k: ("." not in k, k)):
+        exact = "." in name or name == "generic"
+        test = F.col("route") == name if exact else F.col("route").startswith(name + ".")
+        listed = F.array(*[F.lit(k) for k in by_route[name]])
+        keys = F.when(test, listed) if keys is None else keys.when(test, listed)
+    found = F.filter(F.transform(keys, lambda k: F.try_element_at("_fields", k)),
+                     lambda v: v.isNotNull() & ~v.isin(canon.EMPTY_MARKS))
+    return F.get(found, F.lit(0))
 
 
 def with_slots(routed: DataFrame) -> DataFrame:
-    return routed.withColumn("_lowered", _lowered_map()).withColumns(
-        {f"s_{name}": _slot(by_route) for name, by_route in names.SLOTS.items()})
+    ariel = F.col("route").startswith("qradar")
+    staged = routed.withColumns({"_keys": F.when(ariel, F.transform(F.map_keys("record"), F.lower)),
+                                 "_vals": F.when(ariel, F.map_values("record"))})
+    staged = staged.withColumn("_lowered", F.when(ariel, last_wins_map(F.col("_keys"), F.col("_vals"))))
+    fields = staged.withColumn("_fields", F.coalesce("_lowered", "record")).drop("_keys", "_vals")
+    return fields.withColumns({f"s_{name}": _slot(by_route) for name, by_route in names.SLOTS.items()})
 
 
 # --- events ----------------------------------------------------------------------------------------
@@ -206,7 +211,7 @@ def _derived(slots: DataFrame) -> DataFrame:
     out = slots.withColumns({
         "_ariel": F.lower(F.concat_ws(" ", F.coalesce("s_category", F.lit("")), F.coalesce("s_event_name", F.lit("")))),
         "_hints": _hints(), **_alert_entities(),
-        "_payload": values.decode_payload(c("s_payload")),
+        "_payload": values.decode_payload(c("s_payload")), "_time_text": values.clean_time(c("s_time")),
     })
     out = out.withColumns(_classes())
     keep_raw = _route("sentinel.DeviceNetworkEvents", "sentinel.SigninLogs")
@@ -323,7 +328,7 @@ def _events(derived: DataFrame, ingest_time: dt.datetime) -> DataFrame:
     c = F.col
     vendor = F.substring_index("route", ".", 1)
     fmt = F.coalesce(_filled(_get("__format__")), F.lit("generic"))
-    moment = values.parse_time(c("s_time"), ingest_time.year)
+    moment = values.parse_clean_time(c("_time_text"), ingest_time.year)
     table = F.coalesce(_filled(_get("sourcetype")), _filled(_get("source")), F.lit("splunk"))
     origin = (F.when(vendor == "splunk", table)
               .when(vendor == "sentinel", F.when(_route("sentinel.alert"), "SecurityAlert").otherwise(F.substring_index("route", ".", -1)))

@@ -80,7 +80,7 @@ def hostile_addresses(nodes: DataFrame) -> DataFrame:
                            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     hostile = nodes.where("type IN ('domain', 'url') AND role = 'hostile'").select(
         F.lower("label").alias("suffix")).distinct()
-    owned = (nodes.where(domain.isNotNull()).select("node_id", F.explode(suffixes).alias("suffix"))
+    owned = (nodes.where(domain.isNotNull()).select("node_id", F.explode_outer(suffixes).alias("suffix"))
              .join(hostile, "suffix", "left_semi").select("node_id").distinct().withColumn("_owned", F.lit(True)))
     return nodes.join(owned, "node_id", "left").withColumns({
         "role": F.when(F.col("_owned"), "hostile").otherwise(F.col("role")),

@@ -163,7 +163,7 @@ def _candidates() -> Column:
 def _binary_hits(events: DataFrame, tools: DataFrame) -> DataFrame:
     exact = tools.select(F.col("name").alias("tool"), "exact_only")
     index = binary_index(tools).join(exact, "tool").select(F.col("pattern").alias("name"), "tool", "exact_only")
-    rows = events.select("uid", "time", sighting_host().alias("host"), F.inline(_candidates()))
+    rows = values.unnest(events, [F.col("uid"), F.col("time"), sighting_host().alias("host")], _candidates(), "name")
     return rows.join(index, "name").where("NOT (exact_only AND place = 'cmdline')").select(
         "uid", "time", "host", "tool", "place", "position", "evidence")
 
@@ -182,7 +182,7 @@ def _fragment_hits(events: DataFrame, tools: DataFrame) -> DataFrame:
                                          lambda i: F.substr(line, i, F.lit(n))))
     rows = (events.where(F.length("process.cmdline") >= n)
             .select("uid", "time", sighting_host().alias("host"), line.alias("line"),
-                    F.substring("process.cmdline", 1, EVIDENCE_CHARS).alias("evidence"), F.explode(grams).alias("gram")))
+                    F.substring("process.cmdline", 1, EVIDENCE_CHARS).alias("evidence"), F.explode_outer(grams).alias("gram")))
     return rows.join(index, "gram").where(F.col("line").contains(F.col("pattern"))).select(
         "uid", "time", "host", "tool", F.lit("cmdline").alias("place"), F.lit(9).alias("position"), "evidence")
 
@@ -220,8 +220,8 @@ def behaviour_hits(events: DataFrame) -> DataFrame:
         F.lit(sig).alias("signature"), F.lit(label).alias("label"), F.lit(stage).alias("stage"),
         F.lit(severity).alias("severity"), F.lit(mitre).alias("technique")))
         for sig, label, stage, severity, mitre, pattern in fixed.SIGNATURES]
-    return rows.select("uid", "time", "host", F.substring("text", 1, BEHAVIOUR_EVIDENCE_CHARS).alias("evidence"),
-                       F.inline(F.array_compact(F.array(*hits))))
+    kept = [F.col("uid"), F.col("time"), F.col("host"), F.substring("text", 1, BEHAVIOUR_EVIDENCE_CHARS).alias("evidence")]
+    return values.unnest(rows, kept, F.array_compact(F.array(*hits)), "signature")
 
 
 def distinct_behaviours(hits: DataFrame) -> DataFrame:

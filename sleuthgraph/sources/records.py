@@ -23,11 +23,16 @@ MAX_ROWS = 50_000
 
 
 def last_wins_map(keys: Column, vals: Column) -> Column:
-    """Map of parallel arrays in which the last of equal keys counts."""
-    back, values_back = F.reverse(keys), F.reverse(vals)
-    distinct = F.array_distinct(back)
-    return F.map_from_arrays(distinct, F.transform(
-        distinct, lambda k: F.element_at(values_back, F.array_position(back, k).cast("int"))))
+    """Map of parallel arrays in which the last of equal keys counts.
+
+    Pass plain columns: the arguments are referred to several times, also once
+    per entry when keys do repeat.
+    """
+    back = F.reverse(keys)
+    slow = F.map_from_arrays(F.array_distinct(back), F.transform(
+        F.array_distinct(back), lambda k: F.element_at(vals, (F.size(keys) - F.array_position(F.reverse(keys), k) + 1).cast("int"))))
+    unique = F.size(F.array_distinct(keys)) == F.size(keys)
+    return F.when(unique, F.map_from_arrays(keys, vals)).otherwise(slow)
 
 
 def with_entry(record: Column, key: str, value: Column) -> Column:
@@ -42,57 +47,61 @@ def _starts(text: Column, mark: str) -> Column:
     return F.coalesce(F.ltrim(text).startswith(mark), F.lit(False))
 
 
-def _objects(items: Column) -> Column:
-    """Maps of the items that are JSON objects."""
-    maps = F.transform(F.filter(items, lambda i: _starts(i, "{")), lambda i: F.from_json(i, MAP))
-    return F.filter(maps, lambda m: m.isNotNull())
+def _tables_of(text: Column) -> Column:
+    """``[{name, columns, rows}]`` with plain column names."""
+    parsed = F.from_json(text, "array<struct<name:string,columns:array<string>,rows:array<array<string>>>>")
+    return F.transform(parsed, lambda t: F.struct(
+        F.coalesce(t["name"], F.lit("")).alias("name"), t["rows"].alias("rows"),
+        F.transform(t["columns"], lambda c: F.coalesce(F.get_json_object(c, "$.name"), c)).alias("names")))
 
 
 def _table_rows(tables: Column) -> Column:
-    """Rows of ``[{name, columns, rows}]`` as maps; ``Type`` defaults to the table name."""
-    parsed = F.from_json(tables, "array<struct<name:string,columns:array<string>,rows:array<array<string>>>>")
-
-    def rows_of(table: Column) -> Column:
-        names = F.transform(table["columns"], lambda c: F.coalesce(F.get_json_object(c, "$.name"), c))
-
-        def row_map(row: Column) -> Column:
-            n = F.least(F.size(names), F.size(row))
-            made = last_wins_map(F.slice(names, F.lit(1), n), F.slice(row, F.lit(1), n))
-            return with_entry(made, "Type", F.coalesce(table["name"], F.lit("")))
-
-        return F.transform(F.coalesce(table["rows"], F.array().cast("array<array<string>>")), row_map)
-
-    return F.flatten(F.transform(parsed, rows_of))
-
-
-def unwrap(text: Column) -> Column:
-    """JSON text -> array of record maps: plain array, vendor envelope, search hits, tables or one object."""
-    empty = F.array().cast(MAPS)
-    doc = F.from_json(text, MAP)
-    field = lambda k: F.try_element_at(doc, F.lit(k))
-    hits = F.from_json(F.get_json_object(field("hits"), "$.hits"), TEXTS)
-    sources = F.transform(F.filter(hits, lambda h: _starts(h, "{")),
-                          lambda h: F.from_json(F.coalesce(F.get_json_object(h, "$._source"), h), MAP))
-    nested_hits = _starts(field("hits"), "{") & hits.isNotNull()
-    out = F.when(_starts(text, "["), _objects(F.from_json(text, TEXTS)))
+    """Rows as maps; surplus cells are dropped and ``Type`` defaults to the table name."""
+    def row_map(table: Column, row: Column) -> Column:
+        n = F.least(F.size(table["names"]), F.size(row))
+        made = last_wins_map(F.slice(table["names"], F.lit(1), n), F.slice(row, F.lit(1), n))
+        return with_entry(made, "Type", table["name"])
+
+    return F.flatten(F.transform(tables, lambda t: F.transform(
+        F.coalesce(t["rows"], F.array().cast("array<array<string>>")), lambda r: row_map(t, r))))
+
+
+def unwrap(rows: DataFrame, text: str) -> DataFrame:
+    """Adds ``records``: the record maps in a JSON text column.
+
+    Accepts a plain array, a vendor envelope, search hits, tables or one object.
+    Each step is a column of its own so that no text is parsed twice.
+    """
+    field = lambda k: F.try_element_at("_doc", F.lit(k))
+    staged = rows.withColumn("_doc", F.when(_starts(F.col(text), "{"), F.from_json(text, MAP)))
+    staged = staged.withColumn("_hits", F.when(_starts(field("hits"), "{"), F.get_json_object(field("hits"), "$.hits")))
+    chosen = F.when(_starts(F.col(text), "["), F.struct(F.col(text).alias("list"), F.lit(False).alias("hits")))
     for key in ENVELOPE_KEYS:
-        out = out.when(_starts(field(key), "["), _objects(F.from_json(field(key), TEXTS)))
+        chosen = chosen.when(_starts(field(key), "["), F.struct(field(key).alias("list"), F.lit(False).alias("hits")))
         if key == "hits":
-            out = out.when(nested_hits, sources)
-    out = out.when(_starts(field("tables"), "["), _table_rows(field("tables"))).when(doc.isNotNull(), F.array(doc))
-    return F.coalesce(out, empty)
-
-
-def _records(rows: DataFrame, records: Column) -> DataFrame:
-    """One row per record map; ``raw`` is the record as JSON."""
-    made = rows.select("origin_file", F.explode(records).alias("record"))
+            chosen = chosen.when(_starts(F.col("_hits"), "["), F.struct(F.col("_hits").alias("list"), F.lit(True).alias("hits")))
+    staged = staged.withColumn("_chosen", chosen)
+    staged = staged.withColumns({
+        "_items": F.filter(F.from_json("_chosen.list", TEXTS), lambda i: _starts(i, "{")),
+        "_tables": F.when(F.col("_chosen").isNull() & _starts(field("tables"), "["), _tables_of(field("tables"))),
+    })
+    body = F.when(F.col("_chosen.hits"), F.transform("_items", lambda i: F.coalesce(F.get_json_object(i, "$._source"), i))).otherwise(F.col("_items"))
+    maps = F.filter(F.transform(body, lambda i: F.from_json(i, MAP)), lambda m: m.isNotNull())
+    records = (F.when(F.col("_chosen").isNotNull(), maps).when(F.col("_tables").isNotNull(), _table_rows(F.col("_tables")))
+               .when(F.col("_doc").isNotNull(), F.array("_doc")))
+    return staged.withColumn("records", F.coalesce(records, F.array().cast(MAPS))).drop("_doc", "_hits", "_chosen", "_items", "_tables")
+
+
+def _records(rows: DataFrame) -> DataFrame:
+    """One row per record map of ``records``; ``raw`` is the record as JSON."""
+    made = rows.select("origin_file", F.explode_outer("records").alias("record")).where("record IS NOT NULL")
     return made.select("record", F.to_json("record", {"ignoreNullFields": "false"}).alias("raw"), "origin_file")
 
 
 def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
     """JSON documents (array, envelope or single object), one document per file."""
     docs = spark.read.options(**options).text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("origin_file"))
-    return _records(docs, unwrap(F.col("value")))
+    return _records(unwrap(docs, "value"))
 
 
 def _lines(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -103,7 +112,7 @@ def _lines(spark: SparkSession, path: str, **options) -> DataFrame:
 def parse_ndjson(lines: DataFrame) -> DataFrame:
     """``line`` rows of JSON objects; trailing commas and bracket lines are skipped."""
     text = F.rtrim(F.col("line"), F.lit(","))
-    return _records(lines.where(~text.isin("[", "]")), unwrap(text))
+    return _records(unwrap(lines.where(~text.isin("[", "]")).withColumn("line", text), "line"))
 
 
 def ndjson_rejects(lines: DataFrame) -> DataFrame:
@@ -118,12 +127,13 @@ def read_ndjson(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def parse_search_export(lines: DataFrame) -> DataFrame:
     """``{preview, result | results}`` lines: finished results only."""
-    doc = F.from_json("line", MAP)
-    field = lambda k: F.try_element_at(doc, F.lit(k))
-    single = F.when(_starts(field("result"), "{"), F.array(F.from_json(field("result"), MAP)))
-    many = F.when(_starts(field("results"), "["), _objects(F.from_json(field("results"), TEXTS)))
-    final = F.coalesce(field("preview"), F.lit("false")) != "true"
-    return _records(lines.where(final), F.coalesce(single, many, F.array().cast(MAPS)))
+    field = lambda k: F.try_element_at("_doc", F.lit(k))
+    docs = lines.withColumn("_doc", F.from_json("line", MAP)).where(F.coalesce(field("preview"), F.lit("false")) != "true")
+    single = F.when(_starts(field("result"), "{"), F.array(field("result")))
+    many = F.when(_starts(field("results"), "["), F.filter(F.from_json(field("results"), TEXTS), lambda i: _starts(i, "{")))
+    made = docs.withColumn("_items", F.coalesce(single, many)).withColumn(
+        "records", F.transform("_items", lambda i: F.from_json(i, MAP)))
+    return _records(made)
 
 
 def read_search_export(spark: SparkSession, path: str, **options) -> DataFrame:

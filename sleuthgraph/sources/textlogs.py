@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +23,12 @@ KEY_NAMES = {
     "srcPort": "src_port", "dstPort": "dest_port", "identSrc": "src_ip",
 }
 
-_FIELD = r"((?:[^|\\]|\\.)*)"
-CEF_LINE = r"(?s)CEF:\d+\|" + r"\|".join([_FIELD] * 6) + r"\|(.*)"
-LEEF_LINE = r"(?s)LEEF:([\d.]+)\|(.*)"
+# A pipe that no odd run of backslashes escapes.
+_PIPE = r"(?<=(?:^|[^\\])(?:\\\\){0,8})\|"
+CEF_START = r"(?s)^.*?CEF:(?=\d+\|)"
+LEEF_START = r"(?s)^.*?LEEF:(?=[\d.]+\|)"
 _EXT_KEY = r"[A-Za-z][A-Za-z0-9_.\[\]]*"
-CEF_PAIR = rf"(?s)(?:^|\s)({_EXT_KEY})=(.*?)(?=\s{_EXT_KEY}=|$)"
+CEF_PAIR = rf"(?s)((?:^|\s){_EXT_KEY}=.*?(?=\s{_EXT_KEY}=|$))"
 RFC5424 = r"(?s)^1\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s*(.*)$"
 RFC3164 = r"(?s)^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+([^:\[]+)(?:\[\d+\])?:\s*(.*)$"
 PRIORITY = r"(?s)^<(\d{1,3})>(.*)"
@@ -47,89 +50,89 @@ def _unescape_value(text: Column) -> Column:
     return F.replace(held, F.lit("\u0000"), F.lit("\\"))
 
 
-def _record(pairs: list[tuple[str, Column]], keys: Column | None, vals: Column | None, line: Column) -> Column:
-    """Fixed fields, then parsed pairs, then the line itself; later entries win."""
-    fixed_keys = F.array(*[F.lit(k) for k, _ in pairs])
-    fixed_vals = F.array(*[v.cast("string") for _, v in pairs])
-    tail_k, tail_v = F.array(F.lit("_raw")), F.array(line)
-    parts_k = [fixed_keys, keys, tail_k] if keys is not None else [fixed_keys, tail_k]
-    parts_v = [fixed_vals, vals, tail_v] if vals is not None else [fixed_vals, tail_v]
-    return last_wins_map(F.concat(*parts_k), F.concat(*parts_v))
-
-
-def is_cef(line: Column) -> Column:
-    return line.rlike(CEF_LINE)
+def _header(line: Column, mark: str, start: str, limit: int) -> Column:
+    """Pipe-separated parts after the format mark, null for other lines."""
+    return F.when(line.contains(mark) & line.rlike(start), F.split(F.regexp_replace(line, start, ""), _PIPE, limit))
 
 
-def parse_cef(line: Column) -> Column:
-    part = lambda i: F.regexp_extract(line, CEF_LINE, i)
-    names = ["device_vendor", "device_product", "device_version", "signature_id", "name", "cef_severity"]
-    head = [("__format__", F.lit("cef"))] + [(n, _unescape(part(i + 1))) for i, n in enumerate(names)]
-    body = part(7)
-    keys = F.regexp_extract_all(body, F.lit(CEF_PAIR), F.lit(1))
-    vals = F.transform(F.regexp_extract_all(body, F.lit(CEF_PAIR), F.lit(2)), lambda v: _unescape_value(canon.strip(v)))
-    return F.when(is_cef(line), _record(head, _named(keys), vals, line))
+def with_format(lines: DataFrame) -> DataFrame:
+    """``format`` of each line by its own shape, with the parts of CEF and LEEF headers."""
+    line = F.col("line")
+    parts = lines.withColumns({"_cef": _header(line, "CEF:", CEF_START, 8), "_leef": _header(line, "LEEF:", LEEF_START, -1)})
+    return parts.withColumn("format", F.when(line.rlike(r"^[\[{]"), "json").when(F.size("_cef") == 8, "cef")
+                            .when(F.size("_leef") >= 6, "leef").otherwise("syslog"))
 
 
-def _leef_fields(line: Column) -> Column:
-    return F.transform(F.split(F.regexp_extract(line, LEEF_LINE, 2), r"(?<!\\)\|"), _unescape)
+def _pairs_of(pairs: Column, value) -> tuple[Column, Column]:
+    keys = F.transform(pairs, lambda p: canon.strip(F.substring_index(p, "=", 1)))
+    vals = F.transform(pairs, lambda p: value(canon.strip(F.regexp_replace(p, "(?s)^[^=]*=", ""))))
+    return _named(keys), vals
 
 
-def is_leef(line: Column) -> Column:
-    return line.rlike(LEEF_LINE) & (F.size(_leef_fields(line)) >= 5)
+def _cef_fields() -> tuple[Column, Column]:
+    names = ["device_vendor", "device_product", "device_version", "signature_id", "name", "cef_severity"]
+    keys, vals = _pairs_of(F.regexp_extract_all(F.get("_cef", F.lit(7)), F.lit(CEF_PAIR), F.lit(1)), _unescape_value)
+    head = F.transform(F.slice("_cef", 2, 6), _unescape)
+    return (F.concat(F.array(*[F.lit(n) for n in ["__format__", *names]]), keys),
+            F.concat(F.array(F.lit("cef")), head, vals))
 
 
-def parse_leef(line: Column) -> Column:
-    fields = _leef_fields(line)
+def _leef_fields() -> tuple[Column, Column]:
+    """Fields of LEEF 1 (tab) and LEEF 2 (declared separator, hexadecimal after ``x`` or literal)."""
+    fields = F.transform("_leef", _unescape)
     get = lambda i: F.get(fields, F.lit(i))
-    declares = F.regexp_extract(line, LEEF_LINE, 1).startswith("2") & (F.size(fields) >= 6)
-    code = F.char(F.conv(F.regexp_replace(get(4), "^x", ""), 16, 10).try_cast("int"))
-    declared = F.when(get(4).startswith("x"), code).otherwise(canon.not_in(get(4), [""]))
+    declares = F.get("_leef", F.lit(0)).startswith("2") & (F.size("_leef") >= 7)
+    code = F.char(F.conv(F.regexp_replace(get(5), "^x", ""), 16, 10).try_cast("int"))
+    declared = F.when(get(5).startswith("x"), code).otherwise(canon.not_in(get(5), [""]))
     mark = F.when(declares, F.coalesce(declared, F.lit("\t"))).otherwise("\t")
-    first = F.when(declares, 6).otherwise(5)
-    body = F.array_join(F.slice(fields, first, F.greatest(F.size(fields) - first + 1, F.lit(0))), "\u0001")
+    first = F.when(declares, 7).otherwise(6)
+    body = F.array_join(F.slice(fields, first, F.greatest(F.size("_leef") - first + 1, F.lit(0))), "\u0001")
     marks = F.concat(F.lit("(?:\u0001|\\Q"), mark, F.lit("\\E)"))
-    pairs = F.filter(F.split(body, marks), lambda p: p.contains("="))
-    keys = F.transform(pairs, lambda p: canon.strip(F.substring_index(p, "=", 1)))
-    vals = F.transform(pairs, lambda p: canon.strip(F.regexp_replace(p, "(?s)^[^=]*=", "")))
-    head = [("__format__", F.lit("leef")), ("device_vendor", get(0)), ("device_product", get(1)),
-            ("device_version", get(2)), ("signature_id", get(3))]
-    return F.when(is_leef(line), _record(head, _named(keys), vals, line))
+    keys, vals = _pairs_of(F.filter(F.split(body, marks), lambda p: p.contains("=")), lambda v: v)
+    names = ["__format__", "device_vendor", "device_product", "device_version", "signature_id"]
+    return (F.concat(F.array(*[F.lit(n) for n in names]), keys),
+            F.concat(F.array(F.lit("leef"), get(1), get(2), get(3), get(4)), vals))
 
 
-def parse_syslog(line: Column) -> Column:
+def _syslog_fields() -> tuple[Column, Column]:
     """RFC 5424, RFC 3164 or the bare text as message; the priority gives the severity number."""
-    has_pri = line.rlike(PRIORITY)
-    text = F.when(has_pri, F.regexp_extract(line, PRIORITY, 2)).otherwise(line)
-    number = F.when(has_pri, (F.regexp_extract(line, PRIORITY, 1).try_cast("int") % 8).cast("string"))
+    text = F.col("_text")
     new = lambda i: F.regexp_extract(text, RFC5424, i)
     old = lambda i: F.regexp_extract(text, RFC3164, i)
-    start = [("__format__", F.lit("syslog"))]
-    message = (F.when(text.rlike(RFC5424), _record(start + [
-        ("time", new(1)), ("host", new(2)), ("application", new(3)), ("process_id", new(4)),
-        ("message", canon.strip(new(6)))], None, None, line))
-        .when(text.rlike(RFC3164), _record(start + [
-            ("time", old(1)), ("host", old(2)), ("application", old(3)), ("message", canon.strip(old(4)))], None, None, line))
-        .otherwise(_record(start + [("message", text)], None, None, line)))
-    return F.when(number.isNull(), message).otherwise(
-        F.map_concat(message, F.create_map(F.lit("syslog_severity"), number)))
-
-
-def line_format(line: Column) -> Column:
-    return (F.when(line.rlike(r"^[\[{]"), "json").when(is_cef(line), "cef").when(is_leef(line), "leef").otherwise("syslog"))
+    keys = lambda *names: F.array(*[F.lit(n) for n in ("__format__", *names)])
+    vals = lambda *cols: F.array(F.lit("syslog"), *cols)
+    is_new, is_old = text.rlike(RFC5424), text.rlike(RFC3164)
+    k = (F.when(is_new, keys("time", "host", "application", "process_id", "message"))
+         .when(is_old, keys("time", "host", "application", "message")).otherwise(keys("message")))
+    v = (F.when(is_new, vals(new(1), new(2), new(3), new(4), canon.strip(new(6))))
+         .when(is_old, vals(old(1), old(2), old(3), canon.strip(old(4)))).otherwise(vals(text)))
+    rated = F.col("_severity").isNotNull()
+    none = F.array().cast("array<string>")
+    return (F.concat(k, F.when(rated, F.array(F.lit("syslog_severity"))).otherwise(none)),
+            F.concat(v, F.when(rated, F.array("_severity")).otherwise(none)))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Mixed ``line`` rows to records: JSON objects, CEF, LEEF, syslog, each by its own shape."""
-    line = F.col("line")
-    shaped = lines.withColumn("format", line_format(line))
-    text = F.rtrim(line, F.lit(","))
-    made = (F.when(F.col("format") == "json", unwrap(text))
-            .when(F.col("format") == "cef", F.array(parse_cef(line)))
-            .when(F.col("format") == "leef", F.array(parse_leef(line)))
-            .otherwise(F.array(parse_syslog(line)))).cast(MAPS)
-    rows = shaped.select("origin_file", "line", "format", F.explode(made).alias("record"))
-    raw = F.when(F.col("format") == "json", F.to_json("record", {"ignoreNullFields": "false"})).otherwise(F.col("line"))
+    """Mixed ``line`` rows to records: JSON objects, CEF, LEEF, syslog, each by its own shape.
+
+    Keys and values are columns before they become a map, so the expressions
+    that find them run once per line.
+    """
+    line, fmt = F.col("line"), F.col("format")
+    shaped = with_format(lines)
+    has_pri = (fmt == "syslog") & line.rlike(PRIORITY)
+    shaped = shaped.withColumns({
+        "_text": F.when(has_pri, F.regexp_extract(line, PRIORITY, 2)).when(fmt == "syslog", line),
+        "_severity": F.when(has_pri, (F.regexp_extract(line, PRIORITY, 1).try_cast("int") % 8).cast("string")),
+        "_json": F.when(fmt == "json", F.rtrim(line, F.lit(","))),
+    })
+    parsed = {"cef": _cef_fields(), "leef": _leef_fields(), "syslog": _syslog_fields()}
+    pick = lambda i, last: F.concat(reduce(lambda acc, f: acc.when(fmt == f, parsed[f][i]), list(parsed)[1:],
+                                           F.when(fmt == "cef", parsed["cef"][i])), F.array(last))
+    keyed = unwrap(shaped.withColumns({"_keys": pick(0, F.lit("_raw")), "_vals": pick(1, line)}), "_json")
+    made = F.when(fmt == "json", F.col("records")).otherwise(F.array(last_wins_map(F.col("_keys"), F.col("_vals"))))
+    rows = keyed.withColumn("records", made).select("origin_file", "line", "format", F.explode_outer("records").alias("record")).where("record IS NOT NULL")
+    raw = F.when(fmt == "json", F.to_json("record", {"ignoreNullFields": "false"})).otherwise(line)
     return rows.select("record", raw.alias("raw"), "origin_file")
 
 
