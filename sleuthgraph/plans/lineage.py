@@ -1,25 +1,31 @@
-"""Cutting lineage through reliable checkpoints in the shared folder of the cluster."""
+"""Cutting lineage through tables written in the shared checkpoint folder of the cluster.
+
+A written table is computed once (a checkpointed frame is computed twice unless
+it is cached as well), keeps its columns separate and gives the optimiser its
+real size, which decides between broadcast and shuffle joins downstream.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; choose a folder only in local mode without one."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def checkpoint_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a folder of its own only in local mode without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read back from a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, read back from a table in the checkpoint folder."""
+    path = f"{checkpoint_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
