@@ -28,11 +28,16 @@ joined = lambda col: F.array_join(col, ",")
 
 # --- catalog ---------------------------------------------------------------------------------
 
-@query(sql("SELECT pattern, tool, 'binary' AS kind FROM bin_d UNION ALL SELECT pattern, tool, 'fragment' FROM frag_d", "bin_d", "frag_d"))
+@query(sql("""SELECT p.pattern, p.tool, p.kind, count(e.uid) AS events FROM (
+    SELECT pattern, tool, 'binary' AS kind FROM bin_d UNION ALL SELECT pattern, tool, 'fragment' FROM frag_d) p
+  LEFT JOIN ev e ON lower(e.proc_name) = p.pattern GROUP BY ALL""", "bin_d", "frag_d", "ev"))
 def pattern_indexes(spark, sf):
+    """Indexed patterns with the number of events whose process bears that name."""
     tools = cat.catalog(spark).tools
-    return t.binary_index(tools).withColumn("kind", F.lit("binary")).unionByName(
+    names = w.events(spark, sf).groupBy(F.lower("process.name").alias("pattern")).agg(F.count(F.lit(1)).alias("events"))
+    index = t.binary_index(tools).withColumn("kind", F.lit("binary")).unionByName(
         t.fragment_index(tools).withColumn("kind", F.lit("fragment")))
+    return index.join(names, "pattern", "left").fillna(0, ["events"])
 
 
 # --- sightings ---------------------------------------------------------------------------------
