@@ -38,7 +38,7 @@ def union_events(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, D
 # --- redaction --------------------------------------------------------------------
 
 _STRING = r'"(?:[^"\\]|\\.)*+"'
-NESTING = 6
+NESTING = 10
 
 
 def _value_pattern() -> str:
