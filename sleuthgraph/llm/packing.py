@@ -30,7 +30,7 @@ from sleuthgraph.plans.lineage import cut
 END_TOKEN = 1
 CAPACITY = 4096
 SPLITS_PER_LENGTH = 64
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 1_000_000
 LONGEST_CACHED_CHUNK = 48
 # How the vocabulary file splits lower-cased text, restricted to printable ASCII.
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
@@ -229,30 +229,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     parted = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SPLITS_PER_LENGTH)))
     # at most capacity * SPLITS_PER_LENGTH rows, whatever the corpus
-    sizes = parted.groupBy("length", "_part").count().toPandas().sort_values(["length", "_part"])
-    counts = np.zeros(capacity + 1, dtype=np.int64)
-    np.add.at(counts, sizes["length"].to_numpy(int), sizes["count"].to_numpy(int))
-    before = sizes["count"].to_numpy(int).cumsum() - sizes["count"].to_numpy(int)
-    start_of_length = counts.cumsum() - counts
-    base = {(n, p): b - start_of_length[n] for n, p, b in zip(sizes["length"], sizes["_part"], before, strict=True)}
-    shared = spark.sparkContext.broadcast((base, slots(plan(counts, capacity))))
+    sizes = parted.groupBy("length", "_part").count().toPandas()
+    each_part = np.zeros((capacity + 1, SPLITS_PER_LENGTH), dtype=np.int64)
+    each_part[sizes["length"].to_numpy(int), sizes["_part"].to_numpy(int)] = sizes["count"].to_numpy(int)
+    counts = each_part.sum(axis=1)
+    found = slots(plan(counts, capacity))
+    # slots of all lengths under one another; a length begins at first_slot[length]
+    table = np.concatenate([found[n] for n in sorted(found)]) if found else np.zeros((0, 5), dtype=np.int64)
+    key = np.repeat(sorted(found), [len(found[n]) for n in sorted(found)]).astype(np.int64) << 48 | table[:, 0]
+    shared = spark.sparkContext.broadcast((each_part.cumsum(axis=1) - each_part, key, table))
     order = Window.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
     ranked = parted.withColumn("_rank", F.row_number().over(order) - 1)
-    columns = [c for c in pieces.columns]
 
     def place(batches):
-        base, slot = shared.value
+        before, key, table = shared.value
         for batch in batches:
-            parts = []
-            for size, rows in batch.groupby("length", sort=False):
-                table = slot[size]
-                rank = rows["_rank"].to_numpy(np.int64) + np.asarray([base[size, p] for p in rows["_part"]], dtype=np.int64)
-                row = table[np.searchsorted(table[:, 0], rank, side="right") - 1]
-                inner, each = rank - row[:, 0], row[:, 1]
-                parts.append(rows[columns].assign(sequence_id=row[:, 2] + inner // each,
-                                                  offset=row[:, 3] + inner % each * size, by_reduction=row[:, 4] == 1))
-            if parts:
-                yield pd.concat(parts)
+            size = batch["length"].to_numpy(np.int64)
+            rank = batch["_rank"].to_numpy(np.int64) + before[size, batch["_part"].to_numpy(np.int64)]
+            row = table[np.searchsorted(key, size << 48 | rank, side="right") - 1]
+            inner, each = rank - row[:, 0], row[:, 1]
+            yield batch.drop(columns=["_part", "_rank"]).assign(
+                sequence_id=row[:, 2] + inner // each, offset=row[:, 3] + inner % each * size, by_reduction=row[:, 4] == 1)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long, by_reduction boolean")
