@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_runs, packing, quality
+from . import line_runs, packing, quality, sketches
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -35,8 +35,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "score", "predicted"))
 
 
+def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_line_dedup, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_line_dedup, op5_quality_rules, op10_paragraph_sketch)}
 
 
 def oracle_sql() -> dict[str, str]:
