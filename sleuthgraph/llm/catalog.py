@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_runs, packing, quality, sketches
+from . import html_text, line_runs, near_dup, packing, quality, sketches
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,6 +28,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_runs.without_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -35,12 +42,28 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "score", "predicted"))
 
 
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Let Python workers that run beside this source tree import it; elsewhere the package is installed or sent along."""
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root, known = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+        if root not in known.split(os.pathsep):
+            spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
+        return query(spark, sf_dir)
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_line_dedup, op5_quality_rules, op10_paragraph_sketch)}
+    return {f.__name__: with_package(f) for f in (
+        op1_best_fit_packing, op3_composite_density, op4_line_dedup, op5_quality_rules, op7_hyperminhash, op10_paragraph_sketch)}
 
 
 def oracle_sql() -> dict[str, str]:
