@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_runs, near_dup, packing, quality, sketches
+from . import html_text, line_runs, near_dup, packing, quality, sketches, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -28,6 +28,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_composite_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extracted(table(spark, sf_dir, "pages"))
 
@@ -63,7 +67,7 @@ def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[S
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: with_package(f) for f in (
-        op1_best_fit_packing, op3_composite_density, op4_line_dedup, op5_quality_rules, op7_hyperminhash, op10_paragraph_sketch)}
+        op1_best_fit_packing, op2_subsequence_svm, op3_composite_density, op4_line_dedup, op5_quality_rules, op7_hyperminhash, op10_paragraph_sketch)}
 
 
 def oracle_sql() -> dict[str, str]:
