@@ -29,5 +29,5 @@ def new_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, read back from a table in the checkpoint folder."""
     path = new_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
