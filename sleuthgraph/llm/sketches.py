@@ -31,6 +31,8 @@ TABLES = 3
 ROUNDS = 7
 SCALE = 2
 GROWTH = 4
+# ranges of ids for each shuffle partition: the cells of a range stay in memory
+RANGES = 3
 
 
 def _range_of(docs: DataFrame, column: str, ranges: int) -> tuple[Column, list]:
@@ -48,18 +50,19 @@ def _range_of(docs: DataFrame, column: str, ranges: int) -> tuple[Column, list]:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(range, row, doc_id, text, next): each document with the text of the one before it in ascending order.
+    """(range, row, doc_id, text, next_id, next): each document with the text of the one before it in ascending order.
 
     The last document of a range is also sent to the next range that has rows,
     and the last of all to the first, so no window spans more than a range.
     """
-    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     number, _ = _range_of(base, "doc_id", ranges)
     # one row for each range: its largest id
     ends = base.groupBy(number.alias("r")).agg(F.max("doc_id").alias("top")).orderBy("r").collect()
     if not ends:
-        return base.select(F.lit(0).alias("range"), F.lit(0).alias("row"), "doc_id", "text", F.lit("").alias("next"))
+        return base.select(F.lit(0).alias("range"), F.lit(0).alias("row"), "doc_id", "text", F.col("doc_id").alias("next_id"),
+                           F.lit("").alias("next"))
     to = {row["r"]: ends[(k + 1) % len(ends)]["r"] for k, row in enumerate(ends)}
     top = F.create_map(*[F.lit(v) for row in ends if row["top"] is not None for v in (row["r"], row["top"])]) \
         if any(row["top"] is not None for row in ends) else None
@@ -71,8 +74,9 @@ def with_next(docs: DataFrame) -> DataFrame:
             F.struct(F.col("_r").alias("range"), F.lit(False).alias("guest"))))))
     placed = placed.select("_to.range", "_to.guest", "doc_id", "text").repartition(ranges, "range")
     order = Window.partitionBy("range").orderBy(F.col("guest").desc(), F.col("doc_id").asc_nulls_first(), "text")
-    return (placed.withColumns({"next": F.lag("text").over(order), "row": F.row_number().over(order)}).where("not guest")
-            .select("range", "row", "doc_id", "text", "next"))
+    return (placed.withColumns({"next": F.lag("text").over(order), "next_id": F.lag("doc_id").over(order),
+                                "row": F.row_number().over(order)}).where("not guest")
+            .select("range", "row", "doc_id", "text", "next_id", "next"))
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -95,24 +99,25 @@ def _spot(key: Column, times: Column, table: int, cells: Column) -> Column:
     return F.lit(table) * cells + (F.xxhash64(key, times, F.lit(table)).bitwiseAND((cells - 1).cast("long"))).cast("int")
 
 
-def _text(cells: Column) -> Column:
-    """A sketch as text: its non-empty cells in order."""
-    return F.array_join(F.transform(F.array_sort(cells), lambda c: F.concat_ws(
-        ".", c["at"].cast("string"), c["n"].cast("string"), F.lower(F.hex(c["key"])), F.lower(F.hex(c["check"])))), ";")
+def _cell_text() -> Column:
+    """One cell of a fingerprint: place, count, combined digests, combined checks."""
+    return F.concat_ws(".", F.col("at").cast("string"), F.col("n").cast("string"), F.lower(F.hex("key")),
+                       F.lower(F.hex(F.pmod("check", F.lit(1 << 16)))))
 
 
 KEY = ["range", "row"]
 
 
-def sketch(triples: DataFrame, scale: int) -> DataFrame:
-    """(range, row, cells, info, s): the joint cells of the texts a, b and c of each row, and both fingerprints in ``info``.
+def sketch(triples: DataFrame, scale: int, own_scale: int = SCALE) -> DataFrame:
+    """The cells of the texts a, b and c of each row: kind 2 at their joint size, 0 and 1 at the own size of a and of b.
 
     ``triples`` has (range, row, info, a, b, c).  Only one row of a document
     carries ``info``, as a grouping key, so the buffers stay of fixed width.
     """
     sized = triples.select(*KEY, "info", *[_pieces(F.col(t)).alias(t) for t in "abc"])
     sized = sized.withColumns({f"n{k}": F.size(F.array_distinct(t)) for k, t in enumerate("abc")})
-    sizes = {f"z{k}": _cells(F.col(f"n{k}"), scale) for k in range(2)} | {
+    # a fingerprint's own size depends on its text alone, also where the pair is sketched with more cells
+    sizes = {f"z{k}": _cells(F.col(f"n{k}"), own_scale) for k in range(2)} | {
         "cells": F.greatest(*[_cells(F.col(f"n{k}"), scale) for k in range(3)])}
     sized = sized.withColumns(sizes).withColumn("info", F.struct("info.*", "n0", "n1", "n2"))
     none = F.lit(None).cast("long")
@@ -146,34 +151,32 @@ def sketch(triples: DataFrame, scale: int) -> DataFrame:
                   F.coalesce(F.bit_xor(F.when(here, F.col("digest"))), F.lit(0)).alias(f"k{k}"),
                   F.coalesce(F.bit_xor(F.when(here, F.xxhash64("digest", "times"))), F.lit(0)).alias(f"h{k}"),
                   F.coalesce(F.bit_xor(F.when(here, F.col("times"))), F.lit(0)).alias(f"t{k}")]
-    cells = placed.groupBy(*KEY, "z0", "z1", "cells", "info", "p.kind", "p.at").agg(*parts)
-    found = cells.groupBy(*KEY, "z0", "z1", "cells").agg(
-        F.first("info", ignorenulls=True).alias("info"),
-        F.collect_list(F.when(F.col("at") >= 0, F.struct("kind", "at", *[f"{p}{k}" for k in range(3) for p in "ckht"]))).alias("s"))
-
-    def print_of(k: int) -> Column:
-        kind = F.when(F.col(f"z{k}") == F.col("cells"), F.lit(2)).otherwise(F.lit(k))
-        return _text(F.transform(F.filter("s", lambda c: (c["kind"] == kind) & (c[f"c{k}"] > 0)), lambda c: F.struct(
-            c["at"].alias("at"), c[f"c{k}"].alias("n"), c[f"k{k}"].alias("key"), c[f"h{k}"].alias("check"))))
-
-    return found.select(*KEY, "cells", F.struct("info.*", print_of(0).alias("print_a"), print_of(1).alias("print_b")).alias("info"),
-                        F.filter("s", lambda c: c["kind"] == 2).alias("s"))
+    return placed.groupBy(*KEY, "z0", "z1", "cells", "info", "p.kind", "p.at").agg(*parts)
 
 
 def differences(sketched: DataFrame) -> DataFrame:
-    """The cells of a - b (pair 1) and a - c (pair 2) that are not empty, and a row at -1 with ``info``."""
-    zero = F.lit(0).cast("long")
+    """Rows (pair, at, n, key, check, times): pairs 1 and 2 are a - b and a - c, pairs 3 and 4 the fingerprints of a and b.
+
+    Pair 0 stands at -1 and carries ``info``.
+    """
+    def row(pair: int, n: Column, key: Column, check: Column, times: Column) -> Column:
+        return F.struct(F.lit(pair).alias("pair"), F.col("at").alias("at"), n.cast("long").alias("n"), key.alias("key"),
+                        check.alias("check"), times.alias("times"))
 
     def minus(k: int) -> Column:
-        return F.transform("s", lambda c: F.struct(
-            F.lit(k).alias("pair"), c["at"].alias("at"), (c["c0"] - c[f"c{k}"]).cast("long").alias("n"),
-            c["k0"].bitwiseXOR(c[f"k{k}"]).alias("key"), c["h0"].bitwiseXOR(c[f"h{k}"]).alias("check"),
-            c["t0"].bitwiseXOR(c[f"t{k}"]).alias("times"), F.lit(None).alias("info")))
+        return row(k, F.col("c0") - F.col(f"c{k}"), *[F.col(f"{p}0").bitwiseXOR(F.col(f"{p}{k}")) for p in "kht"])
+
+    def of(pair: int, k: int) -> Column:
+        return row(pair, *[F.col(f"{p}{k}") for p in "ckht"])
 
-    head = F.struct(F.lit(0).alias("pair"), F.lit(-1).alias("at"), zero.alias("n"), zero.alias("key"), zero.alias("check"),
-                    F.lit(0).alias("times"), F.col("info").alias("info"))
-    return (sketched.select(*KEY, "cells", F.explode(F.concat(F.array(head), minus(1), minus(2))).alias("x"))
-            .select(*KEY, "cells", "x.*").where("pair = 0 or n <> 0 or key <> 0 or check <> 0"))
+    nothing = F.slice(F.array(of(0, 0)), 1, 0)
+    joint = F.col("kind") == 2
+    out = F.when(F.col("at") < 0, F.array(of(0, 0))).otherwise(F.concat(
+        F.when(joint, F.array(minus(1), minus(2))).otherwise(nothing),
+        *[F.when((joint & (F.col(f"z{k}") == F.col("cells")) | (F.col("kind") == k)) & (F.col(f"c{k}") > 0), F.array(of(3 + k, k)))
+          .otherwise(nothing) for k in (0, 1)]))
+    return (sketched.select(*KEY, "cells", "info", F.explode(out).alias("x")).select(*KEY, "cells", "info", "x.*")
+            .where("pair = 0 or n <> 0 or key <> 0 or check <> 0"))
 
 
 def peel(cells: DataFrame, table: int) -> DataFrame:
@@ -181,7 +184,7 @@ def peel(cells: DataFrame, table: int) -> DataFrame:
 
     An element has one cell in a table, so a round never takes it twice.
     """
-    alone = ((F.col("pair") > 0) & F.col("at").between(F.lit(table) * F.col("cells"), F.lit(table + 1) * F.col("cells") - 1)
+    alone = (F.col("pair").isin(1, 2) & F.col("at").between(F.lit(table) * F.col("cells"), F.lit(table + 1) * F.col("cells") - 1)
              & (F.abs("n") == 1) & (F.xxhash64("key", "times") == F.col("check")))
     row = [F.col(c).alias(c) for c in ("pair", "at", "n", "key", "check", "times", "info")]
     kept = F.array(F.struct(*row))
@@ -201,35 +204,46 @@ def peel(cells: DataFrame, table: int) -> DataFrame:
 
 
 def compare(triples: DataFrame, scale: int, rounds: int = ROUNDS) -> DataFrame:
-    """(range, row, info, near_b, near_c, failed): likeness of a to b and to c by the number of digests that peeling recovers."""
+    """(info, print_a, print_b, near_b, near_c, failed): likeness of a to b and to c by the number of digests that peeling recovers."""
     cells = differences(sketch(triples, scale))
     for k in range(rounds):
         cells = peel(cells, k % TABLES)
     sums = [F.sum(F.when((F.col("pair") == k) & (F.col("at") < 0), F.col("n")).otherwise(0)).alias(f"d{k}") for k in (1, 2)]
-    done = cells.groupBy(*KEY).agg(F.first("info", ignorenulls=True).alias("info"), *sums,
-                                   (F.count(F.when(F.col("at") >= 0, 1)) > 0).alias("failed"))
+    left = F.col("pair").isin(1, 2) & (F.col("at") >= 0)
+    prints = [F.array_join(F.array_sort(F.collect_list(F.when(F.col("pair") == 3 + k, _cell_text()))), ";").alias(f"print_{t}")
+              for k, t in enumerate("ab")]
+    done = cells.groupBy(*KEY).agg(F.first("info", ignorenulls=True).alias("info"), *sums, *prints,
+                                   (F.count(F.when(left, 1)) > 0).alias("failed"))
 
     def likeness(k: int) -> Column:
         total = F.col("info.n0") + F.col(f"info.n{k}")
         return F.when(total == 0, F.lit(1.0)).otherwise((total - F.col(f"d{k}")) / (total + F.col(f"d{k}")))
 
-    return done.select(*KEY, "info", likeness(1).alias("near_b"), likeness(2).alias("near_c"), "failed")
+    return done.select("info", "print_a", "print_b", likeness(1).alias("near_b"), likeness(2).alias("near_c"), "failed")
 
 
 def fingerprints(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """Fingerprints of each text and its edited text, and their likeness to each other and to the next document."""
-    texts = with_next(docs)
-    changed = texts.withColumn("b", edited(F.col("text"), F.col("next")))
-    triples = changed.select("range", "row", F.struct("doc_id", F.length("text").cast("long").alias("n_chars"),
-                                                      F.sha2("b", 256).alias("edited_sha256")).alias("info"),
-                             F.col("text").alias("a"), "b", F.col("next").alias("c"))
-    # written once: where peeling failed, only those pairs are sketched again, with more cells
-    done = cut(compare(triples, scale))
-    out = done.where("not failed")
-    while (again := done.where("failed").select(*KEY)).head(1):
+    def triples(base: DataFrame) -> DataFrame:
+        changed = with_next(base).withColumn("b", edited(F.col("text"), F.col("next")))
+        return changed.select("range", "row", F.struct("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"),
+                                                       F.sha2("b", 256).alias("edited_sha256")).alias("info"),
+                              F.col("text").alias("a"), "b", F.col("next").alias("c"))
+
+    done = cut(compare(triples(docs), scale))
+    out = done
+    while True:
+        # documents whose peeling failed are sketched again, with their next ones beside them and more cells
+        failed = cut(done.where("failed").select("info.doc_id", "info.next_id").distinct())
+        if not failed.head(1):
+            break
         scale *= GROWTH
-        done = cut(compare(triples.join(again, KEY, "left_semi"), scale))
-        out = out.unionByName(done.where("not failed"))
-    return out.select("info.doc_id", "info.n_chars", "info.edited_sha256", F.col("info.print_a").alias("fingerprint"),
-                      F.col("info.print_b").alias("edited_fingerprint"), F.col("near_b").alias("near_edited"),
+        again = failed.select(F.col("doc_id").alias("_id")).distinct()
+        near = again.union(failed.select("next_id")).distinct()
+        few = docs.join(near, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        pairs = triples(few).join(again, F.col("info.doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        done = cut(compare(pairs, scale))
+        out = out.join(again, F.col("info.doc_id").eqNullSafe(F.col("_id")), "left_anti").unionByName(done)
+    return out.select("info.doc_id", "info.n_chars", "info.edited_sha256", F.col("print_a").alias("fingerprint"),
+                      F.col("print_b").alias("edited_fingerprint"), F.col("near_b").alias("near_edited"),
                       F.col("near_c").alias("near_next"))
