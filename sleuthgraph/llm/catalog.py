@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_runs, near_dup, packing, quality, sketches, toxicity
+from . import html_text, line_runs, near_dup, packing, quality, sketches, substrings, suffix_buckets, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -46,10 +46,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "score", "predicted"))
 
 
+def op6_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_buckets.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_doubling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("text")
+
+
 def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -67,7 +75,8 @@ def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[S
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: with_package(f) for f in (
-        op1_best_fit_packing, op2_subsequence_svm, op3_composite_density, op4_line_dedup, op5_quality_rules, op7_hyperminhash, op10_paragraph_sketch)}
+        op1_best_fit_packing, op2_subsequence_svm, op3_composite_density, op4_line_dedup, op5_quality_rules, op6_bucket_pointers,
+        op7_hyperminhash, op9_doubling_windows, op10_paragraph_sketch)}
 
 
 def oracle_sql() -> dict[str, str]:

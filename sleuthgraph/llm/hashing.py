@@ -13,6 +13,7 @@ BASE = 0x9E3779B97F4A7C15
 # The bytes that separate words.
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+PART = 1 << 22
 _powers = {}
 
 
@@ -64,6 +65,13 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, last = word_spans(data)
     if not len(first):
         return np.zeros(0, dtype=U), first, last
+    if len(data) > PART and len(first) > 1:
+        # long texts in parts that end between words, to bound memory
+        cuts = np.unique(np.searchsorted(first, np.arange(PART, len(data), PART)))
+        found = [(lo, words(data[first[lo]:last[hi - 1]])[0]) for lo, hi in zip([0, *cuts], [*cuts, len(first)], strict=True) if hi > lo] \
+            if cuts.size and (cuts[0] > 0 or len(cuts) > 1 or cuts[-1] < len(first)) and np.diff([0, *cuts, len(first)]).max() < len(first) else None
+        if found:
+            return np.concatenate([h for _, h in found]), first, last
     sums, down = prefix(data), powers(len(data))[1]
     return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U)), first, last
 
@@ -97,3 +105,15 @@ def least(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     n, gap = len(values) - span + 1, span - k
     right = cur[gap:gap + n] < cur[:n]
     return np.where(right, cur[gap:gap + n], cur[:n]), np.where(right, at[gap:gap + n], at[:n])
+
+
+def doubled(ids: np.ndarray, length: int) -> np.ndarray:
+    """Identifiers of twice the length, from those at a position and ``length`` later."""
+    return mix(ids[:-length] * U(0x9E3779B97F4A7C15) + ids[length:]) if len(ids) > length else np.zeros(0, dtype=U)
+
+
+def widened(ids: np.ndarray, length: int, size: int) -> np.ndarray:
+    """Identifiers of all windows of ``size``: doubled while that fits, then two overlapping halves."""
+    while 2 * length <= size:
+        ids, length = doubled(ids, length), 2 * length
+    return doubled(ids, size - length) if size > length else ids
