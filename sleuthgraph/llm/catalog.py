@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, line_runs, near_dup, packing, quality, sketches, substrings, suffix_buckets, toxicity
+from . import decontaminate, html_text, line_runs, near_dup, packing, quality, sketches, substrings, suffix_buckets, toxicity
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -54,6 +54,10 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_doubling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents")).drop("text")
 
@@ -62,6 +66,11 @@ def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """Let Python workers that run beside this source tree import it; elsewhere the package is installed or sent along."""
     @wraps(query)
@@ -76,7 +85,7 @@ def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[S
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: with_package(f) for f in (
         op1_best_fit_packing, op2_subsequence_svm, op3_composite_density, op4_line_dedup, op5_quality_rules, op6_bucket_pointers,
-        op7_hyperminhash, op9_doubling_windows, op10_paragraph_sketch)}
+        op7_hyperminhash, op8_simhash_windows, op9_doubling_windows, op10_paragraph_sketch, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -207,3 +207,10 @@ def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, t
            and not c.startswith("c_")]
     return (measured(docs).select(*own, held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, as they are, whose score reaches the threshold."""
+    model = fit(docs, labels, max_rows)
+    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    return measured(whole).where(model.column() >= threshold).select("_doc.*")
