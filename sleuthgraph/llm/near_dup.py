@@ -40,14 +40,14 @@ ROWS_PER_BAND = 6
 BANDS = REGISTERS // ROWS_PER_BAND
 COARSE = 64
 BLOCK = 256
-#: Pairs whose estimate is lower are not verified: seven standard deviations of the 64 coarse registers below 0.85.
-LEAST_ESTIMATE = 0.52
+#: Pairs whose estimate lies so many standard deviations below the threshold are not verified.
+DEVIATIONS = 6
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, coarse binary, bands array<long>"
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
-    """The bucket registers of a shingle set; 0 marks an empty bucket."""
+    """The bucket registers of a shingle set; all 0 for the empty set."""
     out = np.zeros(REGISTERS, dtype=np.uint16)
     if len(hashes):
         h = mix(hashes ^ U(0x5851F42D4C957F2D))
@@ -61,6 +61,15 @@ def registers(hashes: np.ndarray) -> np.ndarray:
         shift = np.maximum(56 - zeros - 1 - MANTISSA_BITS, 0).astype(U)
         mantissa = (least >> shift) & U((1 << MANTISSA_BITS) - 1)
         out[full] = ((zeros.astype(U) + U(1)) << U(MANTISSA_BITS) | mantissa).astype(np.uint16)[full]
+        # an empty bucket borrows from the first filled one on a fixed walk of its own, so that small
+        # sets agree in a register as often as large ones of the same similarity
+        empty, step = np.flatnonzero(~full), 0
+        while len(empty):
+            step += 1
+            there = (mix(empty.astype(U) * U(0x2545F4914F6CDD1D) + U(step)) >> U(56)).astype(np.int64)
+            found = full[there]
+            out[empty[found]] = out[there[found]]
+            empty = empty[~found]
     return out
 
 
@@ -89,7 +98,6 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 with np.errstate(over="ignore"):
                     a, b = (mix(s).sum(dtype=U), mix(s ^ U(0xD6E8FEB86659FD93)).sum(dtype=U))
                 coarse = (mix(regs[:COARSE].astype(U)) >> U(56)).astype(np.uint8)
-                coarse[regs[:COARSE] == 0] = 0
                 rows.append((doc, len(s), a.view(np.int64), b.view(np.int64), coarse.tobytes(), band_keys(regs).view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "coarse", "bands"]).astype({"doc_id": "Int64"})
 
@@ -123,35 +131,37 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     return both.select("a", "b", "left", "right").mapInPandas(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame) -> DataFrame:
+def _across(members: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components inside a band whose registers look alike, from blocks of at most about ``BLOCK`` rows."""
     counts = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
     mixed = counts.where("x <> y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     blocks = (members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-              .groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "component", "coarse")).alias("rows")))
+              .groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "component", "n_shingles", "coarse")).alias("rows")))
     ahead = blocks.select("key", F.col("rows").alias("here"), "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
     pairs = ahead.join(blocks.select("key", F.col("block").alias("other"), F.col("rows").alias("there")), ["key", "other"])
+    least = percent / 100
 
     def run(batches):
         for batch in batches:
             found = []
             for here, there in zip(batch["here"], batch["there"], strict=True):
-                (xn, xc, xr), (yn, yc, yr) = _block(here), _block(there)
+                (xn, xc, xs, xr), (yn, yc, ys, yr) = _block(here), _block(there)
                 for k in range(len(xn)):
-                    filled = ((yr > 0) | (xr[k] > 0)).sum(axis=1)
-                    near = corrected(((yr == xr[k]) & (yr > 0)).sum(axis=1), filled, 1 / 256) >= LEAST_ESTIMATE
-                    near |= filled < COARSE // 2  # too few registers for an estimate
-                    for y in yn[near & (yc != xc[k])]:
-                        found.append((max(xn[k], y), min(xn[k], y)))
+                    low, high = np.minimum(ys, xs[k]), np.maximum(ys, xs[k])
+                    near = (yc != xc[k]) & (100 * low >= percent * high)
+                    if near.any():
+                        # the spread of the estimate is that of as many draws as there are registers or shingles
+                        bound = least - DEVIATIONS * np.sqrt(least * (1 - least) / np.minimum(COARSE, low[near]))
+                        close = corrected((yr[near] == xr[k]).sum(axis=1), COARSE, 1 / 256) >= bound
+                        found += [(max(xn[k], y), min(xn[k], y)) for y in yn[near][close]]
             yield pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
 
     return pairs.select("here", "there").mapInPandas(run, "a long, b long").distinct()
 
 
-def _block(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    get = (lambda r, c: r[c])
-    return (np.array([get(r, "node") for r in rows]), np.array([get(r, "component") for r in rows]),
-            np.stack([np.frombuffer(get(r, "coarse"), dtype=np.uint8) for r in rows]))
+def _block(rows) -> tuple[np.ndarray, ...]:
+    return (np.array([r["node"] for r in rows]), np.array([r["component"] for r in rows]), np.array([r["n_shingles"] for r in rows]),
+            np.stack([np.frombuffer(r["coarse"], dtype=np.uint8) for r in rows]))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -161,18 +171,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = known.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"))
     member = cut(known.where("doc_id is not null and n_shingles > 0").select("doc_id", "set_a", "set_b", "n_shingles")
                  .join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "node"))
-    nodes = (known.where("n_shingles > 1").select(F.col("doc_id").alias("node"), "bands", "coarse")
+    nodes = (known.where("n_shingles > 1").select(F.col("doc_id").alias("node"), "bands", "n_shingles", "coarse")
              .join(member.where("doc_id = node").select("node").distinct(), "node", "left_semi"))
     bands = nodes.select(F.explode("bands").alias("key"), "node")
     shared = bands.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("key", "b")
     # rows of bands that more than one class has, each beside the least of its band
     inside = cut(bands.join(shared, "key"))
-    first = cut(inside.where("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    sizes = nodes.select("node", "n_shingles")
+    first = cut(inside.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+                .join(sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("x")), "a")
+                .join(sizes.select(F.col("node").alias("b"), F.col("n_shingles").alias("y")), "b")
+                .where(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).select("a", "b"))
     links = cut(verified(first, docs, size, percent))
     found = components(links)
     labelled = (inside.select("key", "node").join(found.withColumnRenamed("component", "_c"), "node", "left")
-                .join(nodes.select("node", "coarse"), "node").select("key", "node", F.coalesce("_c", "node").alias("component"), "coarse"))
-    rest = cut(_across(cut(labelled)).join(first, ["a", "b"], "left_anti"))
+                .join(nodes.select("node", "n_shingles", "coarse"), "node")
+                .select("key", "node", F.coalesce("_c", "node").alias("component"), "n_shingles", "coarse"))
+    rest = cut(_across(cut(labelled), percent).join(first, ["a", "b"], "left_anti"))
     links = links.unionByName(verified(rest, docs, size, percent)).unionByName(
         member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     found = components(links)
