@@ -181,15 +181,21 @@ def train(toxic: list[set[str]], clean: list[set[str]], seed: int = 11) -> Model
     marks = seeds + common[:LANDMARKS - len(seeds)]
     marks = list(dict.fromkeys(marks))
     ids, weights = subsequences(marks)
-    landmarks = np.zeros((len(marks), FEATURES), dtype=np.float32)
-    np.add.at(landmarks, (np.arange(len(marks))[:, None], ids), weights)
+    # only features that a landmark has count in the kernel; column 0 takes the others
+    used = np.unique(ids[weights > 0])
+    column = np.zeros(FEATURES, dtype=np.int64)
+    column[used] = np.arange(1, len(used) + 1)
+
+    def spread(i: np.ndarray, w: np.ndarray) -> np.ndarray:
+        flat = np.arange(len(i))[:, None] * (len(used) + 1) + column[i]
+        out = np.bincount(flat.ravel(), w.ravel(), len(i) * (len(used) + 1)).reshape(len(i), -1).astype(np.float32)
+        out[:, 0] = 0
+        return out
+
+    landmarks = np.concatenate([spread(ids[k:k + 64], weights[k:k + 64]) for k in range(0, len(ids), 64)])
 
     def kernel(words: list[str]) -> np.ndarray:
-        out = np.empty((len(words), len(marks)), dtype=np.float32)
-        for k in range(0, len(words), 256):
-            i, w = subsequences(words[k:k + 256])
-            out[k:k + 256] = np.einsum("mnf,nf->nm", landmarks[:, i], w)
-        return out
+        return np.concatenate([spread(*subsequences(words[k:k + 64])) @ landmarks.T for k in range(0, len(words), 64)])
 
     gram = landmarks @ landmarks.T
     values, vectors = np.linalg.eigh(gram.astype(float))
@@ -205,7 +211,9 @@ def train(toxic: list[set[str]], clean: list[set[str]], seed: int = 11) -> Model
         y = np.append(np.ones(len(pos)), -np.ones(len(neg)))
         cost = np.append(np.full(len(pos), len(neg) / max(len(pos), 1)), np.ones(len(neg)))
         w, bias = _svm(x, y, np.minimum(cost, 20))
-        model = Model((landmarks.T @ (root @ w)).astype(np.float32), bias, (0.0, 0.0, 0.0, 0.0))
+        vector = np.zeros(FEATURES, dtype=np.float32)
+        vector[used] = (landmarks.T @ (root @ w))[1:]
+        model = Model(vector, bias, (0.0, 0.0, 0.0, 0.0))
         scores = dict(zip(benign, model.margins(benign).tolist(), strict=True))
         hard = hard[:3000] + sorted(benign, key=lambda v: (-scores[v], v))[:1000]
         # the witness of a toxic text: its most toxic segments that clean texts do not have
