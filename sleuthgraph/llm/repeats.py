@@ -75,7 +75,9 @@ def _whole(ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _based(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.hash("text").alias("row_hash"), "text")
+    """Documents without an id stand before all others."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return docs.select(own.alias("doc_id"), F.hash("text").alias("row_hash"), "text")
 
 
 def _scan(docs: DataFrame, shape: Shape, schema: str, rows) -> DataFrame:
@@ -107,8 +109,6 @@ def _frame(found: list[dict], names: list[str]) -> pd.DataFrame:
     for n in names:
         if isinstance(found[0][n], np.ndarray) or isinstance(found[0][n], list):
             columns[n] = np.concatenate([f[n] for f in found]) if isinstance(found[0][n], np.ndarray) else [x for f in found for x in f[n]]
-        elif n == "doc_id":
-            columns[n] = pd.array([None if pd.isna(f[n]) else int(f[n]) for f in found], dtype="Int64").repeat(counts)
         else:
             columns[n] = np.repeat(np.asarray([f[n] for f in found]), counts)
     return pd.DataFrame(columns)
@@ -187,7 +187,7 @@ def _refined(docs: DataFrame, shape: Shape, several: DataFrame, keep_first: bool
 
     def name(batches):
         for b in batches:
-            keys = _run_key(b["doc_id"].fillna(0).to_numpy(np.int64), b["row_hash"].to_numpy(np.int64), b["start"].to_numpy(np.int64),
+            keys = _run_key(b["doc_id"].to_numpy(np.int64), b["row_hash"].to_numpy(np.int64), b["start"].to_numpy(np.int64),
                             b["anchor"].to_numpy(np.int64).view(U), b["side"].to_numpy(np.int64))
             yield pd.DataFrame({"k": _signed(keys)})
 
@@ -195,8 +195,7 @@ def _refined(docs: DataFrame, shape: Shape, several: DataFrame, keep_first: bool
 
     def survivors(doc, row, r: Runs):
         place = r.first.astype(np.int64) + r.offset
-        own = 0 if pd.isna(doc) else int(doc)
-        sides = [names.has(_signed(_run_key(own, row, place, r.anchor, k))) for k in (0, 1)]
+        sides = [names.has(_signed(_run_key(doc, row, place, r.anchor, k))) for k in (0, 1)]
         keep = np.flatnonzero(sides[0] | sides[1])
         if not len(keep):
             return None
@@ -242,9 +241,8 @@ def with_spans(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
     """The documents (doc_id, text) with ``spans``: sorted, merged (first unit, end) of what repeats."""
     each = (spans.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct(
         "start", (F.col("start") + F.col("n_windows") + size - 1).alias("end"))).alias("spans")))
-    base = _based(docs).alias("d")
-    match = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.row_hash") == F.col("s.row_hash"))
-    return base.join(each.alias("s"), match, "left").select("d.doc_id", "d.text", "s.spans")
+    base = _based(docs).withColumn("id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
+    return base.join(each, ["doc_id", "row_hash"], "left").select(F.col("id").alias("doc_id"), "text", "spans")
 
 
 def merged(spans) -> list[tuple[int, int]]:
