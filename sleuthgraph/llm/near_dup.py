@@ -4,7 +4,7 @@ A shingle hash picks one of 256 buckets; the bucket keeps the leading-zero count
 and ten mantissa bits of its least hash.  Six registers make a band.  Documents
 with equal shingle sets are one class from the start, so copies of any number
 cost one row each.  Class representatives that share a band are candidates:
-first each against the least of its band, then, inside bands that still hold
+first each against the member of its band that shares most bands with others, then, inside bands that still hold
 more than one component, all pairs of different components, compared in blocks
 by their registers (Jaccard corrected for chance matches of registers).  Every
 link is confirmed on the full sets.
@@ -38,22 +38,38 @@ REGISTERS = 256
 MANTISSA_BITS = 10
 ROWS_PER_BAND = 6
 BANDS = REGISTERS // ROWS_PER_BAND
-COARSE = 64
+COARSE = 512
 BLOCK = 256
 #: Pairs whose estimate lies so many standard deviations below the threshold are not verified.
-DEVIATIONS = 6
+DEVIATIONS = 5
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, coarse binary, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, coarse binary, digests binary, bands array<long>"
+
+
+def leasts(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filled buckets, by the leading bits, and the least remainder in each."""
+    h = np.sort(hashes)
+    bucket = (h >> U(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    return bucket[first], h[first] & U((1 << (64 - bits)) - 1)
+
+
+def coarse_of(hashes: np.ndarray) -> np.ndarray:
+    """One byte for each of ``COARSE`` buckets, 0 where it is empty: for estimates only."""
+    out = np.zeros(COARSE, dtype=np.uint8)
+    if len(hashes):
+        bucket, rest = leasts(mix(hashes ^ U(0x27220A95FE1DBA6B)), COARSE.bit_length() - 1)
+        out[bucket] = (mix(rest) % U(255)).astype(np.uint8) + np.uint8(1)
+    return out
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
     """The bucket registers of a shingle set; all 0 for the empty set."""
     out = np.zeros(REGISTERS, dtype=np.uint16)
     if len(hashes):
-        h = mix(hashes ^ U(0x5851F42D4C957F2D))
-        bucket, rest = (h >> U(56)).astype(np.int64), h & U((1 << 56) - 1)
+        bucket, rest = leasts(mix(hashes ^ U(0x5851F42D4C957F2D)), 8)
         least = np.full(REGISTERS, U((1 << 56) - 1))
-        np.minimum.at(least, bucket, rest)
+        least[bucket] = rest
         full = np.zeros(REGISTERS, dtype=bool)
         full[bucket] = True
         width = np.frexp(least.astype(np.float64))[1].astype(np.int64)  # bits in use
@@ -74,7 +90,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 
 def band_keys(regs: np.ndarray) -> np.ndarray:
-    """One key for each band that has a filled register."""
+    """One key for each band; none for the empty set."""
     rows = regs[:BANDS * ROWS_PER_BAND].reshape(BANDS, ROWS_PER_BAND).astype(U)
     key = np.arange(1, BANDS + 1, dtype=U)
     for k in range(ROWS_PER_BAND):
@@ -88,6 +104,19 @@ def corrected(matches: np.ndarray, filled: np.ndarray, chance: float) -> np.ndar
     return np.clip((share - chance) / (1 - chance), 0, 1)
 
 
+def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarity of one coarse sketch to each of several."""
+    filled = ((x > 0) | (y > 0)).sum(axis=1)
+    return corrected(((x == y) & (x > 0)).sum(axis=1), filled, 1 / 255)
+
+
+def bound(x: np.ndarray, y: np.ndarray, total: np.ndarray, least: float) -> np.ndarray:
+    """The least estimate of a pair that may reach ``least``: the filled buckets are draws from the union without return."""
+    filled = np.maximum(((x > 0) | (y > 0)).sum(axis=1), 1)
+    union = np.maximum(total / (1 + least), filled + 1)
+    return least - DEVIATIONS * np.sqrt(least * (1 - least) / filled * np.maximum(1 - filled / union, 0.05)) - 2 / filled
+
+
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -97,9 +126,10 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 regs = registers(s)
                 with np.errstate(over="ignore"):
                     a, b = (mix(s).sum(dtype=U), mix(s ^ U(0xD6E8FEB86659FD93)).sum(dtype=U))
-                coarse = (mix(regs[:COARSE].astype(U)) >> U(56)).astype(np.uint8)
-                rows.append((doc, len(s), a.view(np.int64), b.view(np.int64), coarse.tobytes(), band_keys(regs).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "coarse", "bands"]).astype({"doc_id": "Int64"})
+                keys = band_keys(regs)
+                rows.append((doc, len(s), a.view(np.int64), b.view(np.int64), coarse_of(s).tobytes(),
+                             (keys >> U(32)).astype(np.uint32).tobytes(), keys.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "set_a", "set_b", "coarse", "digests", "bands"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, SKETCH)
 
@@ -136,32 +166,33 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
     counts = members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
     mixed = counts.where("x <> y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     blocks = (members.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-              .groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("node", "component", "n_shingles", "coarse")).alias("rows")))
-    ahead = blocks.select("key", F.col("rows").alias("here"), "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
+              .groupBy("band", "key", "blocks", "block")
+              .agg(F.collect_list(F.struct("node", "component", "n_shingles", "coarse", "digests")).alias("rows")))
+    ahead = blocks.select("band", "key", F.col("rows").alias("here"), "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("other"))
     pairs = ahead.join(blocks.select("key", F.col("block").alias("other"), F.col("rows").alias("there")), ["key", "other"])
-    least = percent / 100
 
     def run(batches):
         for batch in batches:
             found = []
-            for here, there in zip(batch["here"], batch["there"], strict=True):
-                (xn, xc, xs, xr), (yn, yc, ys, yr) = _block(here), _block(there)
+            for band, here, there in zip(batch["band"], batch["here"], batch["there"], strict=True):
+                (xn, xc, xs, xr, xd), (yn, yc, ys, yr, yd) = _block(here), _block(there)
                 for k in range(len(xn)):
                     low, high = np.minimum(ys, xs[k]), np.maximum(ys, xs[k])
-                    near = (yc != xc[k]) & (100 * low >= percent * high)
-                    if near.any():
-                        # the spread of the estimate is that of as many draws as there are registers or shingles
-                        bound = least - DEVIATIONS * np.sqrt(least * (1 - least) / np.minimum(COARSE, low[near]))
-                        close = corrected((yr[near] == xr[k]).sum(axis=1), COARSE, 1 / 256) >= bound
-                        found += [(max(xn[k], y), min(xn[k], y)) for y in yn[near][close]]
+                    near = np.flatnonzero((yc != xc[k]) & (100 * low >= percent * high))
+                    # a pair is looked at in the first band that it shares
+                    near = near[(yd[near] == xd[k]).argmax(axis=1) == band]
+                    if len(near):
+                        close = estimate(xr[k], yr[near]) >= bound(xr[k], yr[near], xs[k] + ys[near], percent / 100)
+                        found += [(max(xn[k], y), min(xn[k], y)) for y in yn[near[close]]]
             yield pd.DataFrame(sorted(set(found)), columns=["a", "b"]).astype("int64")
 
-    return pairs.select("here", "there").mapInPandas(run, "a long, b long").distinct()
+    return pairs.select("band", "here", "there").mapInPandas(run, "a long, b long").distinct()
 
 
 def _block(rows) -> tuple[np.ndarray, ...]:
     return (np.array([r["node"] for r in rows]), np.array([r["component"] for r in rows]), np.array([r["n_shingles"] for r in rows]),
-            np.stack([np.frombuffer(r["coarse"], dtype=np.uint8) for r in rows]))
+            np.stack([np.frombuffer(r["coarse"], dtype=np.uint8) for r in rows]),
+            np.stack([np.frombuffer(r["digests"], dtype=np.uint32) for r in rows]))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -171,23 +202,26 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = known.where("doc_id is not null and n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"))
     member = cut(known.where("doc_id is not null and n_shingles > 0").select("doc_id", "set_a", "set_b", "n_shingles")
                  .join(classes, ["set_a", "set_b", "n_shingles"]).select("doc_id", "node"))
-    nodes = (known.where("n_shingles > 1").select(F.col("doc_id").alias("node"), "bands", "n_shingles", "coarse")
+    nodes = (known.where("n_shingles > 1").select(F.col("doc_id").alias("node"), "bands", "n_shingles", "coarse", "digests")
              .join(member.where("doc_id = node").select("node").distinct(), "node", "left_semi"))
-    bands = nodes.select(F.explode("bands").alias("key"), "node")
-    shared = bands.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b <> top").select("key", "b")
-    # rows of bands that more than one class has, each beside the least of its band
-    inside = cut(bands.join(shared, "key"))
+    bands = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
+    inside = cut(bands.join(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+    # the pivot of a band is the member that shares most with others: of copies of one text, that text itself
+    liked = inside.groupBy("node").agg(F.sum("n").alias("liked"))
+    pivots = inside.join(liked, "node").groupBy("key").agg(F.max(F.struct("liked", (-F.col("node")).alias("m"))).alias("p"))
     sizes = nodes.select("node", "n_shingles")
-    first = cut(inside.where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    first = cut(inside.join(pivots.select("key", (-F.col("p.m")).alias("b")), "key").where("node <> b")
+                .select(F.col("node").alias("a"), "b").distinct()
                 .join(sizes.select(F.col("node").alias("a"), F.col("n_shingles").alias("x")), "a")
                 .join(sizes.select(F.col("node").alias("b"), F.col("n_shingles").alias("y")), "b")
                 .where(100 * F.least("x", "y") >= percent * F.greatest("x", "y")).select("a", "b"))
     links = cut(verified(first, docs, size, percent))
     found = components(links)
-    labelled = (inside.select("key", "node").join(found.withColumnRenamed("component", "_c"), "node", "left")
-                .join(nodes.select("node", "n_shingles", "coarse"), "node")
-                .select("key", "node", F.coalesce("_c", "node").alias("component"), "n_shingles", "coarse"))
-    rest = cut(_across(cut(labelled), percent).join(first, ["a", "b"], "left_anti"))
+    labelled = (inside.select("band", "key", "node").join(found.withColumnRenamed("component", "_c"), "node", "left")
+                .join(nodes.select("node", "n_shingles", "coarse", "digests"), "node")
+                .select("band", "key", "node", F.coalesce("_c", "node").alias("component"), "n_shingles", "coarse", "digests"))
+    done = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = cut(_across(cut(labelled), percent).join(done, ["a", "b"], "left_anti"))
     links = links.unionByName(verified(rest, docs, size, percent)).unionByName(
         member.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
     found = components(links)
