@@ -8,7 +8,8 @@ lets more rows pass, and nothing else changes.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAST_BITS = 1 << 16
@@ -21,10 +22,10 @@ class Bitmap:
     def __init__(self, hashes: DataFrame, column: str):
         count = hashes.count()
         bits = LEAST_BITS
-        while bits < min(16 * count, MOST_BITS):
+        while bits < min(32 * count, MOST_BITS):
             bits *= 2
-        spot = F.pmod(F.hash(column), F.lit(bits))
-        rows = (hashes.select(spot.alias("s")).groupBy(F.floor(F.col("s") / 32).cast("int").alias("w"))
+        spots = F.array(*[F.pmod(F.hash(*first, column), F.lit(bits)) for first in ([], [F.lit(1)])])
+        rows = (hashes.select(F.explode(spots).alias("s")).groupBy(F.floor(F.col("s") / 32).cast("int").alias("w"))
                 .agg(F.bit_or(F.expr("shiftleft(1L, s % 32)")).alias("b")).toPandas())
         table = np.zeros(bits // 32, dtype=np.uint32)
         table[rows["w"].to_numpy(int)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
@@ -33,20 +34,36 @@ class Bitmap:
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         """Whether each hash may be among those given; never false for one that is."""
-        spot = _murmur(hashes.view(np.uint64)) % np.int64(self.bits)
-        return (self.shared.value[spot >> 5] >> (spot & 31).astype(np.uint32)) & np.uint32(1) == 1
+        x, table, out = hashes.view(np.uint64), self.shared.value, np.ones(len(hashes), dtype=bool)
+        halves = [(x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)]
+        for seed in (np.full(1, 42, dtype=np.uint32), _murmur([np.ones(1, dtype=np.uint32)], np.full(1, 42, dtype=np.uint32))):
+            spot = _murmur(halves, seed).astype(np.int64) % self.bits
+            out &= (table[spot >> 5] >> (spot & 31).astype(np.uint32)) & np.uint32(1) == 1
+        return out
 
+    def may(self, *columns: str) -> Column:
+        """A test of rows by the hash of their columns (``key_of``); for columns without nulls."""
+        def test(keys: pd.Series) -> pd.Series:
+            return pd.Series(self.has(keys.to_numpy(np.int64)))
 
-def _murmur(x: np.ndarray) -> np.ndarray:
-    """Spark's ``hash`` of a long (public 32-bit Murmur 3, seed 42), as non-negative remainder-ready numbers."""
+        return F.pandas_udf(test, "boolean")(key_of(*columns))
+
+
+def key_of(*columns: str) -> Column:
+    """One long for several columns."""
+    return F.xxhash64(*columns)
+
+
+def _murmur(words: list[np.ndarray], seed: np.ndarray) -> np.ndarray:
+    """Spark's ``hash`` of an int or long (public 32-bit Murmur 3), from its 32-bit words; the seed is the hash so far."""
     def turn(v, r):
         return (v << np.uint32(r)) | (v >> np.uint32(32 - r))
 
-    h = np.full(len(x), 42, dtype=np.uint32)
-    for half in ((x & np.uint64(0xFFFFFFFF)).astype(np.uint32), (x >> np.uint64(32)).astype(np.uint32)):
-        k = turn(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = np.repeat(seed, len(words[0])) if len(seed) == 1 else seed
+    for word in words:
+        k = turn(word * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
         h = turn(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
-    h ^= np.uint32(8)
+    h = h ^ np.uint32(4 * len(words))
     h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
     h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return (h ^ (h >> np.uint32(16))).astype(np.int64)
+    return h ^ (h >> np.uint32(16))

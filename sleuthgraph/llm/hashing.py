@@ -94,26 +94,38 @@ def shingles(text: str | None, size: int = 5, lower: bool = True) -> np.ndarray:
     return np.unique(windows(h, min(size, len(h)), salt=len(h) if len(h) < size else 0))
 
 
-def least(values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(value, position) of the leftmost least value in each window of ``span``."""
-    at, cur, k = np.arange(len(values), dtype=np.int64), values, 1
+PLACE_BITS = 18
+
+
+def least(values: np.ndarray, span: int) -> np.ndarray:
+    """Position of the least value in each window of ``span``; values count by their leading bits, the leftmost of equals.
+
+    The position stands in the trailing bits, so one minimum finds both; at most 2 ** PLACE_BITS values.
+    """
+    places = U((1 << PLACE_BITS) - 1)
+    cur, k = values & ~places | np.arange(len(values), dtype=U), 1
     while 2 * k <= span:
-        right = cur[k:] < cur[:-k]
-        at = np.where(right, at[k:], at[:-k])
-        cur = np.where(right, cur[k:], cur[:-k])
+        cur = np.minimum(cur[k:], cur[:-k])
         k *= 2
     n, gap = len(values) - span + 1, span - k
-    right = cur[gap:gap + n] < cur[:n]
-    return np.where(right, cur[gap:gap + n], cur[:n]), np.where(right, at[gap:gap + n], at[:n])
+    return (np.minimum(cur[gap:gap + n], cur[:n]) & places).astype(np.int64)
 
 
-def doubled(ids: np.ndarray, length: int) -> np.ndarray:
-    """Identifiers of twice the length, from those at a position and ``length`` later."""
-    return mix(ids[:-length] * U(0x9E3779B97F4A7C15) + ids[length:]) if len(ids) > length else np.zeros(0, dtype=U)
+def identifiers(grams: np.ndarray, gram: int, size: int, at: np.ndarray) -> np.ndarray:
+    """Identifiers of the windows of ``size`` at some positions, from those of ``gram``.
 
-
-def widened(ids: np.ndarray, length: int, size: int) -> np.ndarray:
-    """Identifiers of all windows of ``size``: doubled while that fits, then two overlapping halves."""
+    The identifier of twice a length is made of those at the position and one length later, again
+    and again; the last step takes two that overlap.
+    """
+    length = gram
     while 2 * length <= size:
-        ids, length = doubled(ids, length), 2 * length
-    return doubled(ids, size - length) if size > length else ids
+        length *= 2
+    if size > length:
+        return pair(identifiers(grams, gram, length, at), identifiers(grams, gram, length, at + (size - length)))
+    if length == gram:
+        return grams[at]
+    return pair(identifiers(grams, gram, length // 2, at), identifiers(grams, gram, length // 2, at + length // 2))
+
+
+def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * U(0x9E3779B97F4A7C15) + b)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sleuthgraph.plans.lineage import cut
 
-from .bitmaps import Bitmap
+from .bitmaps import Bitmap, key_of
 from .components import components
 from .hashing import U, mix, shingles
 
@@ -136,13 +136,8 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    involved = Bitmap(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id"), "id")
-
-    @F.pandas_udf("boolean")
-    def may(ids: pd.Series) -> pd.Series:
-        return pd.Series(involved.has(ids.fillna(0).to_numpy(np.int64)))
-
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & may("doc_id"))
+    involved = Bitmap(pairs.select("a").union(pairs.select("b")).distinct().select(key_of("a").alias("id")), "id")
+    texts = docs.select("doc_id", "text").where("doc_id is not null").where(involved.may("doc_id"))
     both = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b"))
 

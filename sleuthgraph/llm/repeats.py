@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 
 from sleuthgraph.plans.lineage import cut
 
-from .bitmaps import Bitmap
-from .hashing import U, doubled, least, mix, utf8, widened, windows, words
+from .bitmaps import Bitmap, key_of
+from .hashing import U, identifiers, least, mix, windows, words
 
-SLICE = 1 << 18
+SLICE = 1 << 17
 BLOCK = 8
 WHO = ["doc_id", "row_hash", "start"]
 
@@ -39,39 +39,71 @@ class Shape:
     gram: int
     size: int
 
-    def values(self, text: str | None) -> np.ndarray:
-        data = utf8(text)
-        return data if self.units == "bytes" else words(data)[0]
+    def values(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Units of several texts, one after the other, and how many each has."""
+        if self.units == "bytes":
+            return np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts])
+        found, first, _ = words(np.frombuffer(b" ".join(texts), dtype=np.uint8))
+        edges = np.cumsum([len(t) + 1 for t in texts])
+        return found, np.diff(np.searchsorted(first, edges), prepend=0)
 
 
 @dataclass
 class Runs:
-    """Runs of one slice of a text: windows ``first`` to ``end`` share the anchor at ``anchor_at``."""
+    """Runs of windows: from ``first`` up to ``end`` they share the anchor at ``anchor_at``; ``begin`` is where their text begins."""
 
-    offset: int
-    ids: np.ndarray
-    twice: np.ndarray
+    grams: np.ndarray
     anchor: np.ndarray
     anchor_at: np.ndarray
     first: np.ndarray
     end: np.ndarray
-
-
-def runs(values: np.ndarray, shape: Shape):
-    """The runs of a text, slice by slice; a slice holds whole windows."""
-    total = len(values) - shape.size + 1
-    for at in range(0, max(total, 0), SLICE):
-        part = values[at:at + SLICE + shape.size - 1]
-        grams = windows(part, shape.gram)
-        value, place = least(grams, shape.size - shape.gram + 1)
-        first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        yield Runs(at, widened(grams, shape.gram, shape.size), doubled(grams, shape.gram), value[first], place[first], first,
-                   np.append(first[1:], len(place)))
-
-
-def _whole(ids: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    begin: np.ndarray
+    doc: np.ndarray
+    row: np.ndarray
+
+    def of(self, keep: np.ndarray) -> dict:
+        return {"anchor": _signed(self.anchor[keep]), "doc_id": self.doc[keep], "row_hash": self.row[keep]}
+
+
+def runs(values: np.ndarray, counts: np.ndarray, doc: np.ndarray, row: np.ndarray, shape: Shape, skipped: int = 0) -> Runs | None:
+    """The runs of texts that stand one after the other; no window reaches into the next text."""
+    n_windows = np.maximum(counts - shape.size + 1, 0)
+    if not n_windows.any():
+        return None
+    begins = np.cumsum(counts) - counts
+    grams = windows(values, shape.gram)
+    starts, owner = _ranges(begins, n_windows), np.repeat(np.arange(len(counts)), n_windows)
+    place = least(grams, shape.size - shape.gram + 1)[starts]
+    head = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])))
+    first, last = starts[head], starts[np.append(head[1:], len(starts)) - 1]
+    owner, place = owner[head], place[head]
+    return Runs(grams, grams[place], place, first, last + 1, begins[owner] - skipped, doc[owner], row[owner])
+
+
+def _chunks(batch: pd.DataFrame, shape: Shape):
+    """Runs of a batch: short texts together, so that work is done on long arrays; long texts in slices of whole windows."""
+    doc, row = batch["doc_id"].to_numpy(np.int64), batch["row_hash"].to_numpy(np.int32)
+    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
+    held, size = [], 0
+    for k, text in enumerate(texts):
+        if len(text) > SLICE:
+            values = shape.values([text])[0]
+            for at in range(0, max(len(values) - shape.size + 1, 0), SLICE):
+                part = values[at:at + SLICE + shape.size - 1]
+                yield runs(part, np.array([len(part)]), doc[[k]], row[[k]], shape, at)
+            continue
+        held.append(k)
+        size += len(text)
+        if size > SLICE // 2:
+            yield runs(*shape.values([texts[j] for j in held]), doc[held], row[held], shape)
+            held, size = [], 0
+    if held:
+        yield runs(*shape.values([texts[j] for j in held]), doc[held], row[held], shape)
+
+
+def _whole(of_first: np.ndarray, of_last: np.ndarray, number: np.ndarray) -> np.ndarray:
     """Identifier of consecutive windows that overlap or touch: the first, the last and their number tell all their units."""
-    return mix(ids[first] * U(0xD6E8FEB86659FD93) + mix(ids[end - 1] + (end - first).astype(U)))
+    return mix(of_first * U(0xD6E8FEB86659FD93) + mix(of_last + number.astype(U)))
 
 
 def _based(docs: DataFrame) -> DataFrame:
@@ -81,37 +113,44 @@ def _based(docs: DataFrame) -> DataFrame:
 
 
 def _scan(docs: DataFrame, shape: Shape, schema: str, rows) -> DataFrame:
-    """``rows(doc_id, row_hash, runs)`` gives columns for a slice; they are joined for each batch."""
+    """``rows(runs)`` gives columns, or nothing."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches):
         for batch in batches:
-            found: list[dict] = []
-            size = 0
-            for doc, row, text in zip(batch["doc_id"], batch["row_hash"], batch["text"], strict=True):
-                for piece in runs(shape.values(text), shape):
-                    out = rows(doc, row, piece)
-                    if out is not None:
-                        found.append(out)
-                        size += len(out[names[-1]])
-                if size > 50_000:
-                    yield _frame(found, names)
-                    found, size = [], 0
-            if found:
-                yield _frame(found, names)
-
-    return _based(docs).mapInPandas(run, schema)
-
-
-def _frame(found: list[dict], names: list[str]) -> pd.DataFrame:
-    counts = [len(f[names[-1]]) for f in found]
-    columns = {}
-    for n in names:
-        if isinstance(found[0][n], np.ndarray) or isinstance(found[0][n], list):
-            columns[n] = np.concatenate([f[n] for f in found]) if isinstance(found[0][n], np.ndarray) else [x for f in found for x in f[n]]
-        else:
-            columns[n] = np.repeat(np.asarray([f[n] for f in found]), counts)
-    return pd.DataFrame(columns)
+            for piece in _chunks(batch, shape):
+                out = rows(piece) if piece is not None else None
+                if out is not None:
+                    yield pd.DataFrame({n: out[n] for n in names})
+
+    return docs.mapInPandas(run, schema)
+
+
+WHOLE = -1
+
+
+def _copies(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal texts: all their rows with the first of each group, and the rows that are not that first one."""
+    key = ["text_a", "text_b", "n"]
+    own = base.select("doc_id", "row_hash", F.xxhash64("text").alias("text_a"), F.xxhash64(F.lit(1), "text").alias("text_b"),
+                      F.length("text").alias("n")).where("n > 0")
+    groups = own.groupBy(*key).agg(F.count("*").alias("n_rows"), F.min(F.struct("doc_id", "row_hash")).alias("first")).where("n_rows > 1")
+    members = cut(own.join(groups, key).select("doc_id", "row_hash", (F.struct("doc_id", "row_hash") != F.col("first")).alias("later")))
+    return members, members.where("later").select("doc_id", "row_hash").distinct()
+
+
+def _without(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents that are not in ``rows``; only texts that may be are shuffled."""
+    may = Bitmap(cut(rows.select(key_of("doc_id", "row_hash").alias("k"))), "k").may("doc_id", "row_hash")
+    marked = base.withColumn("_may", may)
+    return marked.where(~F.col("_may")).drop("_may").unionByName(
+        marked.where("_may").drop("_may").join(rows, ["doc_id", "row_hash"], "left_anti"))
+
+
+def _ranges(first: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each range, one after the other."""
+    ends = np.cumsum(number)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + number, number)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -119,9 +158,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _run_key(doc, row, start: np.ndarray, anchor: np.ndarray, side) -> np.ndarray:
-    """The name of a run in a bitmap, for one side; ``doc`` and ``row`` are numbers or arrays."""
-    own = np.atleast_1d(np.asarray(doc, dtype=np.int64)).view(U) * U(0x9E3779B97F4A7C15) + np.atleast_1d(np.asarray(row, dtype=np.int64)).view(U)
-    return mix(anchor ^ mix(mix(own) + start.astype(U) * U(2) + np.atleast_1d(np.asarray(side, dtype=np.int64)).view(U)))
+    """The name of a run in a bitmap, for one side."""
+    own = doc.astype(np.int64).view(U) * U(0x9E3779B97F4A7C15) + row.astype(np.int64).view(U)
+    return mix(anchor ^ mix(mix(own) + start.astype(U) * U(2) + np.broadcast_to(side, len(own)).astype(U)))
 
 
 def _repeated(rows: DataFrame, keys: list[str], first: bool) -> DataFrame:
@@ -141,25 +180,31 @@ def _others(rows: DataFrame, groups: DataFrame, keys: list[str], keep_first: boo
 def repeated_windows(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFrame:
     """(doc_id, row_hash, start, n_windows): runs of windows that also stand elsewhere (earlier, where the first stays).
 
-    ``docs`` is read three times; spans of one document may overlap.
+    ``n_windows`` is ``WHOLE`` where a whole text does.  ``docs`` is read four times; spans of one document may overlap.
     """
     gram, size = shape.gram, shape.size
+    # copies of whole texts are settled first, and one of each goes on
+    members, later = _copies(_based(docs))
+    whole = members.where("later") if keep_first else members
+    docs = _without(_based(docs), later)
     # anchors alone, counted
-    counted = _scan(docs, shape, "anchor long", lambda doc, row, r: {"anchor": _signed(r.anchor)}).groupBy("anchor").count()
+    counted = _scan(docs, shape, "anchor long", lambda r: {"anchor": _signed(r.anchor)}).groupBy("anchor").count()
     anchors = Bitmap(cut(counted.where("count > 1").select("anchor")), "anchor")
 
-    def occurrences(doc, row, r: Runs):
+    def occurrences(r: Runs):
         keep = np.flatnonzero(anchors.has(_signed(r.anchor)))
         if not len(keep):
             return None
         first, end, at = r.first[keep], r.end[keep], r.anchor_at[keep]
-        right = np.where(at + 2 * gram <= end - 1 + size, r.twice[np.minimum(at, len(r.twice) - 1)], U(0))
-        left = np.where(at - gram >= first, r.twice[np.clip(at - gram, 0, len(r.twice) - 1)], U(0))
-        return {"anchor": _signed(r.anchor[keep]), "whole": _signed(_whole(r.ids, first, end)), "to_left": _signed(left),
-                "to_right": _signed(right), "doc_id": doc, "row_hash": row, "offset": (at - first).astype(np.int32),
-                "n_windows": (end - first).astype(np.int32), "start": first.astype(np.int64) + r.offset}
-
-    seen = cut(_scan(docs, shape, "anchor long, whole long, to_left long, to_right long, doc_id long, row_hash int, offset int, "
+        # grams of twice the length to either side, where a window of the run holds them
+        has_right, has_left = at + 2 * gram <= end - 1 + size, at - gram >= first
+        right = np.where(has_right, identifiers(r.grams, gram, 2 * gram, np.where(has_right, at, 0)), U(0))
+        left = np.where(has_left, identifiers(r.grams, gram, 2 * gram, np.where(has_left, at - gram, 0)), U(0))
+        whole = _whole(*[identifiers(r.grams, gram, size, p) for p in (first, end - 1)], end - first)
+        return r.of(keep) | {"whole": _signed(whole), "to_left": _signed(left), "to_right": _signed(right),
+                             "n_windows": (end - first).astype(np.int32), "start": first - r.begin[keep]}
+
+    seen = cut(_scan(docs, shape, "anchor long, whole long, to_left long, to_right long, doc_id long, row_hash int, "
                      "n_windows int, start long", occurrences))
     kinds = cut(seen.groupBy("anchor", "whole").agg(
         F.count("*").alias("n_rows"), F.min(F.struct(*WHO)).alias("first"), F.first("to_left").alias("to_left"),
@@ -169,14 +214,15 @@ def repeated_windows(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFra
     # one run of each kind, where an anchor has several kinds
     several = kinds.groupBy("anchor").count().where("count > 1").select("anchor")
     several = kinds.join(several, "anchor").select("anchor", "first.*", "to_left", "to_right")
-    spans += _refined(docs, shape, several, keep_first)
+    spans += _refined(docs, shape, anchors, several, keep_first)
+    spans.append(whole.select("doc_id", "row_hash", F.lit(0).cast("long").alias("start"), F.lit(WHOLE).alias("n_windows")))
     out = spans[0]
     for s in spans[1:]:
         out = out.unionByName(s)
     return out
 
 
-def _refined(docs: DataFrame, shape: Shape, several: DataFrame, keep_first: bool) -> list[DataFrame]:
+def _refined(docs: DataFrame, shape: Shape, anchors: Bitmap, several: DataFrame, keep_first: bool) -> list[DataFrame]:
     gram, size = shape.gram, shape.size
     several = cut(several)
     sides = several.select("anchor", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("to_left").alias("id")),
@@ -193,45 +239,46 @@ def _refined(docs: DataFrame, shape: Shape, several: DataFrame, keep_first: bool
 
     names = Bitmap(cut(alive.mapInPandas(name, "k long")), "k")
 
-    def survivors(doc, row, r: Runs):
-        place = r.first.astype(np.int64) + r.offset
-        sides = [names.has(_signed(_run_key(doc, row, place, r.anchor, k))) for k in (0, 1)]
-        keep = np.flatnonzero(sides[0] | sides[1])
+    def survivors(r: Runs):
+        known = np.flatnonzero(anchors.has(_signed(r.anchor)))
+        sides = np.zeros((2, len(r.anchor)), dtype=bool)
+        for k in (0, 1):
+            sides[k, known] = names.has(_signed(_run_key(r.doc[known], r.row[known], (r.first - r.begin)[known], r.anchor[known], k)))
+        # a window at offset o behind its start holds the left gram from o = gram on, the right one up to size - 2 gram
+        low, high = r.anchor_at - (r.end - 1), r.anchor_at - r.first
+        high = np.where(sides[0], high, np.minimum(high, gram - 1))
+        low = np.where(sides[1], low, np.maximum(low, size - 2 * gram + 1))
+        keep = np.flatnonzero((sides[0] | sides[1]) & (low <= high))
         if not len(keep):
             return None
-        out = {k: [] for k in ("anchor", "ids", "offset", "start")}
-        for k in keep.tolist():
-            # a window at offset o behind its start holds the left gram from o = gram on, the right one up to size - 2 gram
-            first, end, at = int(r.first[k]), int(r.end[k]), int(r.anchor_at[k])
-            lo, hi = at - (end - 1), at - first
-            if not sides[0][k]:
-                hi = min(hi, gram - 1)
-            if not sides[1][k]:
-                lo = max(lo, size - 2 * gram + 1)
-            if lo <= hi:
-                out["anchor"].append(int(r.anchor[k].view(np.int64)))
-                out["ids"].append(_signed(r.ids[at - hi:at - lo + 1]))
-                out["offset"].append(hi)
-                out["start"].append(at - hi + r.offset)
-        if not out["start"]:
-            return None
-        return {"doc_id": doc, "row_hash": row, **{k: v if k == "ids" else np.asarray(v) for k, v in out.items()}}
-
-    left = cut(_scan(docs, shape, "anchor long, ids array<long>, doc_id long, row_hash int, offset int, start long", survivors))
-    # blocks of windows whose offsets have one quotient, so equal windows are in equal blocks
-    parts = F.transform(F.sequence(F.floor((F.col("offset") - F.size("ids") + 1) / BLOCK), F.floor(F.col("offset") / BLOCK)), lambda b: F.struct(
-        b.alias("block"), F.greatest(F.lit(0), F.col("offset") - (b + 1) * BLOCK + 1).cast("int").alias("lo"),
+        at, low, high = r.anchor_at[keep], low[keep], high[keep]
+        ids = identifiers(r.grams, gram, size, _ranges(at - high, high - low + 1))
+        blocks = high // BLOCK - low // BLOCK + 1
+        # cores from the lowest block up: at -8b, falling
+        cores = identifiers(r.grams, gram, size - BLOCK + 1, np.repeat(at - BLOCK * (low // BLOCK), blocks)
+                            - BLOCK * _ranges(np.zeros(len(blocks), dtype=np.int64), blocks))
+        return r.of(keep) | {"ids": np.split(_signed(ids), np.cumsum(high - low + 1)[:-1]),
+                             "cores": np.split(_signed(cores), np.cumsum(blocks)[:-1]), "offset": high.astype(np.int32),
+                             "start": at - high - r.begin[keep]}
+
+    left = cut(_scan(docs, shape, "anchor long, ids array<long>, cores array<long>, doc_id long, row_hash int, offset int, start long",
+                     survivors))
+    # blocks of windows whose offsets have one quotient, so equal windows are in equal blocks; all windows of a
+    # block hold its core, so where no other block of the anchor has that core, none of its windows repeats
+    parts = F.transform(F.sequence(F.floor((F.col("offset") - F.size("ids") + 1) / BLOCK), F.floor(F.col("offset") / BLOCK)), lambda b, i: F.struct(
+        b.alias("block"), F.get("cores", i).alias("core"), F.greatest(F.lit(0), F.col("offset") - (b + 1) * BLOCK + 1).cast("int").alias("lo"),
         F.least(F.size("ids") - 1, F.col("offset") - b * BLOCK).cast("int").alias("hi")))
     blocks = left.select("anchor", "doc_id", "row_hash", "start", "offset", "ids", F.explode(parts).alias("b")).select(
-        "anchor", "b.block", "doc_id", "row_hash", (F.col("start") + F.col("b.lo")).alias("start"),
+        "anchor", "b.block", "b.core", "doc_id", "row_hash", (F.col("start") + F.col("b.lo")).alias("start"),
         (F.col("offset") - F.col("b.lo")).alias("offset"), F.slice("ids", F.col("b.lo") + 1, F.col("b.hi") - F.col("b.lo") + 1).alias("ids"))
     blocks = blocks.select("*", F.xxhash64("ids").alias("whole"), F.size("ids").alias("n_windows"))
-    keys = ["anchor", "block", "whole"]
+    keys = ["anchor", "block", "core", "whole"]
     groups = cut(_repeated(blocks, keys, True))
     spans = [_others(blocks.select(*keys, *WHO, "n_windows"), groups, keys, keep_first)]
-    several = groups.groupBy("anchor", "block").count().where("count > 1").select("anchor", "block")
-    last = groups.join(several, ["anchor", "block"]).select(*keys, "first.*")
-    ones = cut(blocks.select(*keys, *WHO, "ids").join(last, [*keys, *WHO], "left_semi").select(
+    several = groups.groupBy("anchor", "block", "core").count().where("count > 1").drop("count")
+    last = cut(groups.join(several, ["anchor", "block", "core"]).select(*keys, "first.*"))
+    open_ = Bitmap(last.select(key_of(*keys, *WHO).alias("k")), "k").may(*keys, *WHO)
+    ones = cut(blocks.select(*keys, *WHO, "ids").where(open_).join(last, [*keys, *WHO], "left_semi").select(
         "anchor", "doc_id", "row_hash", F.posexplode("ids").alias("k", "id"), "start")
         .select("anchor", "id", "doc_id", "row_hash", (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n_windows")))
     return spans + [_others(ones, _repeated(ones, ["anchor", "id"], True), ["anchor", "id"], keep_first)]
@@ -239,15 +286,21 @@ def _refined(docs: DataFrame, shape: Shape, several: DataFrame, keep_first: bool
 
 def with_spans(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
     """The documents (doc_id, text) with ``spans``: sorted, merged (first unit, end) of what repeats."""
-    each = (spans.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct(
-        "start", (F.col("start") + F.col("n_windows") + size - 1).alias("end"))).alias("spans")))
-    base = _based(docs).withColumn("id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
-    return base.join(each, ["doc_id", "row_hash"], "left").select(F.col("id").alias("doc_id"), "text", "spans")
-
-
-def merged(spans) -> list[tuple[int, int]]:
-    """Spans joined where they overlap or touch."""
+    end = F.when(F.col("n_windows") == WHOLE, F.lit(WHOLE)).otherwise(F.col("start") + F.col("n_windows") + size - 1)
+    each = cut(spans.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", end.alias("end"))).alias("spans")))
+    # only texts that may have spans are shuffled to meet them
+    may = Bitmap(each.select(key_of("doc_id", "row_hash").alias("k")), "k").may("doc_id", "row_hash")
+    base = _based(docs).withColumn("_may", may)
+    out = base.where(~F.col("_may")).withColumn("spans", F.lit(None).cast(each.schema["spans"].dataType)).unionByName(
+        base.where("_may").join(each, ["doc_id", "row_hash"], "left"))
+    return out.select(F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")).alias("doc_id"), "text", "spans")
+
+
+def merged(spans, units: int, size: int) -> list[tuple[int, int]]:
+    """Spans of a text of so many units, joined where they overlap or touch."""
     out: list[tuple[int, int]] = []
+    if spans is not None and any(s["end"] == WHOLE for s in spans):
+        return [(0, units)] if units >= size else []
     for first, end in sorted((s["start"], s["end"]) for s in spans) if spans is not None else ():
         if out and first <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))

@@ -36,7 +36,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             out = []
             for doc, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
                 w = utf8(text).tobytes().split()
-                gone = merged(spans)
+                gone = merged(spans, len(w), window)
                 kept, at = [], 0
                 for first, end in gone:
                     kept += w[at:first]

@@ -41,7 +41,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         for batch in batches:
             out = []
             for doc, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-                data, gone, kept, at = utf8(text).tobytes(), merged(spans), [], 0
+                data, kept, at = utf8(text).tobytes(), [], 0
+                gone = merged(spans, len(data), window)
                 for first, end in gone:
                     kept.append(data[at:first])
                     at = end

@@ -141,8 +141,19 @@ def test_long_texts_hash_in_parts(monkeypatch):
 
 def test_least_takes_the_leftmost():
     v = np.array([5, 3, 3, 9, 1, 1, 7, 2], dtype=np.uint64)
-    value, at = hashing.least(v, 3)
-    assert at.tolist() == [1, 1, 4, 4, 4, 5] and value.tolist() == [3, 3, 1, 1, 1, 1]
+    assert hashing.least(v << np.uint64(40), 3).tolist() == [1, 1, 4, 4, 4, 5]
+
+
+def test_identifiers_follow_content():
+    v = np.random.default_rng(2).integers(0, 3, 400).astype(np.uint8)
+    for gram, size in ((4, 4), (4, 8), (4, 13), (8, 35), (32, 100)):
+        grams = hashing.windows(v, gram)
+        at = np.arange(len(v) - size + 1)
+        ids = hashing.identifiers(grams, gram, size, at)
+        seen = {}
+        for k in at:
+            assert seen.setdefault(v[k:k + size].tobytes(), ids[k]) == ids[k]
+        assert len(set(seen.values())) == len(seen)
 
 
 def test_sketches(documents, corpus, nothing):
