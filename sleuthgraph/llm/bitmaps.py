@@ -22,13 +22,14 @@ class Bitmap:
     def __init__(self, hashes: DataFrame, column: str):
         count = hashes.count()
         bits = LEAST_BITS
-        while bits < min(32 * count, MOST_BITS):
+        while bits < min(16 * count, MOST_BITS):
             bits *= 2
         spots = F.array(*[F.pmod(F.hash(*first, column), F.lit(bits)) for first in ([], [F.lit(1)])])
         rows = (hashes.select(F.explode(spots).alias("s")).groupBy(F.floor(F.col("s") / 32).cast("int").alias("w"))
-                .agg(F.bit_or(F.expr("shiftleft(1L, s % 32)")).alias("b")).toPandas())
+                .agg(F.bit_or(F.expr("shiftleft(1L, s % 32)")).alias("b")).mapInPandas(_packed, "w binary, b binary"))
         table = np.zeros(bits // 32, dtype=np.uint32)
-        table[rows["w"].to_numpy(int)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
+        for row in rows.toLocalIterator(prefetchPartitions=True):
+            table[np.frombuffer(row["w"], dtype=np.uint32)] = np.frombuffer(row["b"], dtype=np.uint32)
         self.bits = bits
         self.shared = hashes.sparkSession.sparkContext.broadcast(table)
 
@@ -49,6 +50,12 @@ class Bitmap:
         return F.pandas_udf(test, "boolean")(key_of(*columns))
 
 
+def _packed(batches):
+    for batch in batches:
+        if len(batch):
+            yield pd.DataFrame({c: [batch[c].to_numpy(np.int64).astype(np.uint32).tobytes()] for c in ("w", "b")})
+
+
 def key_of(*columns: str) -> Column:
     """One long for several columns."""
     return F.xxhash64(*columns)
