@@ -262,7 +262,25 @@ def kill_chain_levels(spark, sf):
     return iterate.assign_levels(built(spark, sf).cut()).select("node_id", "level")
 
 
-@query()
+LABEL_ROUNDS = 12
+
+
+def communities_sql(nodes: str, links: str) -> str:
+    """Label rounds unrolled: most frequent label among oneself and the neighbours, the smallest on a tie."""
+    steps = [f"edges AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT source AS a, target AS b FROM ({links}) UNION ALL "
+             f"SELECT target, source FROM ({links})))", f"lab0 AS MATERIALIZED (SELECT node_id, node_id AS label FROM ({nodes}))"]
+    for k in range(1, LABEL_ROUNDS + 1):
+        steps.append(f"""lab{k} AS MATERIALIZED (SELECT node_id, label FROM (SELECT node_id, label, row_number() OVER (
+          PARTITION BY node_id ORDER BY count(*) DESC, label) AS place FROM (SELECT e.b AS node_id, l.label FROM edges e
+          JOIN lab{k - 1} l ON l.node_id = e.a UNION ALL SELECT node_id, label FROM lab{k - 1}) GROUP BY node_id, label) WHERE place = 1)""")
+    return ", ".join(steps)
+
+
+CLUSTERS = f"""SELECT l.node_id, r.cluster FROM lab{LABEL_ROUNDS} l JOIN (SELECT label,
+  row_number() OVER (ORDER BY count(*) DESC, label) - 1 AS cluster FROM lab{LABEL_ROUNDS} GROUP BY label) r USING (label)"""
+
+
+@query(sql(f", {communities_sql('SELECT node_id FROM nodes', 'SELECT source, target FROM links')} {CLUSTERS}", "nodes", "links"))
 def node_communities(spark, sf):
     return iterate.assign_clusters(built(spark, sf).cut()).select("node_id", "cluster")
 
@@ -298,8 +316,12 @@ def trade_degrees(spark, sf):
     return g.end_totals(g.aggregate_links(trade_relations(spark, sf))).select("node_id", "rel_weight", F.col("degree").cast("bigint").alias("degree"))
 
 
-@query()
+TRADES = "SELECT DISTINCT 'user:c' || o_custkey AS source, 'host:s' || l_suppkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+
+
+@query(f"""WITH trades AS MATERIALIZED ({TRADES}), {communities_sql("SELECT source AS node_id FROM trades UNION SELECT target FROM trades",
+       "SELECT source, target FROM trades")} SELECT node_id, label FROM lab{LABEL_ROUNDS}""")
 def trade_communities(spark, sf):
     links = cut(g.aggregate_links(trade_relations(spark, sf)))
     nodes = links.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
-    return iterate.label_propagation(nodes, links, rounds=4)
+    return iterate.label_propagation(nodes, links)

@@ -159,7 +159,7 @@ def full_narrative(spark, sf):
 
 @query(sql(f"SELECT {ENTRY} FROM entries ORDER BY severity DESC, time, first_uid LIMIT 60", "entries"))
 def report_narrative(spark, sf):
-    return entry_rows(rp.narrative(w.events(spark, sf)), "source")
+    return entry_rows(rp.narrative(w.events(spark, sf), limit=60), "source")
 
 
 STEPS.update({
@@ -183,7 +183,7 @@ def entity_story(spark, sf):
     events = w.events(spark, sf)
     graph = g.build_graph(events)
     bridge = g.link_events(m.relation_mentions(events), graph.aliases)
-    return entry_rows(rp.story(events, bridge, top_user(graph)), "rel", "other", "outbound")
+    return entry_rows(rp.story(events, bridge, top_user(graph), limit=120), "rel", "other", "outbound")
 
 
 # --- report sections -----------------------------------------------------------------------------------
@@ -210,8 +210,8 @@ DIGEST = "sha256('indicator:' || kind || ':' || value)"
 
 @query(sql(f"""SELECT 'indicator--' || left({DIGEST}, 8) || '-' || substr({DIGEST}, 9, 4) || '-' || substr({DIGEST}, 13, 4) || '-' ||
     substr({DIGEST}, 17, 4) || '-' || substr({DIGEST}, 21, 12) AS id, kind || ': ' || value AS name, least(100, risk) AS confidence,
-  CASE kind {' '.join(f"WHEN {q(k)} THEN replace({q(v)}, '%s', replace(value, '''', chr(92) || ''''))" for k, v in fixed.IOC_PATTERN.items())}
-  END AS pattern FROM iocs""", "iocs"))
+  CASE WHEN algo = 'md5' THEN '[file:hashes.''MD5'' = ''' || value || ''']' ELSE CASE kind {' '.join(f"WHEN {q(k)} THEN replace({q(v)}, '%s', replace(value, '''', chr(92) || ''''))" for k, v in fixed.IOC_PATTERN.items())}
+  END END AS pattern FROM iocs""", "iocs"))
 def stix_indicators(spark, sf):
     objects = rp.stix_objects(rp.indicators(enriched(spark, sf).nodes), "Incident", CREATED).where("type = 'indicator'")
     body = F.from_json("object", "id string, name string, confidence int, pattern string").alias("o")
@@ -233,7 +233,7 @@ def kill_chain(spark, sf):
 @query(sql(f"""SELECT tactic, count(*) AS lines, min(epoch_us(time)) AS first_line FROM (
     SELECT *, row_number() OVER (PARTITION BY tactic ORDER BY time, first_uid) AS n FROM (
       SELECT DISTINCT time, first_uid, unnest([{tactic_of('tech1')}, {tactic_of('tech2')}]) AS tactic FROM (
-        SELECT * FROM entries ORDER BY severity DESC, time, first_uid LIMIT 60)) WHERE tactic IS NOT NULL)
+        SELECT * FROM entries)) WHERE tactic IS NOT NULL)
   WHERE n <= 6 GROUP BY tactic""", "entries"))
 def kill_chain_evidence(spark, sf):
     stages = rp.kill_chain(enriched(spark, sf).nodes, cut(rp.narrative(w.events(spark, sf))))

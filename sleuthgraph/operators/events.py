@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,21 +40,52 @@ def union_events(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, D
 # --- redaction --------------------------------------------------------------------
 
 _STRING = r'"(?:[^"\\]|\\.)*+"'
-NESTING = 10
+_SECRET = rf'("(?:[^"\\]|\\.)*?(?i:{fixed.SECRET_KEYS})(?:[^"\\]|\\.)*?"\s*:\s*)'
+_OPENED = re.compile(_SECRET + r"(?=[\[{])")
+_MARKS = re.compile(_STRING + r"|[\[\]{}]")
 
 
-def _value_pattern() -> str:
-    """A JSON value whose arrays and objects nest at most ``NESTING`` deep."""
-    inner = rf'[\[{{](?:[^"\[\]{{}}]|{_STRING})*+[\]}}]'
-    for _ in range(NESTING):
-        inner = rf'[\[{{](?:[^"\[\]{{}}]|{_STRING}|{inner})*+[\]}}]'
-    return rf'(?:{_STRING}|{inner}|[^\s,}}\]]+)'
+def _nested_redacted(raw: Column) -> Column:
+    """Replace arrays and objects under secret keys; their depth is counted, so any is fine.
+
+    All in one closure, so workers need not have this package.
+    """
+    opened, marks, shown = _OPENED, _MARKS, f'"{fixed.REDACTED}"'
+
+    def without(text):
+        out, at = [], 0
+        while text is not None and (found := opened.search(text, at)):
+            depth, end = 0, len(text)
+            for mark in marks.finditer(text, found.end()):
+                depth += {"[": 1, "{": 1, "]": -1, "}": -1}.get(mark[0], 0)
+                if not depth:
+                    end = mark.end()
+                    break
+            out += [text[at:found.end()], shown]
+            at = end
+        return None if text is None else "".join(out) + text[at:]
+
+    def redacted(batch: pd.Series) -> pd.Series:
+        return batch.map(without)
+
+    return F.pandas_udf(redacted, "string")(raw)
 
 
 def redact_json(raw: Column) -> Column:
-    """JSON text with the value of every secret-looking key replaced, at any depth."""
-    key = rf'("(?:[^"\\]|\\.)*?(?i:{fixed.SECRET_KEYS})(?:[^"\\]|\\.)*?"\s*:\s*)'
-    return F.regexp_replace(raw, key + _value_pattern(), f'$1"{fixed.REDACTED}"')
+    """JSON text with the value of every secret-looking key replaced, at any depth.
+
+    Plain values go by one regular expression; only texts with a nested secret
+    value, which no expression can delimit, are sent through Python.
+    """
+    nested = raw.rlike(_SECRET + r"[\[{]")
+    flat = F.when(nested, _nested_redacted(F.when(nested, raw))).otherwise(raw)
+    return F.regexp_replace(flat, _SECRET + rf'(?:{_STRING}|[^\s,}}\]\["{{]+)', f'$1"{fixed.REDACTED}"')
+
+
+def redact_text(raw: Column) -> Column:
+    """``key=value`` and ``key: value`` of a text line with secret-looking keys; quoted values as a whole."""
+    return F.regexp_replace(raw, rf'(?i)([\w.-]*(?:{fixed.SECRET_KEYS})[\w.-]*\s*[=:]\s*)(?:{_STRING}|[^\s,;|&]+)',
+                            f"$1{fixed.REDACTED}")
 
 
 def redact_map(record: Column) -> Column:
@@ -62,12 +95,13 @@ def redact_map(record: Column) -> Column:
 
 
 def redact(events: DataFrame) -> DataFrame:
-    return events.withColumn("raw", redact_json(F.col("raw")))
+    raw = F.col("raw")
+    return events.withColumn("raw", F.when(raw.rlike(r"^\s*[\[{]"), redact_json(raw)).otherwise(redact_text(raw)))
 
 
 # --- lookup ---------------------------------------------------------------------------
 
-def fetch_events(events: DataFrame, requested: DataFrame | Sequence[str], limit: int | None = 500) -> DataFrame:
+def fetch_events(events: DataFrame, requested: DataFrame | Sequence[str], limit: int | None = None) -> DataFrame:
     """Events by uid in the requested order, each once.
 
     ``requested`` is a list of uids or a frame (uid, position).
@@ -109,6 +143,12 @@ def _moment(bound, now):
     return values.parse_moment(bound, now) if isinstance(bound, str) else bound
 
 
+def _spelled(asked: Sequence[str], known) -> list[str]:
+    """The stored spellings of names given in any case; unknown ones as given."""
+    stored = {k.lower(): k for k in known}
+    return sorted({stored.get(a.lower(), a) for a in asked} | set(asked))
+
+
 def filter_events(events: DataFrame, time_from=None, time_to=None, min_severity: int = 0,
                   sources: Sequence[str] | None = None, tactics: Sequence[str] | None = None,
                   classes: Sequence[str] | None = None, text: str | None = None,
@@ -127,9 +167,10 @@ def filter_events(events: DataFrame, time_from=None, time_to=None, min_severity:
     if min_severity:
         out = out.where(F.col("severity") >= min_severity)
     if sources:
-        out = out.where(F.lower("source").isin(lowered(sources)))
+        # bare columns reach the Parquet scan; names are spelled as stored
+        out = out.where(F.col("source").isin(_spelled(sources, fixed.SOURCES)))
     if classes:
-        out = out.where(F.lower("class_name").isin(lowered(classes)))
+        out = out.where(F.col("class_name").isin(_spelled(classes, fixed.CLASS_UIDS)))
     if tactics:
         wanted = F.array(*[F.lit(t) for t in lowered(tactics)])
         out = out.where(F.arrays_overlap(F.transform("mitre", lambda t: F.lower(t["tactic"])), wanted))
@@ -168,7 +209,7 @@ def is_key_event() -> Column:
 
 # --- drill-down ---------------------------------------------------------------------------
 
-def events_of_node(events: DataFrame, node_ids: DataFrame, mentions: DataFrame, limit: int | None = 200) -> DataFrame:
+def events_of_node(events: DataFrame, node_ids: DataFrame, mentions: DataFrame, limit: int | None = None) -> DataFrame:
     """Stored events behind the given nodes (frame with node_id), in time order.
 
     ``mentions`` is the resolved bridge (node_id, uid); the join key is the uid.
@@ -178,7 +219,7 @@ def events_of_node(events: DataFrame, node_ids: DataFrame, mentions: DataFrame,
     return out if limit is None else out.limit(limit)
 
 
-def events_of_link(events: DataFrame, links: DataFrame, bridge: DataFrame, limit: int | None = 200) -> DataFrame:
+def events_of_link(events: DataFrame, links: DataFrame, bridge: DataFrame, limit: int | None = None) -> DataFrame:
     """Stored events behind the given links (frame with source, target, rel)."""
     key = ["source", "target", "rel"]
     uids = bridge.join(links.select(*key).distinct(), key, "left_semi").select("uid").distinct()

@@ -18,7 +18,6 @@ from ..functions import canon, fixed, values
 from ..sources.records import last_wins_map
 from . import field_names as names
 
-MESSAGE_CHARS = 400
 ENTITY_TYPE = "array<struct<type:string,value:string>>"
 
 
@@ -352,7 +351,7 @@ def _events(derived: DataFrame, ingest_time: dt.datetime) -> DataFrame:
         F.to_date("_time").alias("event_date"), vendor.alias("source"), origin.alias("origin"), "class_name",
         values.class_uid(c("class_name")).alias("class_uid"), "activity", "severity",
         F.when(silent, "unknown").when(c("_failed"), "failure").otherwise("success").alias("status"),
-        F.substring(F.coalesce("s_message", default_message), 1, MESSAGE_CHARS).alias("message"),
+        F.coalesce("s_message", default_message).alias("message"),
         F.when(known("_user"), F.struct(c("_user").alias("user"), c("_user_domain").alias("domain"), c("s_sid").alias("sid"),
                                         c("s_session").alias("session_id"))).alias("actor"),
         _endpoint(c("_src_host"), c("_src_ip"), F.when(known("s_src_ip", "s_src_host"), values.to_int(c("s_src_port")))).alias("src"),

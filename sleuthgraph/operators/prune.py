@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .graph import Graph, ordered_nodes
 
 ISOLATED_RISK = 60
@@ -45,24 +46,25 @@ def keep_types(graph: Graph, entity_types: Sequence[str] | None = None,
 def neighborhood(links: DataFrame, start: str, hops: int) -> DataFrame:
     """Node ids within ``hops`` undirected steps of ``start`` (with their distance).
 
-    One join per hop against the same two-way edge list, de-duplicated after
-    each, so the whole walk is one lazy plan whose exchanges are reused.
+    Each hop joins only the nodes that the last one reached first.
     """
+    if hops < 1:
+        raise ValueError("hops must be at least 1")
     edges = links.select(F.inline(F.array(
         F.struct(F.col("source").alias("a"), F.col("target").alias("b")),
         F.struct(F.col("target").alias("a"), F.col("source").alias("b"))))).distinct()
-    reached = links.sparkSession.createDataFrame([(start, 0)], "node_id string, distance int")
+    reached = frontier = links.sparkSession.createDataFrame([(start, 0)], "node_id string, distance int")
     for hop in range(1, hops + 1):
-        grown = edges.join(reached, edges["a"] == reached["node_id"]).select(
-            F.col("b").alias("node_id"), F.lit(hop).alias("distance"))
-        reached = reached.unionByName(grown).groupBy("node_id").agg(F.min("distance").alias("distance"))
+        step = edges.join(frontier.select(F.col("node_id").alias("a")), "a").select(F.col("b").alias("node_id")).distinct()
+        frontier = cut(step.join(reached, "node_id", "left_anti").withColumn("distance", F.lit(hop)))
+        reached = reached.unionByName(frontier)
     return reached
 
 
 def keep_focus(graph: Graph, focus: str, hops: int = 1) -> Graph:
     """The focus node and its neighbourhood; an unknown focus gives an empty graph."""
     known = graph.nodes.where(F.col("node_id") == focus).select("node_id").limit(1)
-    near = neighborhood(graph.links, focus, max(1, min(5, hops)))
+    near = neighborhood(graph.links, focus, hops)
     if known.isEmpty():
         near = near.where(F.lit(False))
     nodes = graph.nodes.join(near, "node_id", "left_semi")

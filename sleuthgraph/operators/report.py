@@ -13,10 +13,6 @@ from .graph import Graph, with_names
 from .narrate import sentence
 from .runs import most_severe, number_runs, summarize_runs
 
-NARRATIVE_LINES = 60
-STORY_STEPS = 120
-STAGE_ENTITIES = 12
-STAGE_LINES = 6
 
 
 def _spoken(events: DataFrame) -> DataFrame:
@@ -32,13 +28,13 @@ def numbered_narrative(events: DataFrame) -> DataFrame:
     return number_runs(_spoken(events.where(is_key_event())), ["time", "uid"], ["text"])
 
 
-def narrative(events: DataFrame, limit: int | None = NARRATIVE_LINES) -> DataFrame:
+def narrative(events: DataFrame, limit: int | None = None) -> DataFrame:
     """Key events told in order, consecutive equal sentences collapsed."""
     entries = summarize_runs(numbered_narrative(events), ["text", "source", "techniques", "tactics"])
     return entries.orderBy("run_id") if limit is None else most_severe(entries, limit)
 
 
-def story(events: DataFrame, bridge: DataFrame, node_id: str, limit: int | None = STORY_STEPS) -> DataFrame:
+def story(events: DataFrame, bridge: DataFrame, node_id: str, limit: int | None = None) -> DataFrame:
     """What one entity did, in order.
 
     ``bridge`` is the resolved (source, target, rel, uid) table; an event is told
@@ -95,9 +91,11 @@ def stix_objects(iocs: DataFrame, title: str, created: dt.datetime) -> DataFrame
 
     escaped = F.replace(F.col("value"), F.lit("'"), F.lit("\\'"))
     pattern = F.lit(None).cast("string")
-    for kind, shape in fixed.IOC_PATTERN.items():
+    kinds = {k: F.col("kind") == k for k in fixed.IOC_PATTERN}
+    kinds |= {"md5": (F.col("kind") == "hash") & (F.col("algo") == "md5")}
+    for kind, shape in (fixed.IOC_PATTERN | {"md5": fixed.MD5_PATTERN}).items():
         head, tail = shape.split("%s")
-        pattern = F.when(F.col("kind") == kind, F.concat(F.lit(head), escaped, F.lit(tail))).otherwise(pattern)
+        pattern = F.when(kinds[kind], F.concat(F.lit(head), escaped, F.lit(tail))).otherwise(pattern)
     label = F.try_element_at(values.literal_map(fixed.IOC_STIX_LABEL), F.col("kind"))
     name = F.concat_ws(": ", "kind", "value")
     body = F.struct(
@@ -124,17 +122,20 @@ def _tactic_dimension(spark: SparkSession) -> DataFrame:
                                  "tactic string, label string, rank int")
 
 
-def kill_chain(nodes: DataFrame, entries: DataFrame) -> DataFrame:
-    """Tactics seen, in chain order, with up to 12 entities and 6 lines of evidence."""
+def kill_chain(nodes: DataFrame, entries: DataFrame, n_entities: int = 12, n_lines: int = 6) -> DataFrame:
+    """Tactics seen, in chain order: the riskiest entities, the first lines of evidence, and how many there are in all.
+
+    ``entries`` is the whole narrative; the cut is made here, for each tactic.
+    """
     seen = with_names(nodes).select("node_id", "type", F.col("label").alias("name"), "risk", "first_seen",
                                     F.explode("tactics").alias("tactic"))
     order = Window.partitionBy("tactic").orderBy(F.desc("risk"), "type", "name", "node_id")
-    top = seen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= STAGE_ENTITIES)
+    top = seen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n_entities)
     entities = top.groupBy("tactic").agg(F.array_sort(F.collect_list(F.struct("_n", "node_id", "name", "type"))).alias("entities"))
     spans = seen.groupBy("tactic").agg(F.min("first_seen").alias("first_seen"), F.count(F.lit(1)).alias("n_entities"))
     lines = entries.select("run_id", "time", "text", F.explode(F.array_distinct("tactics")).alias("tactic"))
     by_time = Window.partitionBy("tactic").orderBy("run_id")
-    shown = lines.withColumn("_n", F.row_number().over(by_time)).where(F.col("_n") <= STAGE_LINES)
+    shown = lines.withColumn("_n", F.row_number().over(by_time)).where(F.col("_n") <= n_lines)
     evidence = shown.groupBy("tactic").agg(F.array_sort(F.collect_list(F.struct("_n", "time", "text"))).alias("evidence"))
     return (spans.join(entities, "tactic").join(evidence, "tactic", "left")
             .join(_tactic_dimension(nodes.sparkSession), "tactic")

@@ -15,8 +15,6 @@ from ..operators.prune import prune
 from ..operators.roles import annotate_tools, assign_roles
 from .lineage import cut
 
-MAX_NODES = 1500
-
 
 def filtered_graph(events: DataFrame, *, entity_types: Sequence[str] | None = None,
                    relation_types: Sequence[str] | None = None, focus: str | None = None, hops: int = 1,
@@ -41,7 +39,7 @@ def filtered_graph(events: DataFrame, *, entity_types: Sequence[str] | None = No
 
 
 def neighbours_of(events: DataFrame, node_id: str, hops: int = 1, min_severity: int = 0,
-                  max_nodes: int = MAX_NODES) -> Graph:
+                  max_nodes: int = 0) -> Graph:
     """Expansion of one node: its neighbourhood, enriched."""
     return filtered_graph(events, focus=node_id, hops=hops, min_severity=min_severity, max_nodes=max_nodes)
 

@@ -18,8 +18,8 @@ ENVELOPE_KEYS = ["results", "events", "value", "records", "data", "hits", "rows"
 MAP = "map<string,string>"
 MAPS = f"array<{MAP}>"
 TEXTS = "array<string>"
+RECORD_DDL = "record map<string,string>, raw string, origin_file string"
 SUFFIX_READERS = {"json": "json", "ndjson": "ndjson", "csv": "csv", "cef": "lines", "log": "lines", "txt": "lines"}
-MAX_ROWS = 50_000
 
 
 def last_wins_map(keys: Column, vals: Column) -> Column:
@@ -98,10 +98,28 @@ def _records(rows: DataFrame) -> DataFrame:
     return made.select("record", F.to_json("record", {"ignoreNullFields": "false"}).alias("raw"), "origin_file")
 
 
-def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
-    """JSON documents (array, envelope or single object), one document per file."""
+def _documents(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Files as one text each, and whether that text is one JSON document.
+
+    Parsing stops after the first value, so a first line that is a value of its own, with more lines
+    after it, marks one value a line.
+    """
     docs = spark.read.options(**options).text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("origin_file"))
-    return _records(unwrap(docs, "value"))
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    many = (F.size(lines) > 1) & F.try_parse_json(F.rtrim(F.trim(F.get(lines, F.lit(0))), F.lit(","))).isNotNull()
+    return docs.withColumn("whole", F.try_parse_json("value").isNotNull() & ~many)
+
+
+def _lines_of(docs: DataFrame) -> DataFrame:
+    """Lines of the files that are no single document."""
+    split = docs.where(~F.col("whole")).select(F.explode(F.split("value", "\n")).alias("line"), "origin_file")
+    return split.select(canon.strip(F.col("line")).alias("line"), "origin_file").where("line <> ''")
+
+
+def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
+    """JSON files by content: one document (array, envelope or object), else one object a line."""
+    docs = _documents(spark, path, **options)
+    return _records(unwrap(docs.where("whole"), "value")).unionByName(parse_ndjson(_lines_of(docs)))
 
 
 def _lines(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -142,9 +160,30 @@ def read_search_export(spark: SparkSession, path: str, **options) -> DataFrame:
 
 # --- delimited ----------------------------------------------------------------------------
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ",", **options) -> DataFrame:
-    """Header files; the separator is given, surplus columns are dropped."""
-    table = spark.read.options(**options).csv(path, header=True, sep=sep, mode="PERMISSIVE", escape='"')
+def _headers(spark: SparkSession, path: str, **options) -> dict[str, list[str]]:
+    """Files of each header line.  The driver gets one line a file, as it does for the file listing itself."""
+    rows = spark.read.options(**options).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("n"))
+    first = rows.where("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    found: dict[str, list[str]] = {}
+    for row in first.orderBy("file").toLocalIterator():
+        found.setdefault(row["header"], []).append(row["file"])
+    return found
+
+
+def read_delimited(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = False, **options) -> DataFrame:
+    """Header files, each under its own header; surplus columns are dropped.
+
+    ``multi_line`` allows line breaks inside quotes, at the price of one task a file.
+    """
+    groups = _headers(spark, path, **options)
+    parts = [_delimited(spark, files, sep, multi_line) for files in groups.values()]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RECORD_DDL)
+
+
+def _delimited(spark: SparkSession, files: list[str], sep: str, multi_line: bool) -> DataFrame:
+    table = spark.read.csv(files, header=True, sep=sep, mode="PERMISSIVE", escape='"', multiLine=multi_line)
     pairs = [x for c in table.columns for x in (F.lit(c), F.col(f"`{c}`"))]
     made = table.select(F.create_map(*pairs).alias("record"), F.input_file_name().alias("origin_file"))
     return made.select("record", F.to_json("record", {"ignoreNullFields": "false"}).alias("raw"), "origin_file")
@@ -165,14 +204,24 @@ def read_folder(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
             continue
         parts.append(readers[kind](spark, path, **options))
     if not parts:
-        return spark.createDataFrame([], "record map<string,string>, raw string, origin_file string")
+        return spark.createDataFrame([], RECORD_DDL)
     return reduce(DataFrame.unionByName, parts)
 
 
+def folder_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(line, origin_file) of a folder's JSON files that hold no JSON; other formats keep every line as a record."""
+    parts = []
+    for suffix in ("json", "ndjson"):
+        options = {"pathGlobFilter": f"*.{suffix}", "recursiveFileLookup": "true"}
+        if not spark.read.format("binaryFile").options(**options).load(path).select("path").isEmpty():
+            parts.append(ndjson_rejects(_lines_of(_documents(spark, path, **options)) if suffix == "json" else _lines(spark, path, **options)))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "line string, origin_file string")
+
+
 def totals_by_file(records: DataFrame) -> DataFrame:
     return records.groupBy("origin_file").agg(F.count(F.lit(1)).alias("records"))
 
 
-def limited(records: DataFrame, limit: int = MAX_ROWS) -> DataFrame:
-    """At most ``limit`` rows, never above the allowed maximum (an explicit caller's cap)."""
-    return records.limit(min(limit, MAX_ROWS))
+def limited(records: DataFrame, limit: int | None = None) -> DataFrame:
+    """At most as many rows as the caller asks for; all without a number."""
+    return records if limit is None else records.limit(limit)

@@ -9,34 +9,24 @@ from ..operators.events import new_events, redact
 from ..operators.graph import Graph, with_names
 from ..operators.report import kind_rank
 
-PRUNED_DAYS = 400
-
-
 def append_events(spark: SparkSession, events: DataFrame, path: str) -> None:
     """Append unseen, redacted events to the table partitioned by day.
 
-    Equal uids mean equal records and so equal days; only the days of the batch
-    (and the partition of events without a time) are compared.
+    A record without a year gets its day from the ingest time, so one uid may fall
+    on two days: the batch is compared with the uid column of the whole table.
     """
     fresh = redact(events)
-    try:
-        stored = spark.read.parquet(path).select("uid", "event_date")
-    except Exception as error:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        stored = None
-    if stored is not None:
-        days = [r.event_date for r in events.select("event_date").distinct().limit(PRUNED_DAYS + 1).collect()]
-        if len(days) <= PRUNED_DAYS:
-            known = [d for d in days if d is not None]
-            stored = stored.where(F.col("event_date").isNull() | F.col("event_date").isin(known))
-        fresh = new_events(stored, fresh)
-    else:
-        fresh = new_events(fresh.select("uid").where(F.lit(False)), fresh)
-    (fresh.repartition("event_date", F.pmod(F.xxhash64("uid"), F.lit(64))).sortWithinPartitions("event_date", "time")
+    stored = spark.read.parquet(path).select("uid") if _exists(spark, path) else fresh.select("uid").where(F.lit(False))
+    # AQE splits large days (and the one without a date) and joins small ones
+    (new_events(stored, fresh).hint("rebalance", "event_date").sortWithinPartitions("event_date", "time")
      .write.mode("append").partitionBy("event_date").parquet(path))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def write_graph(graph: Graph, path: str, fmt: str = "parquet") -> None:
     """The whole graph, no node cap."""
     with_names(graph.nodes).write.mode("overwrite").format(fmt).save(f"{path}/nodes")

@@ -23,8 +23,8 @@ KEY_NAMES = {
     "srcPort": "src_port", "dstPort": "dest_port", "identSrc": "src_ip",
 }
 
-# A pipe that no odd run of backslashes escapes.
-_PIPE = r"(?<=(?:^|[^\\])(?:\\\\){0,8})\|"
+# One part of a header, read forward: characters up to a pipe, where a backslash takes the next one along.
+_PART = r"(?:[^|\\]|\\.|\\$)*+"
 CEF_START = r"(?s)^.*?CEF:(?=\d+\|)"
 LEEF_START = r"(?s)^.*?LEEF:(?=[\d.]+\|)"
 _EXT_KEY = r"[A-Za-z][A-Za-z0-9_.\[\]]*"
@@ -50,16 +50,23 @@ def _unescape_value(text: Column) -> Column:
     return F.replace(held, F.lit("\u0000"), F.lit("\\"))
 
 
-def _header(line: Column, mark: str, start: str, limit: int) -> Column:
-    """Pipe-separated parts after the format mark, null for other lines."""
-    return F.when(line.contains(mark) & line.rlike(start), F.split(F.regexp_replace(line, start, ""), _PIPE, limit))
+def _header(line: Column, mark: str, start: str, limit: int | None = None) -> Column:
+    """Pipe-separated parts after the format mark, null for other lines; with ``limit`` the last part is the rest."""
+    body = F.regexp_replace(line, start, "")
+    parts = F.regexp_extract_all(body, F.lit(rf"(?s)\G(?:^|\|)({_PART})"), F.lit(1))
+    if limit:
+        rest = F.regexp_replace(body, rf"(?s)^(?:{_PART}\|){{{limit - 1}}}", "")
+        parts = F.when(F.size(parts) >= limit, F.concat(F.slice(parts, 1, limit - 1), F.array(rest))).otherwise(parts)
+    return F.when(line.contains(mark) & line.rlike(start), parts)
 
 
 def with_format(lines: DataFrame) -> DataFrame:
     """``format`` of each line by its own shape, with the parts of CEF and LEEF headers."""
     line = F.col("line")
-    parts = lines.withColumns({"_cef": _header(line, "CEF:", CEF_START, 8), "_leef": _header(line, "LEEF:", LEEF_START, -1)})
-    return parts.withColumn("format", F.when(line.rlike(r"^[\[{]"), "json").when(F.size("_cef") == 8, "cef")
+    parts = lines.withColumns({"_cef": _header(line, "CEF:", CEF_START, 8), "_leef": _header(line, "LEEF:", LEEF_START)})
+    # JSON by content: a line that only begins like JSON is text
+    parses = line.rlike(r"(?s)^[\[{].*[\]}],?\s*$") & F.try_parse_json(F.rtrim(line, F.lit(","))).isNotNull()
+    return parts.withColumn("format", F.when(parses, "json").when(F.size("_cef") == 8, "cef")
                             .when(F.size("_leef") >= 6, "leef").otherwise("syslog"))
 
 
@@ -130,8 +137,12 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     pick = lambda i, last: F.concat(reduce(lambda acc, f: acc.when(fmt == f, parsed[f][i]), list(parsed)[1:],
                                            F.when(fmt == "cef", parsed["cef"][i])), F.array(last))
     keyed = unwrap(shaped.withColumns({"_keys": pick(0, F.lit("_raw")), "_vals": pick(1, line)}), "_json")
-    made = F.when(fmt == "json", F.col("records")).otherwise(F.array(last_wins_map(F.col("_keys"), F.col("_vals"))))
-    rows = keyed.withColumn("records", made).select("origin_file", "line", "format", F.explode_outer("records").alias("record")).where("record IS NOT NULL")
+    # JSON without an object in it is kept as text, like any other line
+    found = (fmt == "json") & (F.size("records") > 0)
+    bare = F.create_map(F.lit("__format__"), F.lit("syslog"), F.lit("message"), line, F.lit("_raw"), line)
+    made = F.when(found, F.col("records")).when(fmt == "json", F.array(bare)).otherwise(
+        F.array(last_wins_map(F.col("_keys"), F.col("_vals"))))
+    rows = keyed.withColumns({"records": made, "format": F.when(~found & (fmt == "json"), "syslog").otherwise(fmt)}).select("origin_file", "line", "format", F.explode_outer("records").alias("record")).where("record IS NOT NULL")
     raw = F.when(fmt == "json", F.to_json("record", {"ignoreNullFields": "false"})).otherwise(line)
     return rows.select("record", raw.alias("raw"), "origin_file")
 

@@ -20,22 +20,26 @@ def line_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -
     return rows.select(canon.strip(F.col("value")).alias("line"), F.input_file_name().alias("origin_file")).where("line <> ''")
 
 
-def event_stream(lines: DataFrame, lateness: str = "1 hour", ingest_time: dt.datetime | None = None) -> DataFrame:
-    """Normalised events, each uid once within the lateness bound."""
-    events = normalize(parse_lines(lines), ingest_time)
-    return events.withWatermark("time", lateness).dropDuplicatesWithinWatermark(["uid"])
+def event_stream(lines: DataFrame, ingest_time: dt.datetime | None = None) -> DataFrame:
+    """Normalised events of a stream of lines; without a watermark, so that none is too late."""
+    return normalize(parse_lines(lines), ingest_time)
 
 
-def live_timeline(events: DataFrame, width: str = "5 minutes") -> DataFrame:
-    """Events per tumbling window; windows close after the lateness bound."""
-    return events.groupBy(F.window("time", width)).agg(
+def live_timeline(events: DataFrame, width: str = "5 minutes", lateness: str = "1 hour") -> DataFrame:
+    """Events per tumbling window, each uid once; windows close after the lateness bound."""
+    once = events.withWatermark("time", lateness).dropDuplicatesWithinWatermark(["uid"])
+    return once.groupBy(F.window("time", width)).agg(
         F.count(F.lit(1)).alias("count"), F.max("severity").alias("max_severity"))
 
 
-def append_stream(events: DataFrame, table: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append every micro-batch to the event table; a repeated batch adds nothing."""
+def append_stream(lines: DataFrame, table: str, checkpoint: str, ingest_time: dt.datetime | None = None, **trigger) -> StreamingQuery:
+    """Normalise and append every micro-batch of lines to the event table.
+
+    The table knows which uids it has, so late events are stored and a repeated
+    batch adds nothing.  The ingest time is that of the batch unless given.
+    """
     def write(batch: DataFrame, _batch_id: int) -> None:
-        append_events(batch.sparkSession, batch, table)
+        append_events(batch.sparkSession, event_stream(batch, ingest_time), table)
 
-    return (events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -133,8 +133,8 @@ def test_stream_equals_batch(spark, tmp_path):
     source, table = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
     (source / "a.log").write_text("<13>Aug 19 09:16:02 box sshd[1]: Failed password for ann\n" * 2 + '{"message": "b", "time": "2025-08-19 10:00:00"}\n')
-    stream = ingest.event_stream(ingest.line_stream(spark, str(source)), ingest_time=INGEST)
-    query = ingest.append_stream(stream, table, str(tmp_path / "cp"))
+    stream = ingest.line_stream(spark, str(source))
+    query = ingest.append_stream(stream, table, str(tmp_path / "cp"), INGEST)
     assert query.awaitTermination(120)
     got = {r.uid for r in spark.read.parquet(table).collect()}
     want = {r.uid for r in normalize(textlogs.read_lines(spark, str(source)), INGEST).collect()}
@@ -145,3 +145,65 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_hot_duplicate(spark, copies):
     rows = spark.range(copies).selectExpr("'same' AS uid", "timestamp_seconds(id) AS time", "cast(id as string) AS origin")
     assert [r.origin for r in e.deduplicate(rows).collect()] == ["0"]
+
+
+def test_late_stream_events_are_stored(spark, tmp_path):
+    from sleuthgraph.streaming import ingest
+    source, table = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for name, day in (("a", "2090-01-01"), ("b", "2025-01-03"), ("c", "2025-01-01")):
+        (source / f"{name}.log").write_text(f'{{"message": "{name}", "time": "{day} 00:00:00"}}\n')
+        query = ingest.append_stream(ingest.line_stream(spark, str(source)), table, str(tmp_path / "cp"))
+        assert query.awaitTermination(120)
+    assert sorted(r.message for r in spark.read.parquet(table).collect()) == ["a", "b", "c"]
+
+
+def test_no_line_vanishes(spark):
+    texts = ["[2024-01-01 10:00] sshd: Failed password", '{"a": broken', "[1, 2]", '{"a": "1"}', "CEF:0|A" + "\\\\" * 17 + "|P|1|7|n|3|msg=x"]
+    rows = textlogs.parse_lines(lines(spark, *texts)).collect()
+    assert len(rows) == len(texts)
+    got = {r.raw: r.record for r in rows}
+    assert got[texts[0]]["message"].startswith("[2024") or "Failed" in got[texts[0]]["message"]
+    assert got[texts[4]]["__format__"] == "cef" and got[texts[4]]["device_product"] == "P"
+
+
+def test_files_by_content(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n{"a": 2}\nbroken\n{"a": 3}\n')
+    (tmp_path / "b.json").write_text('{"value": [{"a": 4}]}')
+    (tmp_path / "c.csv").write_text('time,src_ip,user\n2024-01-01,1.1.1.1,ann\n')
+    (tmp_path / "d.csv").write_text('user,time,dest_ip\nbob,2024-01-02,8.8.8.8\n"x\ny",2024-01-03,9.9.9.9\n')
+    found = records.read_folder(spark, str(tmp_path)).collect()
+    assert sorted(r.record["a"] for r in found if "a" in r.record) == ["1", "2", "3", "4"]
+    assert [r.line for r in records.folder_rejects(spark, str(tmp_path)).collect()] == ["broken"]
+    whole = records.read_delimited(spark, str(tmp_path), multi_line=True, pathGlobFilter="*.csv").collect()
+    assert {(r.record["user"], r.record.get("src_ip"), r.record.get("dest_ip")) for r in whole} == {
+        ("ann", "1.1.1.1", None), ("bob", None, "8.8.8.8"), ("x\ny", None, "9.9.9.9")}
+
+
+@pytest.mark.parametrize("depth", [12, 40, 900])
+def test_redaction_counts_depth(spark, depth):
+    raw = '{"password": ' + '["a", [' * depth + '"deep secret"' + "]" * (2 * depth) + ', "keep": "yes"}'
+    out = spark.createDataFrame([(raw,)], "raw string").select(e.redact_json(F.col("raw")).alias("r")).first().r
+    assert out == '{"password": "***redacted***", "keep": "yes"}'
+
+
+def test_redaction_of_text_lines(spark):
+    batch = normalize(textlogs.parse_lines(lines(spark, "CEF:0|A|P|1|7|n|3|suser=ann password=hunter2 msg=ok", "LEEF:1.0|A|P|1|7|token=abc\tsrc=1.2.3.4",
+                                                 "<13>Aug 19 09:16:02 box app: api_key: zzz9 done")), INGEST)
+    raws = " ".join(r.raw for r in e.redact(batch).collect())
+    assert not any(s in raws for s in ("hunter2", "abc", "zzz9")) and "msg=ok" in raws and "src=1.2.3.4" in raws
+
+
+def test_one_uid_once_over_years(spark, tmp_path):
+    import datetime as dt
+    table, line = str(tmp_path / "events"), "<13>Aug 19 09:16:02 box app: hi"
+    for year in (2024, 2025):
+        moment = dt.datetime(year, 12, 1, tzinfo=dt.timezone.utc)
+        sinks.append_events(spark, normalize(textlogs.parse_lines(lines(spark, line)), moment), table)
+    assert spark.read.parquet(table).count() == 1
+
+
+def test_signature_far_into_a_message(spark):
+    from sleuthgraph.operators import threat
+    r = normalize(textlogs.parse_lines(lines(spark, json.dumps({"message": "x" * 5000 + " vssadmin delete shadows /all"}))), INGEST)
+    assert len(r.first().message) > 5000 and threat.behaviour_hits(r).count() > 0
