@@ -75,9 +75,14 @@ class Items:
                 size = min(SHINGLE, len(h))
                 s = windows(h, size)
                 self.by_length.setdefault(len(h), []).append((item, s, simhashes(s, len(s))[0]))
-                every.setdefault(size, []).append(s)
-        self.shingles = {size: np.unique(np.concatenate(s)) for size, s in every.items()}
-        self.marked = {size: self._marks(s) for size, s in self.shingles.items()}
+                every.setdefault(size, []).append((np.unique(s), len(h)))
+        # shingles in order, each beside the length of an item that has it
+        self.shingles = {}
+        for size, known in every.items():
+            s = np.concatenate([x for x, _ in known])
+            order = np.argsort(s, kind="stable")
+            self.shingles[size] = (s[order], np.repeat([n for _, n in known], [len(x) for x, _ in known])[order])
+        self.marked = {size: self._marks(s) for size, (s, _) in self.shingles.items()}
         self.longest = max(self.by_length, default=0)
         self.index = {n: self._blocks(np.stack([p for _, _, p in rows])) for n, rows in self.by_length.items()}
 
@@ -96,14 +101,19 @@ class Items:
             out.append((value[order], order))
         return out
 
-    def hits(self, h: np.ndarray) -> np.ndarray:
-        """Words where a shingle of an item begins."""
-        found = []
-        for size, s in self.shingles.items():
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, length): words where a shingle of an item of that length begins, in order."""
+        at, lengths = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for size, (s, of) in self.shingles.items():
             w = windows(h, size)
             near = np.flatnonzero(self.marked[size][(w >> U(44)).astype(np.int64)])
-            found.append(near[np.isin(w[near], s)])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+            first, last = np.searchsorted(s, w[near], "left"), np.searchsorted(s, w[near], "right")
+            n = last - first
+            at.append(np.repeat(near, n))
+            lengths.append(of[np.repeat(first - n.cumsum() + n, n) + np.arange(n.sum())])
+        at, lengths = np.concatenate(at), np.concatenate(lengths)
+        order = np.argsort(at, kind="stable")
+        return at[order], lengths[order]
 
     def candidates(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs that agree in a block and lie within the radius."""
@@ -124,9 +134,13 @@ class Items:
     def leaks(self, h: np.ndarray, least: float) -> list[tuple]:
         """(item, similarity, first word, words) of the best window of each item that is found."""
         best: dict = {}
-        hits = self.hits(h)
+        hits, lengths = self.hits(h)
+        if not len(hits):
+            return []
         for lo, hi in self._regions(hits, len(h)):
-            for length, rows in self.by_length.items():
+            # a window as similar as asked has a shingle of its item, so other lengths need no windows here
+            for length in np.unique(lengths[np.searchsorted(hits, lo):np.searchsorted(hits, hi)]).tolist():
+                rows = self.by_length[length]
                 span = min(length, len(h))
                 part, size = h[lo:hi], min(SHINGLE, length, span)
                 if len(part) < span:
