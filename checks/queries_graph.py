@@ -229,14 +229,28 @@ def filtered_incident_graph(spark, sf):
     return graph.nodes.select("node_id", "risk", "role")
 
 
-@query(sql("""SELECT node_id, t.tool, CASE WHEN t.tool IS NOT NULL AND role IN ('neutral', 'asset') THEN 'suspicious' ELSE role END AS role
+KNOWN_TOOLS = ("""SELECT node_id, t.tool, d.category, d.category_label, CAST(d.n_groups AS INTEGER) AS n_groups,
+    CASE WHEN t.tool IS NOT NULL AND role IN ('neutral', 'asset') THEN 'suspicious' ELSE role END AS role
   FROM (SELECT r.*, coalesce(a.tool, b.tool) AS tool FROM roles r
     LEFT JOIN bin_d a ON type IN ('process', 'file') AND lower(""" + basename("label") + """) = a.pattern
     LEFT JOIN bin_d b ON type IN ('process', 'file') AND lower(""" + basename("coalesce(path, regexp_replace(node_id, '^[^|]*[|]', ''))")
-    + """) = b.pattern) t""", "roles", "bin_d"))
+    + """) = b.pattern) t LEFT JOIN tool_d d USING (tool)""")
+
+
+def with_tools(spark, sf):
+    tools = catalog(spark).tools
+    return r.annotate_tools(r.assign_roles(built(spark, sf)), threat.binary_index(tools), tools).nodes
+
+
+@query(sql(KNOWN_TOOLS, "roles", "bin_d", "tool_d"))
 def nodes_with_known_tools(spark, sf):
-    graph = r.annotate_tools(r.assign_roles(built(spark, sf)), threat.binary_index(catalog(spark).tools))
-    return graph.nodes.select("node_id", "tool", "role")
+    return with_tools(spark, sf).select("node_id", "tool", F.col("tool_category").alias("category"), F.col("tool_label").alias("category_label"),
+                                        F.when(F.col("tool").isNotNull(), F.size("tool_groups")).alias("n_groups"), "role")
+
+
+@query(sql(f"SELECT count(tool) AS nodes_with_tool, count(DISTINCT tool) AS tools FROM ({KNOWN_TOOLS})", "roles", "bin_d", "tool_d"))
+def known_tool_counts(spark, sf):
+    return r.known_tools(with_tools(spark, sf))
 
 
 @query(sql("SELECT node_id, risk FROM roles WHERE role = 'hostile'", "roles"))

@@ -110,12 +110,15 @@ def line_formats(spark, sf):
 
 
 @query("""SELECT CASE event_id % 6 WHEN 0 THEN 'splunk' WHEN 1 THEN 'sentinel' WHEN 2 THEN 'qradar' ELSE 'generic' END AS source,
-  CAST(2 * count(*) AS BIGINT) AS normalized, count(*) AS added, count(*) AS duplicates, (SELECT 2 * count(*) FROM events) AS read
-  FROM events GROUP BY 1""")
+  CAST(2 * count(*) AS BIGINT) AS normalized, count(*) AS added, count(*) AS duplicates,
+  CAST(CASE WHEN min(event_id % 6) >= 3 THEN 2 * count(*) ELSE 0 END AS BIGINT) AS unmatched, (SELECT 2 * count(*) FROM events) AS read,
+  (SELECT count(*) FROM events) AS total FROM events GROUP BY 1""")
 def ingest_accounting(spark, sf):
     lines = vendor_lines(spark, sf)
     read = textlogs.parse_lines(lines.unionByName(lines))
-    return n.ingest_accounting(read, n.normalize(read, INGEST))
+    found = n.ingest_accounting(read, n.normalize(read, INGEST))
+    return found.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("normalized", "added", "duplicates", "unmatched")],
+                                       F.max("read").alias("read"), F.max("total").alias("total"))
 
 
 @query("""SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, 'Sign' || (event_id % 3) AS type FROM events WHERE event_id % 4 <> 3""")

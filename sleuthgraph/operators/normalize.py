@@ -394,14 +394,21 @@ def normalize(records: DataFrame, ingest_time: dt.datetime | None = None, custom
 
 
 def ingest_accounting(records: DataFrame, events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """Per source: events normalised, distinct, duplicate and already stored; plus records read in all."""
-    known = events.select("uid", "source")
+    """Per source and origin: events normalised, added and duplicate, and how many no vendor format matched; read and total in all.
+
+    ``total`` is what the table holds after the batch is added.
+    """
+    known = events.select("uid", "source", F.coalesce("origin", F.lit("")).alias("origin"))
     if stored is not None:
         known = known.join(stored.select("uid").distinct().withColumn("_old", F.lit(1)), "uid", "left")
     else:
         known = known.withColumn("_old", F.lit(None).cast("int"))
-    per_uid = known.groupBy("source", "uid").agg(F.count(F.lit(1)).alias("n"), F.max("_old").alias("old"))
+    per_uid = known.groupBy("source", "origin", "uid").agg(F.count(F.lit(1)).alias("n"), F.max("_old").alias("old"))
     total = records.agg(F.count(F.lit(1))).scalar()
-    return per_uid.groupBy("source").agg(
+    stored_rows = stored.select("uid").distinct().agg(F.count(F.lit(1))).scalar() if stored is not None else F.lit(0)
+    fresh = per_uid.where("old IS NULL").select("uid").distinct().agg(F.count(F.lit(1))).scalar()
+    return per_uid.groupBy("source", "origin").agg(
         F.sum("n").alias("normalized"), F.count_if(F.col("old").isNull()).alias("added"),
-        (F.sum("n") - F.count_if(F.col("old").isNull())).alias("duplicates")).withColumn("read", total)
+        (F.sum("n") - F.count_if(F.col("old").isNull())).alias("duplicates"),
+        F.sum(F.when(F.col("source") == "generic", F.col("n")).otherwise(0)).alias("unmatched")).withColumns(
+            {"read": total, "total": stored_rows + fresh})

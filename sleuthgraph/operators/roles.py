@@ -104,10 +104,10 @@ def assign_roles(graph: Graph) -> Graph:
     return replace(graph, nodes=promote_context(nodes, graph.links))
 
 
-def annotate_tools(graph: Graph, binaries: DataFrame) -> Graph:
-    """Known tools on process and file nodes, by label first, then by path.
+def annotate_tools(graph: Graph, binaries: DataFrame, tools: DataFrame) -> Graph:
+    """Known tools on process and file nodes, by label first, then by path, with category, its label and groups.
 
-    ``binaries`` is the pattern dimension (pattern, tool, category, ...).
+    ``binaries`` is the pattern dimension (pattern, tool), ``tools`` the tool dimension of the catalog.
     """
     path = F.coalesce("path", F.regexp_replace("node_id", r"^[^|]*\|", ""))
     named = graph.nodes.withColumns({
@@ -122,7 +122,15 @@ def annotate_tools(graph: Graph, binaries: DataFrame) -> Graph:
     nodes = named.withColumns({
         "tool": tool, "role": F.when(raised, "suspicious").otherwise(F.col("role")),
     }).select(*graph.nodes.columns, "tool")
-    return replace(graph, nodes=nodes)
+    about = tools.select(F.col("name").alias("tool"), F.col("category").alias("tool_category"),
+                         F.col("category_label").alias("tool_label"), F.col("groups").alias("tool_groups"))
+    return replace(graph, nodes=nodes.join(about, "tool", "left").select(
+        *graph.nodes.columns, "tool", "tool_category", "tool_label", "tool_groups"))
+
+
+def known_tools(nodes: DataFrame) -> DataFrame:
+    """One row: how many nodes are known tools, and how many tools that are."""
+    return nodes.agg(F.count("tool").alias("nodes_with_tool"), F.count_distinct("tool").alias("tools"))
 
 
 def nodes_by_role(nodes: DataFrame, role: str) -> DataFrame:

@@ -29,7 +29,7 @@ def filtered_graph(events: DataFrame, *, entity_types: Sequence[str] | None = No
     graph = prune(graph, entity_types, relation_types, focus, hops, max_nodes)
     graph = assign_roles(graph)
     if catalog is not None:
-        graph = annotate_tools(graph, threat.binary_index(catalog.tools))
+        graph = annotate_tools(graph, threat.binary_index(catalog.tools), catalog.tools)
     graph = graph.cut()
     if clusters:
         graph = replace(graph, nodes=cut(assign_clusters(graph)))
