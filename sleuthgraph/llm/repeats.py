@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ class Shape:
     gram: int
     size: int
 
-    def values(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def values(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Units of several texts, one after the other, and how many each has."""
         if self.units == "bytes":
             return np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts])
@@ -80,10 +81,22 @@ def runs(values: np.ndarray, counts: np.ndarray, doc: np.ndarray, row: np.ndarra
     return Runs(grams, grams[place], place, first, last + 1, begins[owner] - skipped, doc[owner], row[owner])
 
 
-def _chunks(batch: pd.DataFrame, shape: Shape):
+def texts_of(batch: pa.RecordBatch) -> list[memoryview]:
+    """The UTF-8 bytes of column ``text``, as views of the batch; a null is empty."""
+    column = batch.column(batch.schema.get_field_index("text"))
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    if not len(column):
+        return []
+    _, places, data = column.buffers()
+    at = np.frombuffer(places, dtype=kind)[column.offset:column.offset + len(column) + 1].tolist()
+    view = memoryview(data if data is not None else b"")
+    return [view[lo:hi] for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+
+def _chunks(batch: pa.RecordBatch, shape: Shape):
     """Runs of a batch: short texts together, so that work is done on long arrays; long texts in slices of whole windows."""
-    doc, row = batch["doc_id"].to_numpy(np.int64), batch["row_hash"].to_numpy(np.int32)
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch["text"]]
+    doc, row = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "row_hash"))
+    texts = texts_of(batch)
     held, size = [], 0
     for k, text in enumerate(texts):
         if len(text) > SLICE:
@@ -112,18 +125,34 @@ def _based(docs: DataFrame) -> DataFrame:
     return docs.select(own.alias("doc_id"), F.hash("text").alias("row_hash"), "text")
 
 
-def _scan(docs: DataFrame, shape: Shape, schema: str, rows) -> DataFrame:
-    """``rows(runs)`` gives columns, or nothing."""
+def skipping(batch: pa.RecordBatch, bitmap: Bitmap) -> pa.RecordBatch:
+    """The rows whose ``k`` is not in the bitmap."""
+    keys = batch.column(batch.schema.get_field_index("k")).to_numpy(zero_copy_only=False)
+    return batch.filter(pa.array(~bitmap.has(keys)))
+
+
+def _scan(docs: tuple[DataFrame, DataFrame, Bitmap], shape: Shape, schema: str, rows) -> DataFrame:
+    """``rows(runs)`` gives columns, or nothing.  ``docs``: all, those to read nevertheless, and a bitmap of what to skip."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    everything, rest, skip = docs
 
-    def run(batches):
-        for batch in batches:
-            for piece in _chunks(batch, shape):
-                out = rows(piece) if piece is not None else None
-                if out is not None:
-                    yield pd.DataFrame({n: out[n] for n in names})
+    def of(bitmap: Bitmap | None):
+        def run(batches):
+            for batch in batches:
+                for piece in _chunks(batch if bitmap is None else skipping(batch, bitmap), shape):
+                    out = rows(piece) if piece is not None else None
+                    if out is not None:
+                        yield pa.RecordBatch.from_arrays([_column(out[n]) for n in names], names)
+        return run
 
-    return docs.mapInPandas(run, schema)
+    return everything.mapInArrow(of(skip), schema).unionByName(rest.mapInArrow(of(None), schema))
+
+
+def _column(values) -> pa.Array:
+    if isinstance(values, tuple):  # (values, how many for each row): a list column
+        flat, number = values
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(number)).astype(np.int32)), pa.array(flat))
+    return pa.array(values)
 
 
 WHOLE = -1
@@ -139,12 +168,14 @@ def _copies(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     return members, members.where("later").select("doc_id", "row_hash").distinct()
 
 
-def _without(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """The documents that are not in ``rows``; only texts that may be are shuffled."""
-    may = Bitmap(cut(rows.select(key_of("doc_id", "row_hash").alias("k"))), "k").may("doc_id", "row_hash")
-    marked = base.withColumn("_may", may)
-    return marked.where(~F.col("_may")).drop("_may").unionByName(
-        marked.where("_may").drop("_may").join(rows, ["doc_id", "row_hash"], "left_anti"))
+def _without(base: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, Bitmap]:
+    """The documents that are not in ``rows``, for ``_scan``: a bitmap sets most aside where they are read.
+
+    What it sets aside wrongly is found by a join and read from a table of its own.
+    """
+    bitmap = Bitmap(cut(rows.select(key_of("doc_id", "row_hash").alias("k"))), "k")
+    wrong = cut(base.where(bitmap.may("doc_id", "row_hash")).join(rows, ["doc_id", "row_hash"], "left_anti"))
+    return base.withColumn("k", key_of("doc_id", "row_hash")), wrong, bitmap
 
 
 def _ranges(first: np.ndarray, number: np.ndarray) -> np.ndarray:
@@ -222,7 +253,7 @@ def repeated_windows(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFra
     return out
 
 
-def _refined(docs: DataFrame, shape: Shape, anchors: Bitmap, several: DataFrame, keep_first: bool) -> list[DataFrame]:
+def _refined(docs: tuple[DataFrame, DataFrame, Bitmap], shape: Shape, anchors: Bitmap, several: DataFrame, keep_first: bool) -> list[DataFrame]:
     gram, size = shape.gram, shape.size
     several = cut(several)
     sides = several.select("anchor", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("to_left").alias("id")),
@@ -257,8 +288,7 @@ def _refined(docs: DataFrame, shape: Shape, anchors: Bitmap, several: DataFrame,
         # cores from the lowest block up: at -8b, falling
         cores = identifiers(r.grams, gram, size - BLOCK + 1, np.repeat(at - BLOCK * (low // BLOCK), blocks)
                             - BLOCK * _ranges(np.zeros(len(blocks), dtype=np.int64), blocks))
-        return r.of(keep) | {"ids": np.split(_signed(ids), np.cumsum(high - low + 1)[:-1]),
-                             "cores": np.split(_signed(cores), np.cumsum(blocks)[:-1]), "offset": high.astype(np.int32),
+        return r.of(keep) | {"ids": (_signed(ids), high - low + 1), "cores": (_signed(cores), blocks), "offset": high.astype(np.int32),
                              "start": at - high - r.begin[keep]}
 
     left = cut(_scan(docs, shape, "anchor long, ids array<long>, cores array<long>, doc_id long, row_hash int, offset int, start long",
@@ -284,16 +314,31 @@ def _refined(docs: DataFrame, shape: Shape, anchors: Bitmap, several: DataFrame,
     return spans + [_others(ones, _repeated(ones, ["anchor", "id"], True), ["anchor", "id"], keep_first)]
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
-    """The documents (doc_id, text) with ``spans``: sorted, merged (first unit, end) of what repeats."""
+def applied(docs: DataFrame, spans: DataFrame, size: int, made, schema: str) -> DataFrame:
+    """``made(text, spans)`` of every document, as columns behind its doc_id; spans are merged, None where there are none."""
     end = F.when(F.col("n_windows") == WHOLE, F.lit(WHOLE)).otherwise(F.col("start") + F.col("n_windows") + size - 1)
     each = cut(spans.groupBy("doc_id", "row_hash").agg(F.collect_list(F.struct("start", end.alias("end"))).alias("spans")))
     # only texts that may have spans are shuffled to meet them
-    may = Bitmap(each.select(key_of("doc_id", "row_hash").alias("k")), "k").may("doc_id", "row_hash")
-    base = _based(docs).withColumn("_may", may)
-    out = base.where(~F.col("_may")).withColumn("spans", F.lit(None).cast(each.schema["spans"].dataType)).unionByName(
-        base.where("_may").join(each, ["doc_id", "row_hash"], "left"))
-    return out.select(F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")).alias("doc_id"), "text", "spans")
+    bitmap = Bitmap(each.select(key_of("doc_id", "row_hash").alias("k")), "k")
+    base = _based(docs)
+    touched = base.where(bitmap.may("doc_id", "row_hash")).join(each, ["doc_id", "row_hash"], "left")
+    types = [c.strip().split(" ") for c in schema.split(",")]
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+    def of(skip: Bitmap | None):
+        def run(batches):
+            for batch in batches:
+                batch = batch if skip is None else skipping(batch, skip)
+                ids = batch.column(batch.schema.get_field_index("doc_id"))
+                found = batch.column(batch.schema.get_field_index("spans")) if skip is None else [None] * len(batch)
+                rows = [made(bytes(t), s if s is None else s.as_py()) for t, s in zip(texts_of(batch), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([ids] + [pa.array([r[k] for r in rows], type=kinds[t])
+                                                          for k, (_, t) in enumerate(types)], ["doc_id", *[n for n, _ in types]])
+        return run
+
+    out = (base.withColumn("k", key_of("doc_id", "row_hash")).select("doc_id", "text", "k").mapInArrow(of(bitmap), f"doc_id long, {schema}")
+           .unionByName(touched.select("doc_id", "text", "spans").mapInArrow(of(None), f"doc_id long, {schema}")))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
 
 
 def merged(spans, units: int, size: int) -> list[tuple[int, int]]:

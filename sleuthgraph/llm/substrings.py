@@ -16,35 +16,26 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .hashing import utf8
-from .repeats import Shape, merged, repeated_windows, with_spans
+from .repeats import Shape, applied, merged, repeated_windows
 
 WINDOW = 35
 GRAM = 8
 
-
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, text, n_words, n_removed, kept_sha256): ``text`` is the kept words, joined by one space."""
     shape = Shape("words", gram, window)
-    joined = with_spans(docs, repeated_windows(docs, shape, keep_first=False), window)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-                w = utf8(text).tobytes().split()
-                gone = merged(spans, len(w), window)
-                kept, at = [], 0
-                for first, end in gone:
-                    kept += w[at:first]
-                    at = end
-                body = b" ".join(kept + w[at:])
-                out.append((doc, body.decode("utf-8", "surrogatepass"), len(w), sum(e - f for f, e in gone),
-                            hashlib.sha256(body).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "n_words", "n_removed", "kept_sha256"]).astype({"doc_id": "Int64"})
-
-    return joined.mapInPandas(run, "doc_id long, text string, n_words long, n_removed long, kept_sha256 string")
 
+    def made(text: bytes, spans) -> tuple:
+        w = text.split()
+        gone = merged(spans, len(w), window)
+        kept, at = [], 0
+        for first, end in gone:
+            kept += w[at:first]
+            at = end
+        body = b" ".join(kept + w[at:])
+        return body.decode(), len(w), sum(e - f for f, e in gone), hashlib.sha256(body).hexdigest()
+
+    return applied(docs, repeated_windows(docs, shape, keep_first=False), window, made,
+                   "text string, n_words long, n_removed long, kept_sha256 string")

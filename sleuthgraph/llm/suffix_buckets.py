@@ -22,11 +22,9 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from .hashing import utf8
-from .repeats import Shape, merged, repeated_windows, with_spans
+from .repeats import Shape, applied, merged, repeated_windows
 
 WINDOW = 100
 GRAM = 32
@@ -35,20 +33,14 @@ GRAM = 32
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, kept, n_bytes, n_removed, n_spans, kept_sha256): ``kept`` is the remaining bytes."""
     shape = Shape("bytes", gram, window)
-    joined = with_spans(docs, repeated_windows(docs, shape, keep_first=True), window)
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc, text, spans in zip(batch["doc_id"], batch["text"], batch["spans"], strict=True):
-                data, kept, at = utf8(text).tobytes(), [], 0
-                gone = merged(spans, len(data), window)
-                for first, end in gone:
-                    kept.append(data[at:first])
-                    at = end
-                body = b"".join(kept) + data[at:]
-                out.append((doc, body, len(data), sum(e - f for f, e in gone), len(gone), hashlib.sha256(body).hexdigest()))
-            yield pd.DataFrame(out, columns=["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype(
-                {"doc_id": "Int64"})
-
-    return joined.mapInPandas(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+    def made(text: bytes, spans) -> tuple:
+        gone, kept, at = merged(spans, len(text), window), [], 0
+        for first, end in gone:
+            kept.append(text[at:first])
+            at = end
+        body = b"".join(kept) + text[at:]
+        return body, len(text), sum(e - f for f, e in gone), len(gone), hashlib.sha256(body).hexdigest()
+
+    return applied(docs, repeated_windows(docs, shape, keep_first=True), window, made,
+                   "kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
