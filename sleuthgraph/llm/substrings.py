@@ -23,6 +23,7 @@ from .repeats import Shape, applied, merged, repeated_windows
 WINDOW = 35
 GRAM = 8
 
+
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, text, n_words, n_removed, kept_sha256): ``text`` is the kept words, joined by one space."""
     shape = Shape("words", gram, window)

@@ -5,9 +5,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from sleuthgraph.llm import hashing, line_runs, near_dup, sketches, substrings, suffix_buckets
+from sleuthgraph.llm import hashing, line_runs, near_dup, repeats, sketches, substrings, suffix_buckets
 from sleuthgraph.llm.bitmaps import Bitmap
 from sleuthgraph.llm.components import components
 
@@ -182,3 +183,26 @@ def test_sketch_retries_with_more_cells(documents, monkeypatch):
     monkeypatch.setattr(sketches.compare, "__defaults__", (1,))
     again = {(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next, r.fingerprint) for r in sketches.fingerprints(documents).collect()}
     assert again == plain
+
+
+@pytest.mark.parametrize("units,gram,size", [("bytes", 32, 100), ("words", 8, 35)])
+def test_slices_of_long_texts_have_the_same_windows(monkeypatch, units, gram, size):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{v}" for v in rng.integers(0, 50, n)) for n in (900, 3, 0, 60, 400)] + [None]
+    batch = pa.record_batch({"doc_id": pa.array(range(6)), "row_hash": pa.array([0] * 6, pa.int32()), "text": pa.array(texts)})
+    shape = repeats.Shape(units, gram, size)
+
+    def windows_of():
+        out = {}
+        for r in filter(None, repeats._chunks(batch, shape)):
+            for k in range(len(r.anchor)):
+                for w in range(r.first[k], r.end[k]):
+                    ident = repeats.identifiers(r.grams, gram, size, np.array([w]))[0]
+                    assert out.setdefault((r.doc[k], w - r.begin[k]), (r.anchor[k], ident)) == (r.anchor[k], ident)
+        return out
+
+    whole = windows_of()
+    units_of = [len((t or "").encode()) if units == "bytes" else len((t or "").split()) for t in texts]
+    assert set(whole) == {(d, k) for d, n in enumerate(units_of) for k in range(n - size + 1)}
+    monkeypatch.setattr(repeats, "SLICE", 200)
+    assert windows_of() == whole
