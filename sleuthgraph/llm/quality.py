@@ -213,4 +213,7 @@ def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS,
     """The documents, as they are, whose score reaches the threshold."""
     model = fit(docs, labels, max_rows)
     whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
-    return measured(whole).where(model.column() >= threshold).select("_doc.*")
+    # the term of no weight keeps the optimiser from moving the test below the statistics, where
+    # every rule would count its characters anew
+    score = model.column() + F.rand(1) * 0
+    return measured(whole).select("_doc", score.alias("_score")).where(F.col("_score") >= threshold).select("_doc.*")
