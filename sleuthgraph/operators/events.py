@@ -39,8 +39,11 @@ def union_events(existing: DataFrame, incoming: DataFrame) -> tuple[DataFrame, D
 
 # --- redaction --------------------------------------------------------------------
 
-_STRING = r'"(?:[^"\\]|\\.)*+"'
-_SECRET = rf'("(?:[^"\\]|\\.)*?(?i:{fixed.SECRET_KEYS})(?:[^"\\]|\\.)*?"\s*:\s*)'
+# A string may be cut off: then it goes on to the end.  Keys are found from the secret word on and loops over
+# strings are possessive, so long texts need neither stack nor backtracking.
+_STRING = r'"(?:[^"\\]|\\[\s\S])*+\\?"?'
+_SINGLE = r"'(?:[^'\\]|\\[\s\S])*+'"
+_SECRET = rf'((?i:{fixed.SECRET_KEYS})(?:[^"\\]|\\[\s\S])*+"\s*+:\s*+)'
 _OPENED = re.compile(_SECRET + r"(?=[\[{])")
 _MARKS = re.compile(_STRING + r"|[\[\]{}]")
 
@@ -79,13 +82,29 @@ def redact_json(raw: Column) -> Column:
     """
     nested = raw.rlike(_SECRET + r"[\[{]")
     flat = F.when(nested, _nested_redacted(F.when(nested, raw))).otherwise(raw)
-    return F.regexp_replace(flat, _SECRET + rf'(?:{_STRING}|[^\s,}}\]\["{{]+)', f'$1"{fixed.REDACTED}"')
+    return F.regexp_replace(flat, _SECRET + rf'(?:{_STRING}|{_SINGLE}|[^\s,}}\]\["{{]+)', f'$1"{fixed.REDACTED}"')
 
 
 def redact_text(raw: Column) -> Column:
-    """``key=value`` and ``key: value`` of a text line with secret-looking keys; quoted values as a whole."""
-    return F.regexp_replace(raw, rf'(?i)([\w.-]*(?:{fixed.SECRET_KEYS})[\w.-]*\s*[=:]\s*)(?:{_STRING}|[^\s,;|&]+)',
-                            f"$1{fixed.REDACTED}")
+    """``key=value`` and ``key: value`` of a text line with secret-looking keys; quoted values as a whole.
+
+    The key may be quoted, also with escaped quotes; what redact_json has replaced stays as it is.
+    """
+    escaped = r"""(\\+)["'][\s\S]*?(?:(?<!\\)\2["']|\z)"""
+    return F.regexp_replace(raw, rf'(?i)((?:{fixed.SECRET_KEYS})[\w.-]*+(?:\\*["\'])?\s*+[=:]\s*+)(?!"{re.escape(fixed.REDACTED)}")'
+                            rf'(?:{_STRING}|{_SINGLE}|{escaped}|[^\s,;|&]+)', f"$1{fixed.REDACTED}")
+
+
+def _is_json(raw: Column) -> Column:
+    """Whether the whole text is one JSON array or object.
+
+    The parser ignores what follows a value, so the text is read as the first of
+    two values in an array; the second, its hash, cannot stand in the text.
+    """
+    mark = F.md5(raw)
+    both = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(', "'), mark, F.lit('"]')))
+    whole = F.try_variant_get(both, "$[1]", "string") == mark
+    return F.coalesce(raw.rlike(r"^\s*[\[{]") & whole, F.lit(False))
 
 
 def redact_map(record: Column) -> Column:
@@ -95,8 +114,10 @@ def redact_map(record: Column) -> Column:
 
 
 def redact(events: DataFrame) -> DataFrame:
+    """Raw records without secrets; all that is no whole JSON document is read as JSON and as text."""
     raw = F.col("raw")
-    return events.withColumn("raw", F.when(raw.rlike(r"^\s*[\[{]"), redact_json(raw)).otherwise(redact_text(raw)))
+    cleaned = redact_json(raw)
+    return events.withColumn("raw", F.when(_is_json(raw), cleaned).otherwise(redact_text(cleaned)))
 
 
 # --- lookup ---------------------------------------------------------------------------

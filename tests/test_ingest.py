@@ -194,6 +194,30 @@ def test_redaction_of_text_lines(spark):
     assert not any(s in raws for s in ("hunter2", "abc", "zzz9")) and "msg=ok" in raws and "src=1.2.3.4" in raws
 
 
+@pytest.mark.parametrize("raw, want", [
+    ("[2024-01-01 10:00] sshd: password=hunter2 ok", "[2024-01-01 10:00] sshd: password=*** ok"),
+    ("[4711] sshd: password=hunter2", "[4711] sshd: password=***"),
+    ("[1]] sshd: password=hunter2", "[1]] sshd: password=***"),
+    ('{"a": 1} token: hunter2', '{"a": 1} token: ***'),
+    ('{"password": "hunter2', '{"password": "***"'),
+    ('{"password": "hunter2\\', '{"password": "***"'),
+    ('{"a": broken, "password": "hunter2", "b": 1}', '{"a": broken, "password": "***", "b": 1}'),
+    ('{"password": ["hunter2", ["hunter2', '{"password": "***"'),
+    ('host app: {"password": "hunter2 hunter2", "b": "x"}', 'host app: {"password": "***", "b": "x"}'),
+    ('host app: {"password": {"x": ["hunter2"]}, "b": "x"}', 'host app: {"password": "***", "b": "x"}'),
+    ("{'password': 'hunter2 hunter2', 'b': 1}", "{'password': ***, 'b': 1}"),
+    (r'app: {\"password\": \"hunter2 hunter2\", \"b\": 1}', r'app: {\"password\": ***, \"b\": 1}'),
+    ('"token=hunter2"', '"token=***'),
+    ('{"note": "secret: no", "password": "hunter2"}', '{"note": "secret: no", "password": "***"}'),
+    ('[{"note": "token=x", "my pwd 2": null}]', '[{"note": "token=x", "my pwd 2": "***"}]'),
+    ("[a] password=hunter2 " + '"' + "x" * 200000, "[a] password=*** " + '"' + "x" * 200000),
+    ('{"note": "' + "y" * 200000 + '", "password": "hunter2"}', '{"note": "' + "y" * 200000 + '", "password": "***"}'),
+    (None, None)])
+def test_redaction_of_what_is_not_whole_json(spark, raw, want):
+    got = e.redact(spark.createDataFrame([(raw,)], "raw string")).first().raw
+    assert got == (want and want.replace("***", "***redacted***"))
+
+
 def test_one_uid_once_over_years(spark, tmp_path):
     import datetime as dt
     table, line = str(tmp_path / "events"), "<13>Aug 19 09:16:02 box app: hi"
