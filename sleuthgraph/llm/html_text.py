@@ -6,8 +6,9 @@ An element's density sum is that of its children.  The element with the
 largest sum leads to a threshold, the least density on its path up to the
 body; then every branch whose density reaches the threshold gives its subtree
 with the largest sum.  Elements that are never an article's own text (scripts,
-menus, forms, comment threads and the like, by element or by a word of class,
-id or role) are set aside before densities are taken.
+menus, fields and the like) are set aside before densities are taken.  A form,
+or a word of class, id or role that names such a part (also a comment thread),
+is a hint only: see Page._set_aside for what stays in spite of it.
 
 Nulls and ties: a null page is an empty one and its text is empty; of equal
 sums the outer, then the earlier element wins; markup that is cut off or not
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 DROPPED = frozenset("""head script style noscript template textarea title iframe object embed svg canvas audio video map nav header
-footer aside form button select option input label fieldset datalist dialog menu""".split())
+footer aside button select option input label fieldset datalist dialog menu""".split())
 BLOCK = frozenset("""address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot
 th thead tr ul""".split())
@@ -46,6 +47,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
 NAMING = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Za-z]+")
+WITHOUT = re.compile(r"(?<![a-z])(?:has|no|with|without)[-_]\S*")  # says what is beside an element, not what it is
+TALK = frozenset("comment comments disqus respond replies".split())
 
 
 class Page:
@@ -53,16 +56,22 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.dropped = ["html"], [-1], [False]
+        self.hints: dict[int, frozenset[str]] = {}
         self.parts: list[tuple[int, str | None]] = []  # (element, text); None: a block edge
         self.body = 0
         self._read(source)
+        if self.hints:
+            self._set_aside()
 
     def _open(self, stack: list[int], tag: str, attributes: str) -> int:
         node = len(self.tags)
         self.tags.append(tag)
         self.parents.append(stack[-1])
-        self.dropped.append(self.dropped[stack[-1]] or tag in DROPPED or tag not in ("html", "body", "article", "main")
-                            and any(w in FURNITURE for _, *v in NAMING.findall(attributes) for w in WORD.findall("".join(v).lower())))
+        self.dropped.append(self.dropped[stack[-1]] or tag in DROPPED)
+        if not self.dropped[node] and tag not in ("html", "body"):
+            words = {w for _, *v in NAMING.findall(attributes) for w in WORD.findall(WITHOUT.sub(" ", "".join(v).lower()))} & FURNITURE
+            if words or tag == "form":
+                self.hints[node] = frozenset(words or {tag})
         return node
 
     def _read(self, source: str) -> None:
@@ -113,6 +122,77 @@ class Page:
             elif here in scopes or here in CLOSES_P and not ends:
                 return
 
+    def _set_aside(self) -> None:
+        """Drop hinted elements, but those that the article stands in.
+
+        Kept are: article and main elements themselves; what holds the page's
+        main or article element (the one with most prose, if that is a quarter
+        of the prose without a hint at least); and, while there are such, all
+        elements of the same words that together hold more prose than all that
+        has no hint.  Outside the main element, and for comment threads, it must
+        be four times as much; a thread beside a main element never stays.
+        Prose is what stands in no link.  Hints within kept elements are judged anew.
+        """
+        n, tags, parents, dropped = len(self.tags), self.tags, self.parents, self.dropped
+        prose, in_link, talk, children = [0] * n, [False] * n, [False] * n, [[] for _ in tags]
+        for k in range(1, n):
+            p = parents[k]
+            in_link[k] = in_link[p] or tags[k] == "a"
+            talk[k] = talk[p] or k in self.hints and bool(self.hints[k] & TALK)
+            if not dropped[k]:
+                children[p].append(k)
+        for node, text in self.parts:
+            if text and not dropped[node] and not in_link[node]:
+                prose[node] += len("".join(text.split()))
+        for k in range(n - 1, 0, -1):
+            prose[parents[k]] += prose[k]
+        plain, groups = 0, {}
+
+        def enter(top: int) -> None:
+            """Count what has no hint below an element and gather the next hinted ones."""
+            nonlocal plain
+            plain, todo = plain + prose[top], list(children[top])
+            while todo:
+                k = todo.pop()
+                if k in self.hints and tags[k] not in ("article", "main"):
+                    plain -= prose[k]
+                    groups.setdefault(self.hints[k], set()).add(k)
+                else:
+                    todo += children[k]
+
+        enter(0)
+        main = max((k for k in range(n) if tags[k] in ("article", "main") and prose[k] and not dropped[k] and not talk[k]
+                    and k not in self.hints), key=lambda k: (prose[k], -k), default=0)
+        if tags[main] == "article" and 4 * prose[main] < plain:
+            main = 0
+        path, k = [], main
+        while k:
+            k = parents[k]
+            path.append(k)
+        for k in reversed(path):
+            if k in self.hints and k in groups.get(self.hints[k], ()):
+                groups[self.hints[k]].remove(k)
+                enter(k)
+        within = [False] * n
+        for k in range(1, n):
+            within[k] = k == main or within[parents[k]]
+        while True:
+            held = {w: sum(prose[k] for k in g) for w, g in groups.items()}
+            for words in sorted(groups, key=lambda w: (-held[w], min(groups[w], default=n))):
+                beside = bool(main) and not all(within[k] for k in groups[words])
+                thread = any(talk[k] for k in groups[words])
+                if held[words] > plain * (4 if beside or thread else 1) and not (beside and thread):
+                    break
+            else:
+                break
+            for k in groups.pop(words):
+                enter(k)
+        for group in groups.values():
+            for k in group:
+                dropped[k] = True
+        for k in range(1, n):
+            dropped[k] = dropped[k] or dropped[parents[k]]
+
     def densities(self) -> tuple[list[float], list[float]]:
         """(density, density sum) of each element."""
         n = len(self.tags)

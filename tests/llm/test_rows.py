@@ -160,6 +160,37 @@ def test_main_text(spark):
     assert html_text.extracted(pages.limit(0)).count() == 0
 
 
+STORY = "<h1>Head</h1><p>Long enough text of the story, told at some length.</p><p>It goes on, and on, to its very end.</p>"
+STORY_TEXT = "Head\nLong enough text of the story, told at some length.\nIt goes on, and on, to its very end."
+AROUND = "<nav><a href=x>Home</a></nav>%s<footer>&copy; me</footer>"
+SIDE = "<div class='sidebar'><p>Read this too, it is short.</p></div>"
+THREAD = "<div id='comments'>" + "<p>I liked it very much, thanks a lot for it all, and so on and so on.</p>" * 3 + "</div>"
+
+
+@pytest.mark.parametrize("wrapped", [
+    *[f"<div class='{c}'>{STORY}</div>" for c in ("layout has-sidebar", "content no-sidebar", "entry-content with-header", "elementor-widget",
+                                                  "no_left_sidebar", "page header-fixed", "single comments-open", "widget sidebar social")],
+    f"<div class='layout has-sidebar'>{STORY}{SIDE}</div>", f"<div class='layout sidebar'><div class='page-widget'>{STORY}</div>{SIDE}</div>",
+    f"<form action=x><div>{STORY}</div><input name=y><label>Your name</label></form>",
+    f"<form id=aspnet><div class='page-header-wide'>{STORY}</div>{SIDE}</form>",
+    f"<div class='share-layout'><article>{STORY}</article>{THREAD}</div>", f"<div class='banner-page'><main>{STORY}</main></div>{THREAD}",
+    f"<div class=story>{STORY}</div>{THREAD}", f"<article>{STORY}</article><div class='cookie-notice'>{'<p>We use cookies here.</p>' * 9}</div>",
+    f"<div>{STORY}</div><div class=related><article class=card><p>Short.</p></article></div>"])
+def test_main_text_of_hinted_wrappers(wrapped):
+    for page in ("%s", "<html><body>%s</body></html>", AROUND, f"<html><body><div id=all>{AROUND}</div></body></html>"):
+        assert html_text.main_text(page.replace("%s", wrapped)) == STORY_TEXT
+
+
+def test_hint_on_every_block():
+    page = "<div>" + "".join(f"<div class='elementor-widget'><div class='elementor-widget-box'>{p}</div></div>" for p in (
+        "<p>Long enough text of the story, told at some length.</p>", "<p>It goes on, and on, to its end.</p>", "<p>And a third part.</p>")) + "</div>"
+    assert html_text.main_text(page) == html_text.main_text(page.replace("widget", "part")) != ""
+
+
+def test_hints_of_deep_pages():
+    assert html_text.main_text("<div class=sidebar><div class=widget>" * 1500 + "deep" + "</div>" * 3000) == "deep"
+
+
 def test_leaks(spark, documents, corpus, nothing):
     rng = random.Random(9)
     items = [" ".join(f"q{rng.randrange(500)}" for _ in range(n)) for n in (60, 40, 25, 12, 3)]
