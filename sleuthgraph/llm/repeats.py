@@ -34,12 +34,25 @@ WHO = ["doc_id", "row_hash", "start"]
 
 @dataclass(frozen=True)
 class Shape:
-    """``units``: bytes or words; ``gram``: length of an anchor; ``size``: length of a window; at most twice ``size - gram``."""
+    """``units``: bytes or words; ``gram``: length of an anchor; ``size``: length of a window, at least ``gram``.
+
+    From ``3 * gram - 1`` on every window holds a gram of twice the length to a side of its anchor; shorter ones that
+    hold none are never set aside by such grams.
+    """
 
     units: str
     gram: int
     size: int
 
+    def __post_init__(self):
+        if not 0 < self.gram <= self.size:
+            raise ValueError(f"a window of {self.size} units has no gram of {self.gram}")
+
+    @property
+    def block(self) -> int:
+        """Windows in a block: what they have in common is a gram at least."""
+        return min(BLOCK, self.size - self.gram + 1)
+
     def values(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """Units of several texts, one after the other, and how many each has."""
         if self.units == "bytes":
@@ -229,8 +242,9 @@ def repeated_windows(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFra
         first, end, at = r.first[keep], r.end[keep], r.anchor_at[keep]
         # grams of twice the length to either side, where a window of the run holds them
         has_right, has_left = at + 2 * gram <= end - 1 + size, at - gram >= first
-        right = np.where(has_right, identifiers(r.grams, gram, 2 * gram, np.where(has_right, at, 0)), U(0))
-        left = np.where(has_left, identifiers(r.grams, gram, 2 * gram, np.where(has_left, at - gram, 0)), U(0))
+        right, left = np.zeros((2, len(at)), dtype=U)
+        right[has_right] = identifiers(r.grams, gram, 2 * gram, at[has_right])
+        left[has_left] = identifiers(r.grams, gram, 2 * gram, at[has_left] - gram)
         whole = _whole(*[identifiers(r.grams, gram, size, p) for p in (first, end - 1)], end - first)
         return r.of(keep) | {"whole": _signed(whole), "to_left": _signed(left), "to_right": _signed(right),
                              "n_windows": (end - first).astype(np.int32), "start": first - r.begin[keep]}
@@ -254,13 +268,16 @@ def repeated_windows(docs: DataFrame, shape: Shape, keep_first: bool) -> DataFra
 
 
 def _refined(docs: tuple[DataFrame, DataFrame, Bitmap], shape: Shape, anchors: Bitmap, several: DataFrame, keep_first: bool) -> list[DataFrame]:
-    gram, size = shape.gram, shape.size
+    gram, size, block = shape.gram, shape.size, shape.block
     several = cut(several)
     sides = several.select("anchor", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("to_left").alias("id")),
                                                        F.struct(F.lit(1).alias("side"), F.col("to_right").alias("id")))).alias("s"),
                            "doc_id", "row_hash", "start").select("anchor", "s.*", *WHO).where("id <> 0")
     both = sides.groupBy("anchor", "side", "id").count().where("count > 1").drop("count")
     alive = sides.join(both, ["anchor", "side", "id"]).select("anchor", "side", *WHO)
+    if size < 3 * gram - 1:
+        # windows between the two sides hold no such gram, so their runs go on whatever repeats
+        alive = alive.unionByName(several.select("anchor", F.lit(2).alias("side"), *WHO))
 
     def name(batches):
         for b in batches:
@@ -272,22 +289,22 @@ def _refined(docs: tuple[DataFrame, DataFrame, Bitmap], shape: Shape, anchors: B
 
     def survivors(r: Runs):
         known = np.flatnonzero(anchors.has(_signed(r.anchor)))
-        sides = np.zeros((2, len(r.anchor)), dtype=bool)
-        for k in (0, 1):
+        sides = np.zeros((3, len(r.anchor)), dtype=bool)
+        for k in range(3 if size < 3 * gram - 1 else 2):
             sides[k, known] = names.has(_signed(_run_key(r.doc[known], r.row[known], (r.first - r.begin)[known], r.anchor[known], k)))
         # a window at offset o behind its start holds the left gram from o = gram on, the right one up to size - 2 gram
         low, high = r.anchor_at - (r.end - 1), r.anchor_at - r.first
         high = np.where(sides[0], high, np.minimum(high, gram - 1))
         low = np.where(sides[1], low, np.maximum(low, size - 2 * gram + 1))
-        keep = np.flatnonzero((sides[0] | sides[1]) & (low <= high))
+        keep = np.flatnonzero(sides.any(axis=0) & (low <= high))
         if not len(keep):
             return None
         at, low, high = r.anchor_at[keep], low[keep], high[keep]
         ids = identifiers(r.grams, gram, size, _ranges(at - high, high - low + 1))
-        blocks = high // BLOCK - low // BLOCK + 1
+        blocks = high // block - low // block + 1
         # cores from the lowest block up: at -8b, falling
-        cores = identifiers(r.grams, gram, size - BLOCK + 1, np.repeat(at - BLOCK * (low // BLOCK), blocks)
-                            - BLOCK * _ranges(np.zeros(len(blocks), dtype=np.int64), blocks))
+        cores = identifiers(r.grams, gram, size - block + 1, np.repeat(at - block * (low // block), blocks)
+                            - block * _ranges(np.zeros(len(blocks), dtype=np.int64), blocks))
         return r.of(keep) | {"ids": (_signed(ids), high - low + 1), "cores": (_signed(cores), blocks), "offset": high.astype(np.int32),
                              "start": at - high - r.begin[keep]}
 
@@ -295,9 +312,9 @@ def _refined(docs: tuple[DataFrame, DataFrame, Bitmap], shape: Shape, anchors: B
                      survivors))
     # blocks of windows whose offsets have one quotient, so equal windows are in equal blocks; all windows of a
     # block hold its core, so where no other block of the anchor has that core, none of its windows repeats
-    parts = F.transform(F.sequence(F.floor((F.col("offset") - F.size("ids") + 1) / BLOCK), F.floor(F.col("offset") / BLOCK)), lambda b, i: F.struct(
-        b.alias("block"), F.get("cores", i).alias("core"), F.greatest(F.lit(0), F.col("offset") - (b + 1) * BLOCK + 1).cast("int").alias("lo"),
-        F.least(F.size("ids") - 1, F.col("offset") - b * BLOCK).cast("int").alias("hi")))
+    parts = F.transform(F.sequence(F.floor((F.col("offset") - F.size("ids") + 1) / block), F.floor(F.col("offset") / block)), lambda b, i: F.struct(
+        b.alias("block"), F.get("cores", i).alias("core"), F.greatest(F.lit(0), F.col("offset") - (b + 1) * block + 1).cast("int").alias("lo"),
+        F.least(F.size("ids") - 1, F.col("offset") - b * block).cast("int").alias("hi")))
     blocks = left.select("anchor", "doc_id", "row_hash", "start", "offset", "ids", F.explode(parts).alias("b")).select(
         "anchor", "b.block", "b.core", "doc_id", "row_hash", (F.col("start") + F.col("b.lo")).alias("start"),
         (F.col("offset") - F.col("b.lo")).alias("offset"), F.slice("ids", F.col("b.lo") + 1, F.col("b.hi") - F.col("b.lo") + 1).alias("ids"))

@@ -132,6 +132,36 @@ def test_words_removed(documents, corpus, nothing, window, gram):
     assert substrings.without_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("units,gram,size", [("words", 8, 16), ("words", 8, 9), ("words", 4, 6), ("words", 4, 8), ("words", 6, 17), ("bytes", 32, 50),
+                                             ("bytes", 32, 94), ("bytes", 8, 8)])
+def test_repeats_of_any_window(spark, units, gram, size):
+    rng = np.random.default_rng(size)
+    long_ = [f"w{v}" for v in rng.integers(0, 500, 60)]
+    # pieces of one text of about a window, each between other words
+    texts = [" ".join([f"x{v}" for v in rng.integers(0, 500, 5)] + long_[k:k + int(rng.integers(4, 24))] + [f"y{v}" for v in rng.integers(0, 500, 5)])
+             for k in range(40) for _ in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    split = [t.encode() if units == "bytes" else t.split() for t in texts]
+    count = Counter(bytes(w[k:k + size]) if units == "bytes" else tuple(w[k:k + size]) for w in split for k in range(len(w) - size + 1))
+    seen, want = set(), {}
+    for i, w in enumerate(split):
+        gone = bytearray(len(w))
+        for k in range(len(w) - size + 1):
+            key = bytes(w[k:k + size]) if units == "bytes" else tuple(w[k:k + size])
+            if key in seen if units == "bytes" else count[key] > 1:
+                gone[k:k + size] = b"\1" * size
+            seen.add(key)
+        want[i] = sum(gone), sha(bytes(x for x, g in zip(w, gone) if not g) if units == "bytes" else " ".join(x for x, g in zip(w, gone) if not g))
+    module = suffix_buckets if units == "bytes" else substrings
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in module.without_repeats(docs, size, gram).collect()}
+    assert got == want and sum(n for n, _ in want.values())
+
+
+def test_windows_hold_a_gram():
+    with pytest.raises(ValueError):
+        repeats.Shape("words", 8, 7)
+
+
 def test_long_texts_hash_in_parts(monkeypatch):
     text = ("word " * 50 + "x" * 300 + " end " * 40).encode()
     whole = hashing.words(np.frombuffer(text, dtype=np.uint8))
