@@ -5,9 +5,15 @@ and ten mantissa bits of its least hash.  Six registers make a band.  Documents
 with equal shingle sets are one class from the start, so copies of any number
 cost one row each.  Class representatives that share a band are candidates:
 first each against the member of its band that shares most bands with others, then, inside bands that still hold
-more than one component, all pairs of different components, compared in blocks
-by their registers (Jaccard corrected for chance matches of registers).  Every
-link is confirmed on the full sets.
+more than one component, all pairs of different components, compared in blocks.
+Every link is confirmed on the full sets.
+
+The registers only make the band keys.  The estimate in blocks is made on a
+sketch of its own, 512 one-byte min-hashes (Jaccard corrected for chance matches
+of bytes): as many bytes as 256 registers but twice the draws, and its empty
+buckets stay empty, while registers borrow from filled ones, so that equal
+registers of a small set are no independent draws.  The first pass has no
+estimate: its pairs go straight to the full sets.
 
 42 bands of six registers miss a pair at similarity 0.85 with probability
 0.62 ** 42, about 2e-9; a text with few shingles shares every band that no
