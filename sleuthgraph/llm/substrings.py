@@ -1,11 +1,11 @@
-"""Repeated word windows by level-wise doubling: grams that repeat at one length alone are looked at at twice that length.
-
-Level 1 counts eight-word grams (of each window of 35 words only its least
-one, so one gram in about fourteen); level 2 counts the sixteen-word grams that
-extend a repeated one to either side; level 3 counts the 35-word windows, made of
-two overlapping 32-word identifiers, around what is left.  A level without
-survivors ends the search.  A window that also starts anywhere else removes all its
-words, in every place.
+"""Repeated word windows, from anchors (see ``repeats``).
+
+This departs from level-wise doubling.  Eight-word grams are counted (of each
+window of 35 words only its least one, so one gram in about fourteen); then runs
+of windows at repeated ones are grouped by their whole text; only where a gram has
+several kinds of run, sixteen-word grams to either side set windows aside and the
+35-word windows left are compared.  There is no loop until nothing survives.  A
+window that also starts anywhere else removes all its words, in every place.
 
 Nulls and ties: a null text has no words; rows are documents of their own, so a row
 that is there twice repeats all its windows; an empty table gives no rows.

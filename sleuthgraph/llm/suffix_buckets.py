@@ -1,13 +1,10 @@
-"""Repeated byte strings by bucket-pointer refinement of sampled suffixes.
-
-Suffixes start in buckets by their first 32 bytes.  A bucket with one suffix is
-done; the others are refined by the bucket identifiers of later offsets: the
-bucket of 64 bytes is the pair of the 32-byte buckets at the suffix and 32 bytes
-later, the bucket of 100 bytes the pair of the 64-byte buckets at the suffix and 36
-bytes later, so each round reuses what the last one made.  Identifiers are hashes of
-these pairs, which every task derives alike, and Spark sorts suffixes into buckets
-by them.  Only suffixes that begin at anchors are sorted first (see ``repeats``);
-those between are looked at only where their anchor's bucket splits.
+"""Repeated byte strings, from anchors (see ``repeats``).
+
+This departs from bucket-pointer refinement: no suffix gets a bucket identifier that
+a later round takes as its sort key.  Identifiers of 64 and 100 bytes are hashes of
+pairs of shorter ones, as there, but every task takes them from the text.  Runs
+of windows at repeated 32-byte anchors are grouped by their whole text first;
+windows between are looked at only where an anchor has several kinds of run.
 
 A byte goes if a string of 100 bytes covers it that also starts earlier: in a smaller
 id, or before in the same document.
