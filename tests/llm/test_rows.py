@@ -248,3 +248,66 @@ def test_registered_queries_match_their_sql(spark):
     for name, sql in catalog.oracle_sql().items():
         assert compare.rows(catalog.queries()[name](spark, sf).toPandas()) == compare.rows(compare.duck(sf).execute(sql).df())
     assert len([n for n in catalog.queries() if n.startswith("op")]) == 10 and "pipeline" in catalog.queries()
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """The rows of run() against brute force over the stages behind the classifier."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_pairs import ASCII, shingle_set, words
+    given, sf = "/root/testdata/sf0.001", str(tmp_path)
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{given}/{name}.parquet").write.parquet(f"{sf}/{name}.parquet")
+    # near copies of long lines: one word of every 60 is another
+    every = spark.read.parquet(f"{given}/documents.parquet")
+    near = [(r.doc_id + 10000 * c, " ".join("changed" if k % 60 == 20 + c else w for k, w in enumerate(r.text.split(" "))))
+            for r in every.where("text not like '%\\n%' and n_chars > 600").orderBy("doc_id").limit(12).collect() for c in (1, 2)]
+    near = spark.createDataFrame(near, "doc_id long, text string").selectExpr("doc_id", "text", "'en' lang", "'s' source", "cast(length(text) as long) n_chars")
+    every.unionByName(near.select([near[f.name].cast(f.dataType) for f in every.schema])).write.parquet(f"{sf}/documents.parquet")
+    docs = {r.doc_id: r.text or "" for r in corpus_pipeline.quality_classifier(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()}
+    # lines that a smaller id also holds
+    key = lambda line: line.strip("\t\n\x0b\x0c\r ").translate(ASCII)
+    first, lined = {}, {}
+    for i in sorted(docs):
+        for line in docs[i].split("\n"):
+            first.setdefault(key(line), i)
+    for i, text in docs.items():
+        kept = [x for x in text.split("\n") if len(key(x)) < 10 or first[key(x)] == i]
+        if "\n".join(kept) == text or key("\n".join(kept)):
+            lined[i] = "\n".join(kept)
+    # the smallest id of each group of near duplicates
+    sets, group = {i: shingle_set(t) for i, t in lined.items()}, {i: i for i in lined}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = {k: new if g == old else g for k, g in group.items()}
+    single = {i: t for i, t in lined.items() if group[i] == i}
+    # windows of an item's length whose weighted shingles are those of the item
+    items, clean = [words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()], {}
+    for i, text in single.items():
+        w, leaks = words(text), False
+        for item in filter(None, items):
+            n, size = len(item), min(5, len(item))
+            grams = lambda x: Counter(tuple(x[k:k + size]) for k in range(len(x) - size + 1))  # noqa: E731, B023
+            mine, here = grams(item), {tuple(w[k:k + size]) for k in range(len(w) - size + 1)}
+            if sum(c for g, c in mine.items() if g in here) >= 0.8 * sum(mine.values()):
+                near = (grams(w[k:k + n]) for k in range(max(len(w) - n, 0) + 1))
+                leaks |= any(sum((g & mine).values()) >= 0.8 * sum((g | mine).values()) for g in near)
+        if not leaks:
+            clean[i] = text
+    assert lined != docs and len(lined) > len(single) > len(clean) > 0
+    encoder, want = Tokenizer.from_file(TOKENIZER), Counter()
+    for i, text in clean.items():
+        ids = encoder.encode(text, add_special_tokens=False).ids + [1]
+        for k in range(0, len(ids), 4096):
+            part = ids[k:k + 4096]
+            want[i, k // 4096, k, len(part), zlib.crc32(np.asarray(part, dtype="<u4").tobytes())] += 1
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    places = defaultdict(list)
+    for r in rows:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert all(sorted(p)[k][0] == sum(n for _, n in sorted(p)[:k]) for p in places.values() for k in range(len(p)))
+    assert all(sum(n for _, n in p) <= 4096 for p in places.values())
