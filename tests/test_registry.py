@@ -9,7 +9,7 @@ from checks.compare import duck, rows
 
 registry.load()
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"node_communities", "trade_communities"}
+ROWS_ONLY: set[str] = set()
 SAMPLE = ["canonical_identities", "filtered_events", "event_timeline", "node_risk", "node_roles", "kill_chain_levels", "tool_sightings",
           "group_attribution", "report_narrative", "normalized_vendor_lines", "trade_degrees"]
 
