@@ -10,7 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_runs, near_dup, packing, quality, sketches, substrings, suffix_buckets, toxicity
+from . import (decontaminate, divergence, html_text, languages, line_runs, near_dup, packing, quality, sketches, substrings, suffix_buckets,
+               toxicity, whitening)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -66,6 +67,18 @@ def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.identified(table(spark, sf_dir, "documents"))
+
+
+def op12_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_count_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -85,8 +98,9 @@ def with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[S
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: with_package(f) for f in (
         op1_best_fit_packing, op2_subsequence_svm, op3_composite_density, op4_line_dedup, op5_quality_rules, op6_bucket_pointers,
-        op7_hyperminhash, op8_simhash_windows, op9_doubling_windows, op10_paragraph_sketch, pipeline)}
+        op7_hyperminhash, op8_simhash_windows, op9_doubling_windows, op10_paragraph_sketch, op11_ecoc_language,
+        op12_feast_whitening, op13_count_bitmaps, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_runs.ORACLE}
+    return {"op4_line_dedup": line_runs.ORACLE, "op13_count_bitmaps": divergence.ORACLE}
