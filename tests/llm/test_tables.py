@@ -104,6 +104,15 @@ def test_feast(n):
                 assert feast.above(form, shift) == (want > shift).sum()
 
 
+def test_feast_far_first_value():
+    # one value far above a dense rest, as copies of one vector make it
+    values = np.append(np.linspace(1.0, 1.7, 63), 9.0)
+    q, _ = np.linalg.qr(np.random.default_rng(1).standard_normal((64, 64)))
+    a = (q * values) @ q.T
+    got, vectors = feast.largest(a, 4)
+    assert np.allclose(got, values[::-1][:4], rtol=1e-12) and np.allclose(a @ vectors, vectors * got, atol=1e-12)
+
+
 def test_whitened(spark):
     rng = np.random.default_rng(2)
     plain = (rng.standard_normal((300, 6)) @ np.diag([3, 2, 1.5, 1, .5, .1])).astype(np.float32)
