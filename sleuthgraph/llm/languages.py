@@ -30,8 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_TRAIN_ROWS = 2_400
-FEATURES = 1 << 13
+MAX_TRAIN_ROWS = 1_600
+FEATURES = 1 << 12
 PIECE = 1 << 20
 CUT = (40, 240)
 RIDGE = 1e-4
@@ -121,14 +121,14 @@ def train(langs: list[str], counts: np.ndarray) -> Model:
     code = codewords(len(names))
     if len(names) < 2:
         return Model(tuple(names), code, np.zeros((FEATURES, 0), dtype=np.float32), np.zeros(0), np.ones((len(names), 0)))
-    x = (SCALE * counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)).astype(np.float32)
+    x = counts * (np.float32(SCALE) / np.maximum(counts.sum(axis=1, keepdims=True), 1))  # four bytes an entry
     side = code[y]
     # both sides of a bit weigh the same
     share = np.stack([np.where(side[:, k] > 0, 0.5 / max((side[:, k] > 0).sum(), 1), 0.5 / max((side[:, k] < 0).sum(), 1))
                       for k in range(code.shape[1])], axis=1)
     w, bias = np.zeros((FEATURES, code.shape[1])), np.zeros(code.shape[1])
     v, c, t = w, bias, 1.0
-    step = 4.0 / (float((x.astype(np.float64) ** 2).sum(axis=1).max()) + 1.0)
+    step = 4.0 / (float(np.einsum("ij,ij->i", x, x).max()) + 1.0)
     for _ in range(STEPS):
         pull = -side * share / (1 + np.exp(np.clip(side * (x @ v.astype(np.float32) + c), -30, 30)))
         new, new_c = v - step * (x.T @ pull.astype(np.float32) + RIDGE * v), c - step * pull.sum(axis=0)
