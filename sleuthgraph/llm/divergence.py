@@ -34,7 +34,7 @@ from sleuthgraph.plans.lineage import cut
 MIN_DOCS = 3
 TOP = 200
 UNIT = 1_000_000_000
-BLOCK = 1024
+BLOCK = 256
 SLICE = 64
 HELD = 400_000
 PIECE = 4 << 20
