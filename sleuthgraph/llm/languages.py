@@ -36,6 +36,7 @@ PIECE = 1 << 20
 CUT = (40, 240)
 RIDGE = 1e-4
 STEPS = 150
+PARTS = 40
 SCALE = 24.0
 NEAR = 0.75
 UNDETERMINED = "und"
@@ -153,12 +154,15 @@ def _short(text: str) -> str:
 
 
 def fit(docs: DataFrame, max_rows: int = MAX_TRAIN_ROWS) -> Model:
-    """Fit on as many texts of each language, those with the smallest hash of their id."""
+    """Fit on as many texts of each language, those with the smallest hash in each part of their ids."""
     known = (docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
              .select("doc_id", F.col("lang").cast("string").alias("lang")))
     langs = max(known.select("lang").distinct().count(), 1)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= max(max_rows // langs, 2)).drop("n")
+    each = max(max_rows // langs, 2)
+    parts = min(PARTS, each)
+    # drawn from parts of a language's ids, so that no task orders a whole language
+    order = Window.partitionBy("lang", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(parts))).orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= each // parts).drop("n")
     # the sample is the small side: at most max_rows pairs of an id and a language
     sample = (docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
               .join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text"))
