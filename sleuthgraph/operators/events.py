@@ -95,6 +95,26 @@ def redact_text(raw: Column) -> Column:
                             rf'(?:{_STRING}|{_SINGLE}|{escaped}|[^\s,;|&]+)', f"$1{fixed.REDACTED}")
 
 
+def redact_headers(raw: Column, in_json: bool) -> Column:
+    """Secrets whose value has a grammar of its own: scheme and credentials, cookie lists, flags with a blank, users in URLs.
+
+    ``in_json`` is for texts inside a JSON document: quotes are escaped there, and a value never goes beyond its string.
+    """
+    quoted = r'\\"[^"\\]*+\\"' if in_json else _STRING
+    # no quote, blank or mark between parameters; inside JSON no escape either
+    bare, plain = (r'[^\s"\\,;|&\']++', r'[^\s";\\]++') if in_json else (r'[^\s",;|&\']++', r'[^\s;"]++')
+    parameter = rf'[\w-]++=(?:{quoted}|{bare})'
+    mark = fixed.REDACTED
+    authorization = (rf'(?i)(authorization["\']?\s*+[=:]\s*+)(?:{fixed.AUTHORIZATION_SCHEMES})[ \t]++'
+                     rf'(?:{parameter}(?:[ \t]*+,[ \t]*+{parameter})*+|{bare})')
+    cookies = rf'(?i)(cookie["\']?\s*+[=:][ \t]*+)[^\s=;,"\\]++={plain}(?:;[ \t]*+[^\s=;"\\]++(?:={plain})?+)*+'
+    flags = rf'(?i)((?<![\w-])--?[\w-]*?(?:{fixed.SECRET_KEYS})[\w-]*+[ \t]++)(?!-)(?:{quoted}|{_SINGLE}|[^\s"\\]++)'
+    users = r'(://[^\s/:@"\\]*+:)[^\s/@"\\]++(?=@)'
+    for pattern in (authorization, cookies, flags, users):
+        raw = F.regexp_replace(raw, pattern, f"$1{mark}")
+    return raw
+
+
 def _is_json(raw: Column) -> Column:
     """Whether the whole text is one JSON array or object.
 
@@ -114,10 +134,14 @@ def redact_map(record: Column) -> Column:
 
 
 def redact(events: DataFrame) -> DataFrame:
-    """Raw records without secrets; all that is no whole JSON document is read as JSON and as text."""
+    """Raw records without secrets; all that is no whole JSON document is read as JSON and as text.
+
+    In a document's text values only header-like secrets go: other words there may well be prose.
+    """
     raw = F.col("raw")
     cleaned = redact_json(raw)
-    return events.withColumn("raw", F.when(_is_json(raw), cleaned).otherwise(redact_text(cleaned)))
+    return events.withColumn("raw", F.when(_is_json(raw), redact_headers(cleaned, True)).otherwise(
+        redact_text(redact_headers(cleaned, False))))
 
 
 # --- lookup ---------------------------------------------------------------------------

@@ -19,7 +19,6 @@ MAP = "map<string,string>"
 MAPS = f"array<{MAP}>"
 TEXTS = "array<string>"
 RECORD_DDL = "record map<string,string>, raw string, origin_file string"
-SUFFIX_READERS = {"json": "json", "ndjson": "ndjson", "csv": "csv", "cef": "lines", "log": "lines", "txt": "lines"}
 
 
 def last_wins_map(keys: Column, vals: Column) -> Column:
@@ -47,6 +46,22 @@ def _starts(text: Column, mark: str) -> Column:
     return F.coalesce(F.ltrim(text).startswith(mark), F.lit(False))
 
 
+# Up to a closing bracket that another value follows, strings taken as a whole; inside one value no such pair is valid.
+_GLUED = r'\G((?:[^"}\]]|"(?:[^"\\]|\\.)*+"|[}\]](?!\s*[{\[]))*+[}\]])\s*(?=[{\[])'
+
+
+def json_values(text: Column) -> Column:
+    """The JSON values that a text consists of, one after the other, as texts; null unless all of it is JSON.
+
+    The values are parsed as one array with a mark at its end: where parsing stops early, the mark is missing.
+    """
+    end = F.md5(text)
+    bare = F.rtrim(F.rtrim(text), F.lit(","))
+    many = F.when(bare.rlike(r"[}\]]\s*[{\[]"), F.regexp_replace(bare, _GLUED, "$1,")).otherwise(bare)
+    found = F.from_json(F.concat(F.lit("["), many, F.lit(', "'), end, F.lit('"]')), TEXTS)
+    return F.when(F.get(found, F.size(found) - 1) == end, F.slice(found, F.lit(1), F.size(found) - 1))
+
+
 def _tables_of(text: Column) -> Column:
     """``[{name, columns, rows}]`` with plain column names."""
     parsed = F.from_json(text, "array<struct<name:string,columns:array<string>,rows:array<array<string>>>>")
@@ -67,7 +82,7 @@ def _table_rows(tables: Column) -> Column:
 
 
 def unwrap(rows: DataFrame, text: str) -> DataFrame:
-    """Adds ``records``: the record maps in a JSON text column.
+    """Adds ``records``, the record maps in a JSON text column, and ``others``, the values in it that are no records.
 
     Accepts a plain array, a vendor envelope, search hits, tables or one object.
     Each step is a column of its own so that no text is parsed twice.
@@ -81,15 +96,18 @@ def unwrap(rows: DataFrame, text: str) -> DataFrame:
         if key == "hits":
             chosen = chosen.when(_starts(F.col("_hits"), "["), F.struct(F.col("_hits").alias("list"), F.lit(True).alias("hits")))
     staged = staged.withColumn("_chosen", chosen)
-    staged = staged.withColumns({
-        "_items": F.filter(F.from_json("_chosen.list", TEXTS), lambda i: _starts(i, "{")),
+    staged = staged.withColumn("_all", F.from_json("_chosen.list", TEXTS)).withColumns({
+        "_items": F.filter("_all", lambda i: _starts(i, "{")),
         "_tables": F.when(F.col("_chosen").isNull() & _starts(field("tables"), "["), _tables_of(field("tables"))),
     })
     body = F.when(F.col("_chosen.hits"), F.transform("_items", lambda i: F.coalesce(F.get_json_object(i, "$._source"), i))).otherwise(F.col("_items"))
     maps = F.filter(F.transform(body, lambda i: F.from_json(i, MAP)), lambda m: m.isNotNull())
     records = (F.when(F.col("_chosen").isNotNull(), maps).when(F.col("_tables").isNotNull(), _table_rows(F.col("_tables")))
                .when(F.col("_doc").isNotNull(), F.array("_doc")))
-    return staged.withColumn("records", F.coalesce(records, F.array().cast(MAPS))).drop("_doc", "_hits", "_chosen", "_items", "_tables")
+    spare = F.when(F.col("_chosen").isNotNull(), F.transform(F.filter("_all", lambda i: ~_starts(i, "{")), lambda i: F.coalesce(i, F.lit("null"))))
+    spare = spare.when(F.col("_tables").isNull() & F.col("_doc").isNull() & F.col(text).isNotNull(), F.array(text))
+    return staged.withColumns({"records": F.coalesce(records, F.array().cast(MAPS)), "others": F.coalesce(spare, F.array().cast(TEXTS))}).drop(
+        "_doc", "_hits", "_chosen", "_all", "_items", "_tables")
 
 
 def _records(rows: DataFrame) -> DataFrame:
@@ -98,45 +116,28 @@ def _records(rows: DataFrame) -> DataFrame:
     return made.select("record", F.to_json("record", {"ignoreNullFields": "false"}).alias("raw"), "origin_file")
 
 
-def _documents(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Files as one text each, and whether that text is one JSON document.
-
-    Parsing stops after the first value, so a first line that is a value of its own, with more lines
-    after it, marks one value a line.
-    """
-    docs = spark.read.options(**options).text(path, wholetext=True).select(F.col("value"), F.input_file_name().alias("origin_file"))
-    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    many = (F.size(lines) > 1) & F.try_parse_json(F.rtrim(F.trim(F.get(lines, F.lit(0))), F.lit(","))).isNotNull()
-    return docs.withColumn("whole", F.try_parse_json("value").isNotNull() & ~many)
-
-
-def _lines_of(docs: DataFrame) -> DataFrame:
-    """Lines of the files that are no single document."""
-    split = docs.where(~F.col("whole")).select(F.explode(F.split("value", "\n")).alias("line"), "origin_file")
-    return split.select(canon.strip(F.col("line")).alias("line"), "origin_file").where("line <> ''")
-
-
-def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
-    """JSON files by content: one document (array, envelope or object), else one object a line."""
-    docs = _documents(spark, path, **options)
-    return _records(unwrap(docs.where("whole"), "value")).unionByName(parse_ndjson(_lines_of(docs)))
-
-
 def _lines(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.options(**options).text(path).select(
         canon.strip(F.col("value")).alias("line"), F.input_file_name().alias("origin_file")).where("line <> ''")
 
 
+def _line_values(lines: DataFrame) -> DataFrame:
+    """One row for each JSON value of ``line`` rows; lines that are no JSON have a null ``value``.  Bracket lines are skipped."""
+    found = lines.where(~F.rtrim(F.col("line"), F.lit(",")).isin("", "[", "]")).withColumn("_values", json_values(F.col("line")))
+    return found.select("origin_file", "line", F.explode(F.coalesce("_values", F.array(F.lit(None).cast("string")))).alias("value"),
+                        F.col("_values").isNotNull().alias("json"))
+
+
 def parse_ndjson(lines: DataFrame) -> DataFrame:
-    """``line`` rows of JSON objects; trailing commas and bracket lines are skipped."""
-    text = F.rtrim(F.col("line"), F.lit(","))
-    return _records(unwrap(lines.where(~text.isin("[", "]")).withColumn("line", text), "line"))
+    """``line`` rows of JSON values, several in a line too; trailing commas and bracket lines are skipped."""
+    return _records(unwrap(_line_values(lines).where("json"), "value"))
 
 
 def ndjson_rejects(lines: DataFrame) -> DataFrame:
-    """Lines that hold no JSON object or array."""
-    text = F.rtrim(F.col("line"), F.lit(","))
-    return lines.where(~text.isin("", "[", "]") & F.try_parse_json(text).isNull())
+    """What ``parse_ndjson`` leaves out: lines that are no JSON and values that are no objects."""
+    values = unwrap(_line_values(lines), "value")
+    left = F.when(~F.col("json"), F.array("line")).when(F.col("value").isNull(), F.array(F.lit("null"))).otherwise(F.col("others"))
+    return values.select(F.explode(left).alias("line"), "origin_file")
 
 
 def read_ndjson(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -191,31 +192,22 @@ def _delimited(spark: SparkSession, files: list[str], sep: str, multi_line: bool
 
 # --- whole folders -------------------------------------------------------------------------
 
-def read_folder(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Every export under a folder, read by suffix."""
-    from .textlogs import read_lines
+def read_json(spark: SparkSession, path: str, **options) -> DataFrame:
+    """JSON files by content: one document (array, envelope or object), else values line by line."""
+    from .folder import read_files
+    return read_files(spark, path, kinds=("document", "values"), **options)
+
 
-    readers = {"json": read_json, "ndjson": read_ndjson, "lines": read_lines,
-               "csv": lambda s, p, **o: read_delimited(s, p, sep, **o)}
-    parts = []
-    for suffix, kind in SUFFIX_READERS.items():
-        options = {"pathGlobFilter": f"*.{suffix}", "recursiveFileLookup": "true"}
-        if spark.read.format("binaryFile").options(**options).load(path).select("path").isEmpty():
-            continue
-        parts.append(readers[kind](spark, path, **options))
-    if not parts:
-        return spark.createDataFrame([], RECORD_DDL)
-    return reduce(DataFrame.unionByName, parts)
+def read_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Every export under a folder, each file read as what its first lines show."""
+    from .folder import read_files
+    return read_files(spark, path)
 
 
 def folder_rejects(spark: SparkSession, path: str) -> DataFrame:
-    """(line, origin_file) of a folder's JSON files that hold no JSON; other formats keep every line as a record."""
-    parts = []
-    for suffix in ("json", "ndjson"):
-        options = {"pathGlobFilter": f"*.{suffix}", "recursiveFileLookup": "true"}
-        if not spark.read.format("binaryFile").options(**options).load(path).select("path").isEmpty():
-            parts.append(ndjson_rejects(_lines_of(_documents(spark, path, **options)) if suffix == "json" else _lines(spark, path, **options)))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "line string, origin_file string")
+    """(line, origin_file) of a folder's JSON files that became no record; other formats keep every line as a record."""
+    from .folder import rejects
+    return rejects(spark, path)
 
 
 def totals_by_file(records: DataFrame) -> DataFrame:

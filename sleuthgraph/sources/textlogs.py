@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canon, values
-from .records import MAPS, _lines, last_wins_map, unwrap
+from .records import _lines, json_values, last_wins_map, unwrap
 
 # Short extension keys and their readable names (fixed values).
 KEY_NAMES = {
@@ -61,12 +61,12 @@ def _header(line: Column, mark: str, start: str, limit: int | None = None) -> Co
 
 
 def with_format(lines: DataFrame) -> DataFrame:
-    """``format`` of each line by its own shape, with the parts of CEF and LEEF headers."""
+    """``format`` of each line by its own shape, with the values of JSON and the parts of CEF and LEEF headers."""
     line = F.col("line")
     parts = lines.withColumns({"_cef": _header(line, "CEF:", CEF_START, 8), "_leef": _header(line, "LEEF:", LEEF_START)})
     # JSON by content: a line that only begins like JSON is text
-    parses = line.rlike(r"(?s)^[\[{].*[\]}],?\s*$") & F.try_parse_json(F.rtrim(line, F.lit(","))).isNotNull()
-    return parts.withColumn("format", F.when(parses, "json").when(F.size("_cef") == 8, "cef")
+    parts = parts.withColumn("_values", F.when(line.rlike(r"(?s)^[\[{].*[\]}],?\s*$"), json_values(line)))
+    return parts.withColumn("format", F.when(F.col("_values").isNotNull(), "json").when(F.size("_cef") == 8, "cef")
                             .when(F.size("_leef") >= 6, "leef").otherwise("syslog"))
 
 
@@ -131,7 +131,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     shaped = shaped.withColumns({
         "_text": F.when(has_pri, F.regexp_extract(line, PRIORITY, 2)).when(fmt == "syslog", line),
         "_severity": F.when(has_pri, (F.regexp_extract(line, PRIORITY, 1).try_cast("int") % 8).cast("string")),
-        "_json": F.when(fmt == "json", F.rtrim(line, F.lit(","))),
+        "_json": F.explode(F.coalesce("_values", F.array(F.lit(None).cast("string")))),
     })
     parsed = {"cef": _cef_fields(), "leef": _leef_fields(), "syslog": _syslog_fields()}
     pick = lambda i, last: F.concat(reduce(lambda acc, f: acc.when(fmt == f, parsed[f][i]), list(parsed)[1:],
@@ -139,7 +139,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     keyed = unwrap(shaped.withColumns({"_keys": pick(0, F.lit("_raw")), "_vals": pick(1, line)}), "_json")
     # JSON without an object in it is kept as text, like any other line
     found = (fmt == "json") & (F.size("records") > 0)
-    bare = F.create_map(F.lit("__format__"), F.lit("syslog"), F.lit("message"), line, F.lit("_raw"), line)
+    bare = F.create_map(F.lit("__format__"), F.lit("syslog"), F.lit("message"), F.coalesce("_json", line), F.lit("_raw"), line)
     made = F.when(found, F.col("records")).when(fmt == "json", F.array(bare)).otherwise(
         F.array(last_wins_map(F.col("_keys"), F.col("_vals"))))
     rows = keyed.withColumns({"records": made, "format": F.when(~found & (fmt == "json"), "syslog").otherwise(fmt)}).select("origin_file", "line", "format", F.explode_outer("records").alias("record")).where("record IS NOT NULL")

@@ -1,4 +1,5 @@
 import json
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +213,19 @@ def test_redaction_of_text_lines(spark):
     ('[{"note": "token=x", "my pwd 2": null}]', '[{"note": "token=x", "my pwd 2": "***"}]'),
     ("[a] password=hunter2 " + '"' + "x" * 200000, "[a] password=*** " + '"' + "x" * 200000),
     ('{"note": "' + "y" * 200000 + '", "password": "hunter2"}', '{"note": "' + "y" * 200000 + '", "password": "***"}'),
+    ("Authorization: Bearer abc.def.ghi ok", "Authorization: *** ok"),
+    ("proxy-authorization=Basic Zm9vOmJhcg== x", "proxy-authorization=*** x"),
+    ('Authorization: Digest username="ann", response="6629fae", qop=auth\nHost: a', "Authorization: ***\nHost: a"),
+    ("Authorization: AWS4-HMAC-SHA256 Credential=AK/1, SignedHeaders=host, Signature=fe5f rest", "Authorization: *** rest"),
+    ("GET / cookie: a=b; c=d; e=f\nHost: a", "GET / cookie: ***\nHost: a"),
+    ("Set-Cookie: sid=38afes7a8; HttpOnly; Path=/", "Set-Cookie: ***"),
+    ("tool --password hunter2 --user ann", "tool --password *** --user ann"),
+    ("tool --api-key 'hun ter2' -token abc next", "tool --api-key *** -token *** next"),
+    ("curl https://u:secretpw@host/a?b=c ftp://bob:x@h", "curl https://u:***@host/a?b=c ftp://bob:***@h"),
+    ('{"headers":"Authorization: Basic Zm9v","b":"x"}', '{"headers":"Authorization: ***","b":"x"}'),
+    (r'{"h":"Authorization: Digest username=\"x\", response=\"y\"\r\nCookie: a=b; c=d\r\nHost: a"}', r'{"h":"Authorization: ***\r\nCookie: ***\r\nHost: a"}'),
+    ('{"cmd":"tool --password hunter2 -x","url":"https://u:pw@h/"}', '{"cmd":"tool --password *** -x","url":"https://u:***@h/"}'),
+    ('{"note":"the cookie: none","time":"10:00"}', '{"note":"the cookie: none","time":"10:00"}'),
     (None, None)])
 def test_redaction_of_what_is_not_whole_json(spark, raw, want):
     got = e.redact(spark.createDataFrame([(raw,)], "raw string")).first().raw
@@ -231,3 +245,106 @@ def test_signature_far_into_a_message(spark):
     from sleuthgraph.operators import threat
     r = normalize(textlogs.parse_lines(lines(spark, json.dumps({"message": "x" * 5000 + " vssadmin delete shadows /all"}))), INGEST)
     assert len(r.first().message) > 5000 and threat.behaviour_hits(r).count() > 0
+
+
+def test_folder_by_content(spark, tmp_path):
+    write = lambda name, text: (tmp_path / name).write_text(text)
+    write("UPPER.JSON", '{"a": "u1"}\n{"a": "u2"}\n')
+    write("glued.json", '{"a": "g1"}{"a": "g2"} [{"a": "} {"}]\n7 {"a": "lost"}\n7\n"x"\nnull\n[1, {"a": "g3"}]\n')
+    write("doc in a [log] 100%.log", '{\n  "results": [\n    {"a": "d1"},\n    {"a": "d2"}, 5\n  ]\n}\n')
+    write("list.txt", '[\n{"a": "l1"},\n{\n"a": "l2"}\n]\n')
+    write("cut.json", '{"a": "c1",\n"b"\n{"a": "c2"}\n')
+    write("table.txt", "﻿time;a;user\n2024-01-01;t1;ann\n2024-01-02;\"t;2\";bob;surplus\ntime;a;user\n2024-01-03;t3\n")
+    write("table.log", "a,b,c\n1,2,3\n")
+    write("two.CSV", "a,a\nfirst,p1\n")
+    write("broken.csv", 'a,note,z\nq1,"two\nlines",1\n')
+    write("plain.txt", "a message, with commas, user=ann, and more\n<13>Aug 19 09:16:02 box tag: hi\n")
+    write("gate.log", "CEF:0|A|P|1|7|n,a,m,e|3|src=1.1.1.1\n")
+    write("blank.json", "\n  \n")
+    write("image.PNG", "not read")
+    (tmp_path / "deep").mkdir()
+    write("deep/more.ndjson", 'broken, first, line\n{"a": "m1"},\n')
+    rows = records.read_folder(spark, str(tmp_path)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(unquote(r.origin_file).rsplit("/", 1)[-1], []).append(r.record)
+    values = {name: sorted(str(x.get("a")) for x in found) for name, found in got.items()}
+    assert values == {"doc in a [log] 100%.log": ["d1", "d2"],
+                      "UPPER.JSON": ["u1", "u2"], "glued.json": ["g1", "g2", "g3", "} {"], "list.txt": ["l1", "l2"], "cut.json": ["c2"],
+                      "table.txt": ["t1", "t3", "t;2"], "table.log": ["1"], "two.CSV": ["p1"], "broken.csv": ["q1"],
+                      "plain.txt": ["None", "None"], "gate.log": ["None"], "more.ndjson": ["m1"]}
+    assert {r["user"] for r in got["table.txt"]} == {"ann", "bob", None} and got["broken.csv"][0]["note"] == "two\nlines"
+    assert got["gate.log"][0]["src_ip"] == "1.1.1.1" and len(got["plain.txt"]) == 2
+    left = {}
+    for r in records.folder_rejects(spark, str(tmp_path)).collect():
+        left.setdefault(unquote(r.origin_file).rsplit("/", 1)[-1], []).append(r.line)
+    assert {k: sorted(v) for k, v in left.items()} == {
+        "glued.json": sorted(['7 {"a": "lost"}', "7", "x", "null", "1"]), "cut.json": sorted(['{"a": "c1",', "b"]),
+         "more.ndjson": ["broken, first, line"], "doc in a [log] 100%.log": ["5"]}
+    from sleuthgraph.sources.folder import skipped_files
+    assert [(r.path.rsplit("/", 1)[-1], r.suffix) for r in skipped_files(spark, str(tmp_path)).collect()] == [("image.PNG", "png")]
+
+
+def test_large_line_file_is_split(spark, tmp_path):
+    (tmp_path / "a.json").write_text("".join(f'{{"a": {k}, "pad": "{"x" * 200}"}}\n' for k in range(4000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        found = records.read_folder(spark, str(tmp_path))
+        assert found.count() == 4000 and found.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_append_over_many_days(spark, tmp_path):
+    """400 stored days: what a batch reads of them is filtered by its uids without a shuffle, and pruned by day."""
+    import datetime as dt
+    table, base = str(tmp_path / "events"), dt.datetime(2023, 1, 1)
+    text = lambda k: json.dumps({"message": f"m{k}", "time": (base + dt.timedelta(days=k % 400)).strftime("%Y-%m-%d 00:00:00")})
+    stored = normalize(textlogs.parse_lines(lines(spark, *[text(k) for k in range(800)])), INGEST)
+    account = sinks.append_events(spark, stored, table)
+    assert account["generic"] == {"normalized": 800, "added": 800, "duplicates": 0, "unmatched": 800} and account["splunk"]["added"] == 0
+    odd = ['{"message": "no time"}', "<13>Feb 29 09:16:02 box app: leap", "<13>Jan 2 09:16:02 box app: yearless"]
+    batch = [*[text(k) for k in (5, 6, 6, 1200)], *odd]
+    read = textlogs.parse_lines(lines(spark, *batch))
+    for year, added in ((2024, 4), (2025, 0)):
+        events = normalize(read, dt.datetime(year, 12, 1, tzinfo=dt.timezone.utc))
+        want = ingest_accounting(read, events, spark.read.parquet(table)).groupBy("source").sum("normalized", "added", "duplicates", "unmatched").first()
+        account = sinks.append_events(spark, events, table, by_record=True)
+        assert account["all"]["added"] == added and tuple(account["generic"].values()) == tuple(want)[1:]
+    assert spark.read.parquet(table).count() == 804 == spark.read.parquet(table).select("uid").distinct().count()
+    fresh = sinks.cut(normalize(textlogs.parse_lines(lines(spark, text(5))), INGEST))
+    plan = sinks.known_uids(spark.read.parquet(table).where(sinks._possible_days(fresh)), fresh)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan and "PartitionFilters: [(isnull(event_date" in plan
+
+
+def test_stream_of_a_folder(spark, tmp_path):
+    """Every value that lands is an event or a reject."""
+    from sleuthgraph.streaming import ingest
+    source, table, side = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "side")
+    source.mkdir()
+    (source / "a b.ndjson").write_text('{"message": "1"}{"message": "2"}\nbroken\n7\n')
+    (source / "c.JSON").write_text('{\n"results": [{"message": "3"},\n {"message": "3"}, "x"]}\n')
+    (source / "d.txt").write_text("time,message,user\n2024-01-01 00:00:00,4,ann\n")
+    (source / "e.log").write_text("hello 5\n")
+    start = lambda: ingest.append_folder_stream(spark, str(source), table, str(tmp_path / "cp"), INGEST, side)
+    assert start().awaitTermination(200)
+    (source / "f.log").write_text("hello 5\nhello 6\n")
+    assert start().awaitTermination(200)
+    events, left = spark.read.parquet(table), spark.read.json(f"{side}/rejects")
+    assert sorted(r.message[-1] for r in events.collect()) == ["1", "2", "3", "4", "5", "6"]
+    assert sorted(r.line for r in left.collect()) == ["7", "broken", "x"]
+    account = spark.read.json(f"{side}/accounts").groupBy().sum("normalized", "added", "duplicates").first()
+    assert tuple(account) == (8, 6, 2)
+
+
+def test_stream_of_lines_sets_rejects_aside(spark, tmp_path):
+    from sleuthgraph.streaming import ingest
+    source, side = tmp_path / "in", str(tmp_path / "side")
+    source.mkdir()
+    (source / "a.ndjson").write_text('{"message": "1"}\nbroken\n[{"message": "2"}, 3]\n')
+    (source / "b.log").write_text("plain\n")
+    query = ingest.append_stream(ingest.line_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "cp"), INGEST, side)
+    assert query.awaitTermination(200)
+    assert sorted(r.message for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2", "plain"]
+    assert sorted(r.line for r in spark.read.json(f"{side}/rejects").collect()) == ["3", "broken"]
