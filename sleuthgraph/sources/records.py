@@ -124,7 +124,7 @@ def _lines(spark: SparkSession, path: str, **options) -> DataFrame:
 def _line_values(lines: DataFrame) -> DataFrame:
     """One row for each JSON value of ``line`` rows; lines that are no JSON have a null ``value``.  Bracket lines are skipped."""
     found = lines.where(~F.rtrim(F.col("line"), F.lit(",")).isin("", "[", "]")).withColumn("_values", json_values(F.col("line")))
-    return found.select("origin_file", "line", F.explode(F.coalesce("_values", F.array(F.lit(None).cast("string")))).alias("value"),
+    return found.select(*lines.columns, F.explode(F.coalesce("_values", F.array(F.lit(None).cast("string")))).alias("value"),
                         F.col("_values").isNotNull().alias("json"))
 
 
@@ -137,7 +137,7 @@ def ndjson_rejects(lines: DataFrame) -> DataFrame:
     """What ``parse_ndjson`` leaves out: lines that are no JSON and values that are no objects."""
     values = unwrap(_line_values(lines), "value")
     left = F.when(~F.col("json"), F.array("line")).when(F.col("value").isNull(), F.array(F.lit("null"))).otherwise(F.col("others"))
-    return values.select(F.explode(left).alias("line"), "origin_file")
+    return values.select(F.explode(left).alias("line"), *[c for c in lines.columns if c != "line"])
 
 
 def read_ndjson(spark: SparkSession, path: str, **options) -> DataFrame:
