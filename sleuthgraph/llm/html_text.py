@@ -5,7 +5,10 @@ them stand in links, against the share of link characters of the whole body.
 An element's density sum is that of its children.  The element with the
 largest sum leads to a threshold, the least density on its path up to the
 body; then every branch whose density reaches the threshold gives its subtree
-with the largest sum.  Elements that are never an article's own text (scripts,
+with the largest sum.  The densities choose the container only: of the article or
+main element that the largest sum stands in, all blocks stay but navigation, also
+short ones in wrappers of their own; where there is none, so do the blocks beside
+the largest sum, and headed sections further out.  Elements that are never an article's own text (scripts,
 menus, fields and the like) are set aside before densities are taken.  A form,
 or a word of class, id or role that names such a part (also a comment thread),
 is a hint only: see Page._set_aside for what stays in spite of it.
@@ -48,6 +51,9 @@ TOKEN = re.compile(
 NAMING = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 WITHOUT = re.compile(r"(?<![a-z])(?:has|no|with|without)[-_]\S*")  # says what is beside an element, not what it is
+# A class of these says what the text is about as often as what it is: only whole names count, not parts of them.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TALK = frozenset("comment comments disqus respond replies".split())
 
 
@@ -69,7 +75,8 @@ class Page:
         self.parents.append(stack[-1])
         self.dropped.append(self.dropped[stack[-1]] or tag in DROPPED)
         if not self.dropped[node] and tag not in ("html", "body"):
-            words = {w for _, *v in NAMING.findall(attributes) for w in WORD.findall(WITHOUT.sub(" ", "".join(v).lower()))} & FURNITURE
+            names = [WITHOUT.sub(" ", "".join(v).lower()) for _, *v in NAMING.findall(attributes)]
+            words = {w for v in names for w in (v.split() if tag in TEXTUAL else WORD.findall(v))} & FURNITURE
             if words or tag == "form":
                 self.hints[node] = frozenset(words or {tag})
         return node
@@ -211,6 +218,9 @@ class Page:
             if not self.dropped[k]:
                 tags[p] += tags[k] + 1
                 anchors[p] += anchors[k] + (self.tags[k] == "a")
+        # many links and hardly any other text
+        self.listing = [anchors[k] >= 3 and 5 * links[k] > 4 * chars[k] for k in range(n)]
+        self.chars = chars
         share = links[self.body] / max(chars[self.body], 1)
         density, sums = [0.0] * n, [0.0] * n
         for k in range(n - 1, -1, -1):
@@ -254,7 +264,39 @@ class Page:
                     todo += [c for c in children[k] if c != best[k]]
         for k in range(1, n):
             inside[k] = (inside[k] or inside[self.parents[k]]) and not self.dropped[k]
-        return inside
+        more = self._around(top, children, inside)
+        for k in range(1, n):
+            p = self.parents[k]
+            # a listing beside what the densities chose is navigation
+            more[k] = (more[k] or more[p] and not self.listing[k]) and not self.dropped[k]
+        return [a or b for a, b in zip(inside, more, strict=True)]
+
+    def _around(self, top: int, children: list[list[int]], inside: list[bool]) -> list[bool]:
+        """What belongs to the article around its densest part; the elements below follow."""
+        out, path = [False] * len(self.tags), [top]
+        while path[-1] != self.body and self.parents[path[-1]] > 0:
+            path.append(self.parents[path[-1]])
+        own = [k for k in path if self.tags[k] in ("article", "main")]
+        if own:
+            # the article; a main element around it as well, unless it holds other articles
+            articles = sum(self.tags[k] == "article" and self.chars[k] > 0 and not self.dropped[k] for k in self._below(own[-1], children))
+            out[own[-1] if articles < 2 else own[0]] = True
+            return out
+        for k, outer in zip(path, path[1:], strict=False):
+            for c in children[outer]:
+                if c == k or self.dropped[c] or self.listing[c] or not self.chars[c] or inside[c]:
+                    continue
+                tags = {self.tags[c], *(self.tags[x] for x in self._below(c, children) if not self.dropped[x])}
+                near = k == top and outer != self.body
+                out[c] = bool(tags & (TEXTUAL if near else HEADINGS)) and (near or "p" in tags or self.tags[c] in HEADINGS)
+        return out
+
+    def _below(self, k: int, children: list[list[int]]) -> list[int]:
+        out, todo = [], list(children[k])
+        while todo:
+            out.append(todo.pop())
+            todo += children[out[-1]]
+        return out
 
     def text(self) -> str:
         inside, blocks, line = self.selected(), [], []

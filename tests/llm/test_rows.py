@@ -311,3 +311,34 @@ def test_pipeline_rows(spark, tmp_path):
         places[r.sequence_id].append((r.offset, r.length))
     assert all(sorted(p)[k][0] == sum(n for _, n in sorted(p)[:k]) for p in places.values() for k in range(len(p)))
     assert all(sum(n for _, n in p) <= 4096 for p in places.values())
+
+
+PARAGRAPHS = "".join(f"<p>Paragraph {k} of the story says rather a lot about what went on that day.</p>" for k in range(6))
+PARAGRAPH_TEXT = "\n".join(f"Paragraph {k} of the story says rather a lot about what went on that day." for k in range(6))
+
+
+@pytest.mark.parametrize("shell", ["<article>%s</article>", "<main>%s</main>", "<div id=page>%s</div>", "<main><article>%s</article></main>"])
+def test_short_blocks_of_the_article_stay(shell):
+    menu = "<ul><li><a href=1>One page</a></li><li><a href=2>Other page</a></li><li><a href=3>Third page</a></li></ul>"
+    page = lambda inner: f"<html><body><nav>{menu}</nav>{shell.replace('%s', inner)}<footer>me</footer></body></html>"
+    head = "<div><h1>T</h1><p>Lead.</p></div>"
+    assert html_text.main_text(page(f"{head}<div>{PARAGRAPHS}</div>")) == f"T\nLead.\n{PARAGRAPH_TEXT}"
+    two = "<section><h2>Two</h2><p>Short.</p></section>"
+    assert html_text.main_text(page(f"<section>{PARAGRAPHS}</section>{two}")) == f"{PARAGRAPH_TEXT}\nTwo\nShort."
+    assert html_text.main_text(page(f"{head}<div>{PARAGRAPHS}</div><div>{menu}</div>{two}")) == f"T\nLead.\n{PARAGRAPH_TEXT}\nTwo\nShort."
+    named = "<p class=share-price>Shares fell.</p><p class='menu-recipe big'>Take two eggs.</p><p class=ad>Buy.</p>"
+    assert html_text.main_text(page(f"<div>{PARAGRAPHS}{named}</div>")) == f"{PARAGRAPH_TEXT}\nShares fell.\nTake two eggs."
+    loose = f"Loose text <ul><li>and an item</li></ul><div>{PARAGRAPHS}</div>"
+    if "article" in shell:
+        assert html_text.main_text(page(loose)) == f"Loose text\nand an item\n{PARAGRAPH_TEXT}"
+
+
+def test_headed_section_of_the_body_stays():
+    page = f"<html><body><section>{PARAGRAPHS}</section><section><h2>Two</h2><p>Short.</p></section><div>We use cookies.</div></body></html>"
+    assert html_text.main_text(page) == f"{PARAGRAPH_TEXT}\nTwo\nShort."
+
+
+def test_main_text_of_a_very_long_page():
+    many = "".join(f"<div><p>Paragraph {k} of a very long page with some words in it.</p></div>" for k in range(30000))
+    text = html_text.main_text(f"<html><body><nav><a href=x>x</a></nav><article>{many}</article></body></html>")
+    assert text.count("\n") == 29999 and text.endswith("Paragraph 29999 of a very long page with some words in it.")
