@@ -143,7 +143,30 @@ def events_behind_node(spark, sf):
     events = w.events(spark, sf)
     graph = g.build_graph(events)
     chosen = spark.createDataFrame([(top_user(graph),)], "node_id string")
-    return e.events_of_node(events, chosen, g.node_events(m.entity_mentions(events), graph.aliases), limit=None).select("uid")
+    return e.events_of_node(events, chosen, g.events_of_nodes(m.entity_mentions(events), graph.aliases, chosen), limit=None).select("uid")
+
+
+TOP_LINK = "(SELECT (source, target, rel) FROM links ORDER BY count DESC, source, target, rel LIMIT 1)"
+
+
+@query(sql(f"""SELECT DISTINCT uid FROM relations LEFT JOIN alias a ON source = a.old_id LEFT JOIN alias b ON target = b.old_id
+  WHERE (coalesce(a.new_id, source), coalesce(b.new_id, target), rel) = {TOP_LINK}""", "relations", "alias", "links"))
+def events_of_link(spark, sf):
+    """Events behind the most frequent link."""
+    events = w.events(spark, sf)
+    graph = g.build_graph(events)
+    link = cut(graph.links.orderBy(F.desc("count"), "source", "target", "rel").limit(1).select("source", "target", "rel"))
+    ends = link.select(F.explode(F.array("source", "target")).alias("node_id"))
+    return e.events_of_link(events, link, g.links_of_nodes(m.relation_mentions(events), graph.aliases, ends)).select("uid")
+
+
+@query(sql(f"SELECT {NODE_COLUMNS}, risk FROM nodes", "nodes"))
+def graph_of_two_batches(spark, sf):
+    """The graph of half of the events, brought up to date with the other half."""
+    events = w.events(spark, sf)
+    half = F.pmod(F.xxhash64("uid"), F.lit(2)) == 0
+    kept, added = cut(g.graph_parts(events.where(half))), g.graph_parts(events.where(~half))
+    return node_rows(g.graph_of_parts(cut(g.merge_parts(kept, added))).nodes, "risk")
 
 
 @query(sql("""SELECT 'node' AS kind, node_id AS id FROM nodes WHERE type IN ('user', 'host', 'ip')
@@ -204,6 +227,13 @@ def node_neighborhood(spark, sf):
     return p.neighborhood(graph.links, top_user(graph), 3)
 
 
+@query(sql("SELECT node_id, risk FROM nodes JOIN h1 USING (node_id)", "nodes", "h1"))
+def neighbours_of(spark, sf):
+    """Expansion of the riskiest user by one step."""
+    events = w.events(spark, sf)
+    return incident.neighbours_of(events, top_user(built(spark, sf))).nodes.select("node_id", "risk")
+
+
 @query(sql("SELECT node_id, risk FROM nodes ORDER BY risk DESC, type, label, node_id LIMIT 50", "nodes"))
 def riskiest_nodes(spark, sf):
     return p.top_risk(built(spark, sf).cut(), 50).nodes.select("node_id", "risk")

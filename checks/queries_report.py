@@ -182,8 +182,9 @@ STEPS.update({
 def entity_story(spark, sf):
     events = w.events(spark, sf)
     graph = g.build_graph(events)
-    bridge = g.link_events(m.relation_mentions(events), graph.aliases)
-    return entry_rows(rp.story(events, bridge, top_user(graph), limit=120), "rel", "other", "outbound")
+    who = top_user(graph)
+    bridge = g.links_of_nodes(m.relation_mentions(events), graph.aliases, spark.createDataFrame([(who,)], "node_id string"))
+    return entry_rows(rp.story(events, bridge, who, limit=120), "rel", "other", "outbound")
 
 
 # --- report sections -----------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ those aggregates, never on the mentions.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, values
 from ..plans.lineage import cut
-from .mentions import entity_mentions, relation_mentions
+from .mentions import graph_mentions
 
 
 @dataclass
@@ -42,13 +43,16 @@ def _shared(count: str = "event_count") -> list[Column]:
             F.max("max_severity").alias("max_severity"), F.bit_or("source_mask").alias("source_mask")]
 
 
-def aggregate_nodes(mentions: DataFrame) -> DataFrame:
-    """One row per node: counters, span, masks, longest label (earliest on a tie), first known ip/path."""
-    variants = mentions.groupBy("node_id", "type", "label", "ip", "path").agg(
+def node_variants(mentions: DataFrame) -> DataFrame:
+    """One row per (node, label, address, path), with counters, span and masks."""
+    return mentions.groupBy("node_id", "type", "label", "ip", "path").agg(
         F.count(F.lit(1)).alias("event_count"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"),
         F.max("severity").alias("max_severity"), F.bit_or("source_mask").alias("source_mask"),
         F.bit_or("tactic_mask").alias("tactic_mask"))
 
+
+def nodes_of_variants(variants: DataFrame) -> DataFrame:
+    """One row per node: counters, span, masks, longest label (earliest on a tie), first known ip/path."""
     def first_known(col: str) -> Column:
         return F.expr(f"min_by({col}, struct(first_seen, {col})) FILTER (WHERE {col} IS NOT NULL)").alias(col)
 
@@ -58,6 +62,11 @@ def aggregate_nodes(mentions: DataFrame) -> DataFrame:
         first_known("ip"), first_known("path"))
 
 
+def aggregate_nodes(mentions: DataFrame) -> DataFrame:
+    """One row per node of entity mentions."""
+    return nodes_of_variants(node_variants(mentions))
+
+
 def aggregate_links(relations: DataFrame) -> DataFrame:
     """One row per (source, target, rel): occurrences, span, highest severity, sources."""
     return relations.groupBy("source", "target", "rel").agg(
@@ -199,22 +208,52 @@ def with_link_id(links: DataFrame) -> DataFrame:
     return links.select(F.substring(F.sha2(key, 256), 1, 16).alias("link_id"), "*")
 
 
-def build_graph(events: DataFrame, weights: dict | None = None, checkpoint: bool = True) -> Graph:
-    """Events -> resolved, scored graph.
+# --- the whole graph -----------------------------------------------------------------
 
-    With ``checkpoint`` the two first aggregates and the alias map are written
-    once to the checkpoint folder, so that the events are scanned exactly twice however
-    often the result is used.
+PART_KEY = ["kind", "a", "b", "c", "ip", "path"]
+
+
+def graph_parts(events: DataFrame) -> DataFrame:
+    """Aggregates of node variants (kind 0) and links (kind 1) from one scan of the events and one shuffle.
+
+    Counts add up, spans and masks unite: parts of several batches merge into those of all their events.
     """
+    return graph_mentions(events).groupBy(*PART_KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"),
+        F.max("severity").alias("max_severity"), F.bit_or("source_mask").alias("source_mask"), F.bit_or("tactic_mask").alias("tactic_mask"))
+
+
+def merge_parts(*parts: DataFrame) -> DataFrame:
+    """The parts of the events of all batches together; an event must be in one batch only."""
+    return reduce(DataFrame.unionByName, parts).groupBy(*PART_KEY).agg(
+        *_shared("n"), F.bit_or("tactic_mask").alias("tactic_mask"))
+
+
+def graph_of_parts(parts: DataFrame, weights: dict | None = None, checkpoint: bool = True) -> Graph:
+    """Resolved, scored graph of written parts; aliases are found on aggregates, never on events."""
     hold = cut if checkpoint else (lambda df: df)
-    nodes = hold(aggregate_nodes(entity_mentions(events)))
-    links = hold(aggregate_links(relation_mentions(events)))
+    key = lambda *names: [F.col(c).alias(name) for c, name in zip("abc", names, strict=True)]
+    span = ["first_seen", "last_seen", "max_severity", "source_mask"]
+    nodes = hold(nodes_of_variants(parts.where("kind = 0").select(
+        *key("node_id", "type", "label"), "ip", "path", F.col("n").alias("event_count"), *span, "tactic_mask")))
+    links = parts.where("kind = 1").select(*key("source", "target", "rel"), F.col("n").alias("count"), *span)
     aliases = hold(find_aliases(nodes, links))
     rewired = rewire_links(links, aliases)
     return Graph(with_scores(merge_nodes(nodes, aliases), rewired, weights),
                  with_link_id(rewired.where("source <> target")), aliases=aliases)
 
 
+def build_graph(events: DataFrame, weights: dict | None = None, checkpoint: bool = True) -> Graph:
+    """Events -> resolved, scored graph.
+
+    With ``checkpoint`` the parts, the nodes before resolution and the alias map are written
+    once to the checkpoint folder, so that the events are scanned exactly once however
+    often the result is used.
+    """
+    parts = graph_parts(events)
+    return graph_of_parts(cut(parts) if checkpoint else parts, weights, checkpoint)
+
+
 # --- reading a graph ------------------------------------------------------------------
 
 def ordered_nodes(nodes: DataFrame) -> DataFrame:
@@ -287,6 +326,30 @@ def link_events(relations: DataFrame, aliases: DataFrame) -> DataFrame:
     return ends.where("source <> target").distinct()
 
 
+def former_ids(aliases: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(old_id, node_id): every id under which the given nodes (frame with node_id) are mentioned."""
+    wanted = nodes.select("node_id").distinct()
+    merged = aliases.join(wanted, F.col("new_id") == F.col("node_id"), "left_semi").select("old_id", F.col("new_id").alias("node_id"))
+    own = wanted.join(aliases, F.col("node_id") == F.col("old_id"), "left_anti").select(F.col("node_id").alias("old_id"), "node_id")
+    return own.unionByName(merged)
+
+
+def events_of_nodes(mentions: DataFrame, aliases: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The bridge (node_id, uid, time) of some nodes only: mentions meet their few former ids, and nothing else is kept."""
+    ids = cut(former_ids(aliases, nodes))
+    return (mentions.select(F.col("node_id").alias("old_id"), "uid", "time").join(ids, "old_id")
+            .select("node_id", "uid", "time").distinct())
+
+
+def links_of_nodes(relations: DataFrame, aliases: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The bridge (source, target, rel, uid, time) of the links that touch some nodes only."""
+    ids = cut(former_ids(aliases, nodes)).select("old_id")
+    touching = relations
+    for side in ("source", "target"):
+        touching = touching.join(ids.withColumnRenamed("old_id", f"_{side}"), F.col(side) == F.col(f"_{side}"), "left")
+    return link_events(touching.where("_source IS NOT NULL OR _target IS NOT NULL"), aliases)
+
+
 def sample_uids(bridge: DataFrame, keys: list[str], cap: int = 200, salts: int = 64) -> DataFrame:
     """First ``cap`` uids per key in time order.
 

@@ -224,3 +224,18 @@ def relation_mentions(events: DataFrame) -> DataFrame:
     """One row per relation occurrence: uid, time, severity, source_mask, source, target, rel, detail."""
     staged = _staged(events, _Rules(False))
     return values.unnest(staged, _facts(), _relations(staged), "source")
+
+
+def graph_mentions(events: DataFrame) -> DataFrame:
+    """Entities and relations of each event from one projection, as rows of one shape.
+
+    ``kind`` 0 is an entity (a: node_id, b: type, c: label, ip, path), 1 a relation (a: source, b: target, c: rel).
+    """
+    staged = _entities(_staged(events, _Rules(False)))
+    none = _text("string")
+    entities = F.transform(_merged(F.col("_all"), False), lambda e: F.struct(
+        F.lit(0).alias("kind"), e["node_id"].alias("a"), e["type"].alias("b"), e["label"].alias("c"), e["ip"].alias("ip"), e["path"].alias("path")))
+    relations = F.transform("_relations", lambda r: F.struct(
+        F.lit(1).alias("kind"), r["source"].alias("a"), r["target"].alias("b"), r["rel"].alias("c"), none.alias("ip"), none.alias("path")))
+    facts = [*_facts(), values.tactic_mask(values.tactics_of(F.col("mitre"))).alias("tactic_mask")]
+    return values.unnest(staged.withColumn("_relations", _relations(staged)), facts, F.concat(entities, relations), "a")

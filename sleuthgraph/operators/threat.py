@@ -12,10 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canon, fixed, values
+from ..plans.lineage import cut
 
 EVIDENCE_CHARS = 200
 BEHAVIOUR_EVIDENCE_CHARS = 220
 STAGE_EVIDENCE = 8
+#: Fragments that a task's automaton takes; a few megabytes.
+MAX_AUTOMATON = 20_000
 
 
 @dataclass
@@ -168,23 +171,49 @@ def _binary_hits(events: DataFrame, tools: DataFrame) -> DataFrame:
         "uid", "time", "host", "tool", "place", "position", "evidence")
 
 
-def _fragment_hits(events: DataFrame, tools: DataFrame) -> DataFrame:
-    """Fragments inside command lines by an equality join.
+def _fragment_hits(events: DataFrame, tools: DataFrame, most: int = MAX_AUTOMATON) -> DataFrame:
+    """Fragments inside command lines.
 
-    A fragment has at least five characters, so its first five are one of the
-    five-character windows of any line that contains it; the join is on that
-    window and the full test follows.
+    All fragments are looked for in one pass over each line by an automaton, which tasks build from at
+    most ``most`` fragments; a larger index meets the lines by an equality join.
     """
+    index = cut(fragment_index(tools))
+    rows = (events.where(F.length("process.cmdline") >= fixed.MIN_FRAGMENT)
+            .select("uid", "time", sighting_host().alias("host"), F.lower(F.col("process.cmdline")).alias("line"),
+                    F.substring("process.cmdline", 1, EVIDENCE_CHARS).alias("evidence")))
+    first = index.limit(most + 1).collect()
+    if not first:
+        found = rows.where(F.lit(False)).withColumn("tool", F.lit(""))
+    elif len(first) <= most:
+        found = _automaton_hits(rows, {r["pattern"]: r["tool"] for r in first})
+    else:
+        found = _window_hits(rows, index)
+    return found.select("uid", "time", "host", "tool", F.lit("cmdline").alias("place"), F.lit(9).alias("position"), "evidence")
+
+
+def _automaton_hits(rows: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """The lines that hold a fragment, once for each tool."""
+    def run(batches):
+        import ahocorasick
+        automaton = ahocorasick.Automaton()
+        for pattern, tool in patterns.items():
+            automaton.add_word(pattern, tool)
+        automaton.make_automaton()
+        for batch in batches:
+            hits = [(k, tool) for k, line in enumerate(batch["line"]) for tool in sorted({t for _, t in automaton.iter(line)})]
+            out = batch.iloc[[k for k, _ in hits]].drop(columns="line")
+            yield out.assign(tool=[tool for _, tool in hits])
+
+    return rows.mapInPandas(run, "uid string, time timestamp, host string, evidence string, tool string")
+
+
+def _window_hits(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """A fragment's first five characters are one of the five-character windows of any line that contains it."""
     n = fixed.MIN_FRAGMENT
-    index = fragment_index(tools).select(F.substring("pattern", 1, n).alias("gram"), "pattern", "tool")
-    line = F.lower(F.col("process.cmdline"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(line) - (n - 1)),
-                                         lambda i: F.substr(line, i, F.lit(n))))
-    rows = (events.where(F.length("process.cmdline") >= n)
-            .select("uid", "time", sighting_host().alias("host"), line.alias("line"),
-                    F.substring("process.cmdline", 1, EVIDENCE_CHARS).alias("evidence"), F.explode_outer(grams).alias("gram")))
-    return rows.join(index, "gram").where(F.col("line").contains(F.col("pattern"))).select(
-        "uid", "time", "host", "tool", F.lit("cmdline").alias("place"), F.lit(9).alias("position"), "evidence")
+    line = F.col("line")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(line) - (n - 1)), lambda i: F.substr(line, i, F.lit(n))))
+    keyed = index.select(F.substring("pattern", 1, n).alias("gram"), "pattern", "tool")
+    return rows.withColumn("gram", F.explode_outer(grams)).join(keyed, "gram").where(F.col("line").contains(F.col("pattern")))
 
 
 def tool_sightings(events: DataFrame, catalog: Catalog) -> DataFrame:
