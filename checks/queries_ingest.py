@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sleuthgraph.functions import fixed
 from sleuthgraph.operators import normalize as n
+from sleuthgraph.plans.lineage import new_folder
 from sleuthgraph.plans.session import spread
 from sleuthgraph.sources import records, textlogs
 
@@ -157,3 +158,45 @@ def rejected_lines(spark, sf):
     rows = w.table(spark, sf, "events").select(
         F.when(F.col("event_id") % 4 == 3, F.concat(F.lit("{bad "), "event_type")).otherwise(F.col("props")).alias("line"))
     return records.ndjson_rejects(rows).agg(F.count(F.lit(1)).alias("rejected"))
+
+
+def _exports(spark, sf, shapes: dict[str, str]) -> str:
+    """Files of the events, each in the shape of its remainder; (name of a folder, line) by shape."""
+    w.tune(spark)
+    w.table(spark, sf, "events").createOrReplaceTempView("driver_events")
+    path = new_folder(spark)
+    for k, (name, line) in enumerate(shapes.items()):
+        spark.sql(f"SELECT {line} AS value FROM driver_events WHERE event_id % {len(shapes)} = {k}").write.text(f"{path}/{name}")
+    return path
+
+
+PAIR = """concat('{"id": "', CAST(event_id AS STRING), '", "kind": "', event_type, '"}')"""
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, 'record' AS what FROM events WHERE event_id % 4 < 3
+  UNION ALL SELECT CAST(event_id AS VARCHAR), 'twin', 'record' FROM events WHERE event_id % 4 = 1
+  UNION ALL SELECT CAST(event_id AS VARCHAR), NULL, 'reject' FROM events WHERE event_id % 4 = 2
+  UNION ALL SELECT NULL, 'line ' || event_id || ' of ' || event_type, 'record' FROM events WHERE event_id % 4 = 3""")
+def mixed_text_records(spark, sf):
+    """Text files told apart by content: one value a line, several values, lists with a number in them, log lines."""
+    from sleuthgraph.sources import folder
+    found = folder.Folder(spark, _exports(spark, sf, {
+        "values": PAIR, "glued": PAIR[:-1] + """, '{"kind": "twin", "id": "', CAST(event_id AS STRING), '"}')""",
+        "lists": f"concat('[', {PAIR}, ', ', CAST(event_id AS STRING), ']')",
+        "logs": "concat('<13>line ', CAST(event_id AS STRING), ' of ', event_type)"}))
+    field = lambda k: F.try_element_at("record", F.lit(k))
+    records_ = found.records().select(field("id").alias("id"), F.coalesce(field("kind"), field("message")).alias("kind"), F.lit("record").alias("what"))
+    return records_.unionByName(found.rejects().select(F.col("line").alias("id"), F.lit(None).cast("string").alias("kind"), F.lit("reject").alias("what")))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, 'user ' || user_id || CASE WHEN event_id % 2 = 0 THEN ', "x"' ELSE '; y' END AS note
+  FROM events""")
+def delimited_records(spark, sf):
+    """Tables under two headers with other marks and column orders, told apart by content; quoted cells hold marks and quotes."""
+    w.tune(spark)
+    rows = w.table(spark, sf, "events").select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"), F.concat(
+        F.lit("user "), "user_id", F.when(F.col("event_id") % 2 == 0, ', "x"').otherwise("; y")).alias("note"), (F.col("event_id") % 2).alias("half"))
+    path = new_folder(spark)
+    rows.where("half = 0").select("id", "kind", "note").write.csv(f"{path}/a", header=True, escape='"')
+    rows.where("half = 1").select("note", "id", "kind").write.csv(f"{path}/b", header=True, sep=";", escape='"')
+    return records.read_folder(spark, path).select(*[F.try_element_at("record", F.lit(k)).alias(k) for k in ("id", "kind", "note")])

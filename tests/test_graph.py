@@ -177,3 +177,35 @@ def test_whole_pipeline_and_export(spark, sample, tmp_path):
 def test_risk_weights_ignore_junk():
     w = g.risk_weights({"severity": "20", "tactic": "x", "unknown": 5, "degree": -3})
     assert (w["severity"], w["tactic"], w["degree"]) == (20, 6, 0) and "unknown" not in w
+
+
+def test_fewer_nodes_vote_each_round(spark):
+    """A long chain beside settled stars: after the first rounds only the nodes near a moved one vote, with the same result."""
+    from sleuthgraph.operators import iterate
+    stars = [(f"h{k:02d}", f"h{k:02d}-{j}") for k in range(40) for j in range(6)]
+    chain = [(f"z{k:03d}", f"z{k + 1:03d}") for k in range(25)]
+    links = spark.createDataFrame(stars + chain, "source string, target string")
+    nodes = links.selectExpr("explode(array(source, target)) AS node_id").distinct()
+    voters = []
+    got = {r.node_id: r.label for r in iterate.label_propagation(nodes, links, 12, voters).collect()}
+    near = {}
+    for a, b in stars + chain:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    labels = {v: v for v in near}
+    for _ in range(12):
+        heard = {v: [labels[u] for u in near[v]] + [labels[v]] for v in near}
+        labels = {v: min(set(x), key=lambda c: (-x.count(c), c)) for v, x in heard.items()}
+    assert got == labels and voters[0] == len(near) and voters[-1] < len(near) // 4
+
+
+def test_fragments_by_automaton_and_by_windows(spark, make_events):
+    from checks.catalog import catalog
+    from sleuthgraph.operators import threat
+    lines = ["Run sekurGRAB and pswalk", "wormscan wormscan tunnelrat", "nothing", None, "gitx", "psexecpsexec"]
+    events = make_events([{"process": {"cmdline": line}} for line in lines])
+    tools = catalog(spark).tools
+    hits = lambda most: {tuple(r) for r in threat._fragment_hits(events, tools, most).select("uid", "tool", "evidence").distinct().collect()}
+    assert hits(1000) == hits(1) and {t for _, t, _ in hits(1000)} >= {"GrabKeys", "WormScan", "TunnelRat", "PsWalk"}
+    plan = threat._fragment_hits(events, tools)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and threat._fragment_hits(events.limit(0), tools.limit(0)).count() == 0
