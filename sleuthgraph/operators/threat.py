@@ -195,16 +195,19 @@ def _automaton_hits(rows: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """The lines that hold a fragment, once for each tool."""
     def run(batches):
         import ahocorasick
+        import pyarrow as pa
         automaton = ahocorasick.Automaton()
         for pattern, tool in patterns.items():
             automaton.add_word(pattern, tool)
         automaton.make_automaton()
         for batch in batches:
-            hits = [(k, tool) for k, line in enumerate(batch["line"]) for tool in sorted({t for _, t in automaton.iter(line)})]
-            out = batch.iloc[[k for k, _ in hits]].drop(columns="line")
-            yield out.assign(tool=[tool for _, tool in hits])
+            hits = [(k, tool) for k, line in enumerate(batch.column("line").to_pylist()) for tool in sorted({t for _, t in automaton.iter(line)})]
+            if hits:
+                rows_hit = batch.take(pa.array([k for k, _ in hits]))
+                yield pa.RecordBatch.from_arrays([*[rows_hit.column(c) for c in kept], pa.array([tool for _, tool in hits])], names=[*kept, "tool"])
 
-    return rows.mapInPandas(run, "uid string, time timestamp, host string, evidence string, tool string")
+    kept = ["uid", "time", "host", "evidence"]
+    return rows.mapInArrow(run, "uid string, time timestamp, host string, evidence string, tool string")
 
 
 def _window_hits(rows: DataFrame, index: DataFrame) -> DataFrame:
