@@ -27,4 +27,4 @@ def micros(col: str):
 
 
 def load() -> None:
-    from . import queries_events, queries_graph, queries_ingest, queries_report  # noqa: F401
+    from . import queries_events, queries_graph, queries_ingest, queries_report, queries_vendors  # noqa: F401

@@ -11,7 +11,7 @@ registry.load()
 SF = "/root/testdata/sf0.001"
 ROWS_ONLY: set[str] = set()
 SAMPLE = ["canonical_identities", "filtered_events", "event_timeline", "node_risk", "node_roles", "kill_chain_levels", "tool_sightings",
-          "group_attribution", "report_narrative", "normalized_vendor_lines", "trade_degrees"]
+          "group_attribution", "report_narrative", "normalized_vendor_lines", "hunting_records", "ariel_records", "trade_degrees"]
 
 
 def test_every_query_has_a_check():
