@@ -252,13 +252,6 @@ def links_between_roles(spark, sf):
     return p.keep_roles(r.assign_roles(built(spark, sf)), ["hostile", "victim"]).links.select("source", "target", "rel")
 
 
-@query(sql("SELECT node_id, risk, role FROM roles WHERE risk >= 60 OR node_id IN (SELECT node_id FROM pairs)", "roles", "pairs",
-           ev_filter="severity >= 3"))
-def filtered_incident_graph(spark, sf):
-    graph = incident.filtered_graph(w.events(spark, sf), min_severity=3, clusters=False, levels=False)
-    return graph.nodes.select("node_id", "risk", "role")
-
-
 KNOWN_TOOLS = ("""SELECT node_id, t.tool, d.category, d.category_label, CAST(d.n_groups AS INTEGER) AS n_groups,
     CASE WHEN t.tool IS NOT NULL AND role IN ('neutral', 'asset') THEN 'suspicious' ELSE role END AS role
   FROM (SELECT r.*, coalesce(a.tool, b.tool) AS tool FROM roles r
@@ -329,6 +322,17 @@ def node_communities(spark, sf):
     return iterate.assign_clusters(built(spark, sf).cut()).select("node_id", "cluster")
 
 
+@query(sql(f""", kept AS (SELECT * FROM roles WHERE risk >= 60 OR node_id IN (SELECT node_id FROM pairs)),
+  {communities_sql('SELECT node_id FROM kept', 'SELECT source, target FROM links')}
+  SELECT k.node_id, k.risk, k.role, c.cluster, l.level FROM kept k JOIN ({CLUSTERS}) c USING (node_id) JOIN (
+    SELECT node_id, CAST(dense_rank() OVER (ORDER BY level) - 1 AS INTEGER) AS level FROM (
+      SELECT n.node_id, coalesce(v.level, CASE n.type {RANKS} ELSE 9 END) AS level FROM kept n LEFT JOIN v{LEVEL_ROUNDS} v USING (node_id))) l
+    USING (node_id)""", "roles", "pairs", "links", f"v{LEVEL_ROUNDS}", ev_filter="severity >= 3"))
+def filtered_incident_graph(spark, sf):
+    graph = incident.filtered_graph(w.events(spark, sf), min_severity=3)
+    return graph.nodes.select("node_id", "risk", "role", "cluster", "level")
+
+
 # --- a larger graph from the order tables ------------------------------------------------------------
 
 def trade_relations(spark, sf):

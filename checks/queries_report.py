@@ -76,12 +76,13 @@ def found(spark, sf):
 @query(sql("""SELECT stage_order, stage, reached, count, coalesce((SELECT string_agg(kind || ':' || label, ',' ORDER BY n) FROM (
     SELECT kind, label, row_number() OVER (ORDER BY kind_order, t, u, label) AS n FROM (
       SELECT kind_order, kind, label, min(time) AS t, first(uid ORDER BY time, uid) AS u FROM stage_rows s
-      WHERE s.stage = ladder.stage GROUP BY kind_order, kind, label)) WHERE n <= 8), '') AS evidence FROM ladder""",
+      WHERE s.stage = ladder.stage GROUP BY kind_order, kind, label)) WHERE n <= 8), '') AS evidence, greatest(0, (SELECT count(*) FROM (SELECT DISTINCT kind, label FROM stage_rows s
+      WHERE s.stage = ladder.stage)) - 8) AS hidden FROM ladder""",
            "ladder", "stage_rows"))
 def stage_ladder(spark, sf):
     ladder = t.stage_ladder(found(spark, sf), spark)
     return ladder.select("stage_order", "stage", "reached", "count", F.coalesce(joined(F.transform(
-        "evidence", lambda x: F.concat_ws(":", x["kind"], x["label"]))), F.lit("")).alias("evidence"))
+        "evidence", lambda x: F.concat_ws(":", x["kind"], x["label"]))), F.lit("")).alias("evidence"), "hidden")
 
 
 @query(sql("""SELECT stage_order, stage FROM stage_d WHERE stage_order > (SELECT coalesce(max(stage_order), -1) FROM ladder
@@ -111,21 +112,44 @@ def threat_counts(spark, sf):
     return t.threat_counts(found(spark, sf))
 
 
-@query(sql("""SELECT filename, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts, count(*) AS sightings FROM note_seen GROUP BY filename""",
-           "note_seen"))
+@query(sql("SELECT filename, count(DISTINCT host) AS hosts, count(*) AS sightings FROM note_seen GROUP BY filename", "note_seen"))
 def notes_by_name(spark, sf):
-    return t.notes_by_name(t.note_sightings(w.events(spark, sf), cat.catalog(spark))).select(
-        "filename", joined("hosts").alias("hosts"), "sightings")
+    return t.notes_by_name(t.note_sightings(w.events(spark, sf), cat.catalog(spark)))
+
+
+@query(sql("SELECT filename, host, count(*) AS sightings FROM note_seen GROUP BY ALL", "note_seen"))
+def note_hosts(spark, sf):
+    return t.note_hosts(t.note_sightings(w.events(spark, sf), cat.catalog(spark)))
 
 
 # --- attribution ----------------------------------------------------------------------------------
 
-@query(sql("""SELECT "group", score, confidence, matched, discriminating, note_match, CAST(note_strength AS DOUBLE) AS note_strength,
-  CAST(coverage AS DOUBLE) AS coverage FROM attribution ORDER BY score DESC, n_rare DESC, "group" LIMIT 6""", "attribution"))
+FIRST = "array_to_string(string_split({}, ',')[1:{}], ', ')".format
+EXPLAINED = f"""CASE WHEN note_match <> '' AND note_strength < 3 THEN 'Note ' || {FIRST('note_match', 3)}
+    || ' was found, but many families use that name; it confirms ransomware, not ' || "group" || '.'
+  WHEN note_match <> '' THEN 'Note ' || {FIRST('note_match', 3)} || ' is tied to ' || "group" || ' and '
+    || CASE WHEN matched = '' THEN 0 ELSE len(string_split(matched, ',')) END
+    || ' tool(s) of its profile were seen; confirm with the binary and the payment trail.'
+  WHEN confidence = 'medium' THEN 'The tools fit ' || "group" || ', mostly ' || {FIRST('discriminating', 4)} || '; a hypothesis to guide the search.'
+  WHEN confidence = 'low' THEN 'Partial overlap with ' || "group" || ' (' || len(string_split(matched, ',')) || ' tools); too little to attribute.'
+  ELSE 'The overlap with ' || "group" || ' comes from tools everybody uses.' END"""
+
+
+@query(sql(f"""SELECT "group", score, confidence, matched, discriminating, note_match, CAST(note_strength AS DOUBLE) AS note_strength,
+  CAST(coverage AS DOUBLE) AS coverage, {EXPLAINED} AS explanation FROM attribution ORDER BY score DESC, n_rare DESC, "group" LIMIT 6""", "attribution"))
 def group_attribution(spark, sf):
     best = a.attribute(found(spark, sf), cat.catalog(spark))
     return best.select("group", "score", "confidence", joined("matched").alias("matched"), joined("discriminating").alias("discriminating"),
-                       joined("note_match").alias("note_match"), "note_strength", "coverage")
+                       joined("note_match").alias("note_match"), "note_strength", "coverage", "explanation")
+
+
+@query(sql(f"""SELECT "group", CAST(row_number() OVER (ORDER BY score DESC, n_rare DESC, "group") AS INTEGER) AS place, {EXPLAINED} AS explanation
+  FROM attribution""", "attribution"))
+def all_group_candidates(spark, sf):
+    """Every group with a match, in order, with its explanation."""
+    from pyspark.sql import Window
+    order = Window.orderBy(F.desc("score"), F.desc(F.size("discriminating")), F.asc("group"))  # one row a group of the catalog
+    return a.attribute(found(spark, sf), cat.catalog(spark), limit=None).select("group", F.row_number().over(order).alias("place"), "explanation")
 
 
 @query(sql(f"""SELECT DISTINCT tool, CASE WHEN n_groups > {len(cat.GROUPS) * fixed.UBIQUITY_CUTOFF} THEN 'ubiquitous' ELSE 'undocumented' END AS kind
@@ -231,26 +255,30 @@ def kill_chain(spark, sf):
                          joined(F.col("entities.node_id")).alias("entities"))
 
 
-@query(sql(f"""SELECT tactic, count(*) AS lines, min(epoch_us(time)) AS first_line FROM (
+@query(sql(f"""SELECT tactic, count(*) FILTER (WHERE n <= 6) AS lines, min(epoch_us(time)) AS first_line, count(*) AS n_lines,
+    string_agg(text, ' / ' ORDER BY n) FILTER (WHERE n <= 6) AS texts FROM (
     SELECT *, row_number() OVER (PARTITION BY tactic ORDER BY time, first_uid) AS n FROM (
-      SELECT DISTINCT time, first_uid, unnest([{tactic_of('tech1')}, {tactic_of('tech2')}]) AS tactic FROM (
+      SELECT DISTINCT time, first_uid, text, unnest([{tactic_of('tech1')}, {tactic_of('tech2')}]) AS tactic FROM (
         SELECT * FROM entries)) WHERE tactic IS NOT NULL)
-  WHERE n <= 6 GROUP BY tactic""", "entries"))
+  GROUP BY tactic""", "entries"))
 def kill_chain_evidence(spark, sf):
     stages = rp.kill_chain(enriched(spark, sf).nodes, cut(rp.narrative(w.events(spark, sf))))
     return stages.where("evidence IS NOT NULL").select(
-        "tactic", F.size("evidence").cast("bigint").alias("lines"), F.unix_micros(F.col("evidence")[0]["time"]).alias("first_line"))
+        "tactic", F.size("evidence").cast("bigint").alias("lines"), F.unix_micros(F.col("evidence")[0]["time"]).alias("first_line"),
+        "n_lines", F.array_join(F.col("evidence.text"), " / ").alias("texts"))
 
 
-@query(sql("SELECT tactic, priority FROM (" + " UNION ALL ".join(
-    [f"SELECT {q(name)} AS tactic, {fixed.TACTIC_ACTIONS[name][0]} AS priority FROM roles WHERE (tactic_mask & {1 << i}) <> 0 HAVING count(*) > 0"
+@query(sql("SELECT tactic, label, priority, text FROM (" + " UNION ALL ".join(
+    [f"SELECT {q(name)} AS tactic, {q(fixed.TACTIC_LABEL[name])} AS label, {fixed.TACTIC_ACTIONS[name][0]} AS priority, "
+     f"{q(fixed.TACTIC_ACTIONS[name][1])} AS text FROM roles WHERE (tactic_mask & {1 << i}) <> 0 HAVING count(*) > 0"
      for i, name in enumerate(fixed.TACTICS)]
-    + [f"SELECT {q(s)}, {p} FROM ladder WHERE stage = {q(s)} AND reached" for s, (p, _) in fixed.STAGE_ACTIONS.items()]) + ")",
+    + [f"SELECT {q(s)}, {q('URGENT - ' + {x[0]: x[1] for x in fixed.STAGES}[s])}, {p}, {q(act)} FROM ladder WHERE stage = {q(s)} AND reached"
+       for s, (p, act) in fixed.STAGE_ACTIONS.items()]) + ")",
            "roles", "ladder"))
 def recommendations(spark, sf):
     events = w.events(spark, sf)
     sections = incident.incident_report(events, enriched(spark, sf), cat.catalog(spark))
-    return sections["recommendations"].select("tactic", "priority")
+    return sections["recommendations"].select("tactic", "label", "priority", "text")
 
 
 @query(sql("SELECT node_id, type, role, risk, CAST(event_count AS BIGINT) AS events FROM roles", "roles"))
@@ -265,9 +293,14 @@ ROLE_COUNTS = ", ".join(f"count(*) FILTER (WHERE role = '{x}') AS {x}_nodes" for
   (SELECT CASE WHEN s < 60 THEN s || ' seconds' WHEN s < 3600 THEN (s // 60) || ' minutes'
      WHEN s < 86400 THEN format('{{:.1f}} hours', s / 3600.0) ELSE format('{{:.1f}} days', s / 86400.0) END
    FROM (SELECT (epoch_us(max(time)) - epoch_us(min(time))) // 1000000 AS s FROM ev)) AS duration,
-  max(max_severity) AS max_severity, {ROLE_COUNTS}, (SELECT count(*) FROM iocs) AS ioc_count FROM roles""", "ev", "roles", "links", "iocs"))
+  (SELECT epoch_us(min(time)) FROM ev) AS window_from, (SELECT epoch_us(max(time)) FROM ev) AS window_to,
+  max(max_severity) AS max_severity, CASE max(max_severity) WHEN 0 THEN 'Unknown' WHEN 1 THEN 'Informational' WHEN 2 THEN 'Low'
+    WHEN 3 THEN 'Medium' WHEN 4 THEN 'High' WHEN 5 THEN 'Critical' END AS max_severity_label,
+  concat_ws(',', {', '.join(f"CASE WHEN (bit_or(tactic_mask) & {1 << i}) <> 0 THEN {q(name)} END" for i, name in enumerate(fixed.TACTICS))}) AS tactics,
+  {ROLE_COUNTS}, (SELECT count(*) FROM iocs) AS ioc_count FROM roles""", "ev", "roles", "links", "iocs"))
 def report_summary(spark, sf):
-    return rp.summary(w.events(spark, sf), enriched(spark, sf)).drop("window_from", "window_to", "max_severity_label", "tactics")
+    return rp.summary(w.events(spark, sf), enriched(spark, sf)).withColumns(
+        {"window_from": micros("window_from"), "window_to": micros("window_to"), "tactics": joined("tactics")})
 
 
 @query(sql("""SELECT CASE WHEN count(*) = 0 THEN 'Incident report' ELSE 'Incident on ' || string_agg(label, ' and ' ORDER BY n) END AS title

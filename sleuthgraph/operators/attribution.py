@@ -63,10 +63,10 @@ def candidates(f: Findings, catalog: Catalog) -> DataFrame:
         (F.size("matched") / F.col("_size")).alias("coverage"))
 
 
-def attribute(f: Findings, catalog: Catalog, limit: int = TOP_GROUPS) -> DataFrame:
-    """The best candidates, rounded for display and explained."""
-    best = candidates(f, catalog).orderBy(
-        F.desc("score"), F.desc(F.size("discriminating")), F.asc("group")).limit(limit)
+def attribute(f: Findings, catalog: Catalog, limit: int | None = TOP_GROUPS) -> DataFrame:
+    """The best candidates (None: all), rounded for display and explained."""
+    best = candidates(f, catalog).orderBy(F.desc("score"), F.desc(F.size("discriminating")), F.asc("group"))
+    best = best if limit is None else best.limit(limit)
     return best.select("group", F.round("score", 3).alias("score"), "confidence", "matched", "discriminating",
                        "note_match", F.round("note_strength", 2).alias("note_strength"),
                        F.round("coverage", 3).alias("coverage"), explanation().alias("explanation"))

@@ -122,24 +122,27 @@ def _tactic_dimension(spark: SparkSession) -> DataFrame:
                                  "tactic string, label string, rank int")
 
 
-def kill_chain(nodes: DataFrame, entries: DataFrame, n_entities: int = 12, n_lines: int = 6) -> DataFrame:
-    """Tactics seen, in chain order: the riskiest entities, the first lines of evidence, and how many there are in all.
+def kill_chain(nodes: DataFrame, entries: DataFrame, n_entities: int | None = 12, n_lines: int | None = 6) -> DataFrame:
+    """Tactics seen, in chain order: the riskiest entities, the first lines of evidence (None: all), and how many there are in all.
 
     ``entries`` is the whole narrative; the cut is made here, for each tactic.
     """
     seen = with_names(nodes).select("node_id", "type", F.col("label").alias("name"), "risk", "first_seen",
                                     F.explode("tactics").alias("tactic"))
     order = Window.partitionBy("tactic").orderBy(F.desc("risk"), "type", "name", "node_id")
-    top = seen.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n_entities)
+    within = lambda df, limit: df if limit is None else df.where(F.col("_n") <= limit)
+    top = within(seen.withColumn("_n", F.row_number().over(order)), n_entities)
     entities = top.groupBy("tactic").agg(F.array_sort(F.collect_list(F.struct("_n", "node_id", "name", "type"))).alias("entities"))
     spans = seen.groupBy("tactic").agg(F.min("first_seen").alias("first_seen"), F.count(F.lit(1)).alias("n_entities"))
     lines = entries.select("run_id", "time", "text", F.explode(F.array_distinct("tactics")).alias("tactic"))
     by_time = Window.partitionBy("tactic").orderBy("run_id")
-    shown = lines.withColumn("_n", F.row_number().over(by_time)).where(F.col("_n") <= n_lines)
+    shown = within(lines.withColumn("_n", F.row_number().over(by_time)), n_lines)
+    counts = lines.groupBy("tactic").agg(F.count(F.lit(1)).alias("_lines"))
     evidence = shown.groupBy("tactic").agg(F.array_sort(F.collect_list(F.struct("_n", "time", "text"))).alias("evidence"))
-    return (spans.join(entities, "tactic").join(evidence, "tactic", "left")
+    return (spans.join(entities, "tactic").join(evidence, "tactic", "left").join(counts, "tactic", "left")
             .join(_tactic_dimension(nodes.sparkSession), "tactic")
-            .select("tactic", "label", "rank", "first_seen", "n_entities", "entities", "evidence").orderBy("rank"))
+            .select("tactic", "label", "rank", "first_seen", "n_entities", "entities", "evidence",
+                    F.coalesce("_lines", F.lit(0)).alias("n_lines")).orderBy("rank"))
 
 
 def recommendations(stages: DataFrame, ladder: DataFrame | None = None) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import canon, fixed, values
 from ..plans.lineage import cut
 
+# Defaults of what a report shows; callers pass None for all of it.
 EVIDENCE_CHARS = 200
 BEHAVIOUR_EVIDENCE_CHARS = 220
 STAGE_EVIDENCE = 8
@@ -144,34 +145,38 @@ def sighting_host() -> Column:
     return F.coalesce(*refs, F.lit("unknown"))
 
 
-def _candidates() -> Column:
+def _shown(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def _candidates(chars: int | None) -> Column:
     """Ordered (place, position, name, evidence) structs of one event."""
     c = F.col
 
     def place(kind: str, position: int, value: Column) -> Column:
         name = canon.lower_basename(value)
         return F.when(name.isNotNull(), F.struct(F.lit(kind).alias("place"), F.lit(position).alias("position"),
-                                                 name.alias("name"), F.substring(value, 1, EVIDENCE_CHARS).alias("evidence")))
+                                                 name.alias("name"), _shown(value, chars).alias("evidence")))
 
     line = c("process.cmdline")
     tokens = F.transform(values.command_names(line), lambda n: F.struct(
         F.lit("cmdline").alias("place"), F.lit(2).alias("position"), n.alias("name"),
-        F.substring(line, 1, EVIDENCE_CHARS).alias("evidence")))
+        _shown(line, chars).alias("evidence")))
     fields = F.array(place("process", 0, c("process.name")), place("process", 1, c("process.path")),
                      place("file", 3, c("file.name")), place("file", 4, c("file.path")))
     kind = "array<struct<place:string,position:int,name:string,evidence:string>>"
     return F.array_compact(F.concat(fields.cast(kind), F.coalesce(tokens.cast(kind), F.array().cast(kind))))
 
 
-def _binary_hits(events: DataFrame, tools: DataFrame) -> DataFrame:
+def _binary_hits(events: DataFrame, tools: DataFrame, chars: int | None) -> DataFrame:
     exact = tools.select(F.col("name").alias("tool"), "exact_only")
     index = binary_index(tools).join(exact, "tool").select(F.col("pattern").alias("name"), "tool", "exact_only")
-    rows = values.unnest(events, [F.col("uid"), F.col("time"), sighting_host().alias("host")], _candidates(), "name")
+    rows = values.unnest(events, [F.col("uid"), F.col("time"), sighting_host().alias("host")], _candidates(chars), "name")
     return rows.join(index, "name").where("NOT (exact_only AND place = 'cmdline')").select(
         "uid", "time", "host", "tool", "place", "position", "evidence")
 
 
-def _fragment_hits(events: DataFrame, tools: DataFrame, most: int = MAX_AUTOMATON) -> DataFrame:
+def _fragment_hits(events: DataFrame, tools: DataFrame, most: int = MAX_AUTOMATON, chars: int | None = EVIDENCE_CHARS) -> DataFrame:
     """Fragments inside command lines.
 
     All fragments are looked for in one pass over each line by an automaton, which tasks build from at
@@ -180,7 +185,7 @@ def _fragment_hits(events: DataFrame, tools: DataFrame, most: int = MAX_AUTOMATO
     index = cut(fragment_index(tools))
     rows = (events.where(F.length("process.cmdline") >= fixed.MIN_FRAGMENT)
             .select("uid", "time", sighting_host().alias("host"), F.lower(F.col("process.cmdline")).alias("line"),
-                    F.substring("process.cmdline", 1, EVIDENCE_CHARS).alias("evidence")))
+                    _shown(F.col("process.cmdline"), chars).alias("evidence")))
     first = index.limit(most + 1).collect()
     if not first:
         found = rows.where(F.lit(False)).withColumn("tool", F.lit(""))
@@ -219,9 +224,10 @@ def _window_hits(rows: DataFrame, index: DataFrame) -> DataFrame:
     return rows.withColumn("gram", F.explode_outer(grams)).join(keyed, "gram").where(F.col("line").contains(F.col("pattern")))
 
 
-def tool_sightings(events: DataFrame, catalog: Catalog) -> DataFrame:
+def tool_sightings(events: DataFrame, catalog: Catalog, evidence_chars: int | None = EVIDENCE_CHARS) -> DataFrame:
     """One row per (event, tool), the first place wins; names before fragments."""
-    hits = _binary_hits(events, catalog.tools).unionByName(_fragment_hits(events, catalog.tools))
+    hits = _binary_hits(events, catalog.tools, evidence_chars).unionByName(
+        _fragment_hits(events, catalog.tools, chars=evidence_chars))
     first = hits.groupBy("uid", "tool").agg(F.min_by(
         F.struct("time", "host", "place", "evidence"), F.struct("position", "evidence")).alias("hit"))
     about = catalog.tools.select(F.col("name").alias("tool"), "category", "category_label", "groups")
@@ -244,7 +250,7 @@ def note_sightings(events: DataFrame, catalog: Catalog) -> DataFrame:
         F.coalesce("groups", F.array().cast("array<string>")).alias("groups"), F.col("filename").isNotNull().alias("known"))
 
 
-def behaviour_hits(events: DataFrame) -> DataFrame:
+def behaviour_hits(events: DataFrame, evidence_chars: int | None = BEHAVIOUR_EVIDENCE_CHARS) -> DataFrame:
     """One row per (event, signature) whose pattern occurs in command line or message."""
     text = F.concat_ws(" ", canon.not_in(F.col("process.cmdline"), [""]), canon.not_in(F.col("message"), [""]))
     rows = events.select("uid", "time", sighting_host().alias("host"), text.alias("text"))
@@ -252,7 +258,7 @@ def behaviour_hits(events: DataFrame) -> DataFrame:
         F.lit(sig).alias("signature"), F.lit(label).alias("label"), F.lit(stage).alias("stage"),
         F.lit(severity).alias("severity"), F.lit(mitre).alias("technique")))
         for sig, label, stage, severity, mitre, pattern in fixed.SIGNATURES]
-    kept = [F.col("uid"), F.col("time"), F.col("host"), F.substring("text", 1, BEHAVIOUR_EVIDENCE_CHARS).alias("evidence")]
+    kept = [F.col("uid"), F.col("time"), F.col("host"), _shown(F.col("text"), evidence_chars).alias("evidence")]
     return values.unnest(rows, kept, F.array_compact(F.array(*hits)), "signature")
 
 
@@ -272,8 +278,9 @@ class Findings:
     behaviours: DataFrame
 
 
-def scan(events: DataFrame, catalog: Catalog) -> Findings:
-    return Findings(tool_sightings(events, catalog), note_sightings(events, catalog), behaviour_hits(events))
+def scan(events: DataFrame, catalog: Catalog, tool_chars: int | None = EVIDENCE_CHARS,
+         behaviour_chars: int | None = BEHAVIOUR_EVIDENCE_CHARS) -> Findings:
+    return Findings(tool_sightings(events, catalog, tool_chars), note_sightings(events, catalog), behaviour_hits(events, behaviour_chars))
 
 
 def stage_dimension(spark: SparkSession) -> DataFrame:
@@ -295,19 +302,21 @@ def stage_evidence(f: Findings) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min(F.struct("time", "uid", "detail", "host")).alias("first"))
 
 
-def stage_ladder(f: Findings, spark: SparkSession) -> DataFrame:
-    """All eight stages in order: reached, raw count, up to eight pieces of evidence."""
+def stage_ladder(f: Findings, spark: SparkSession, limit: int | None = STAGE_EVIDENCE) -> DataFrame:
+    """All eight stages in order: reached, raw count, ``limit`` pieces of evidence (None: all) and how many are ``hidden``."""
     from pyspark.sql import Window
 
     found = stage_evidence(f)
     order = Window.partitionBy("stage").orderBy("kind_order", "first.time", "first.uid", "label")
-    shown = found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= STAGE_EVIDENCE)
+    placed = found.withColumn("_n", F.row_number().over(order))
+    shown = placed if limit is None else placed.where(F.col("_n") <= limit)
     listed = shown.groupBy("stage").agg(F.array_sort(F.collect_list(F.struct(
         "_n", "kind", "label", F.col("first.detail").alias("detail"), F.col("first.host").alias("host")))).alias("evidence"))
-    counts = found.groupBy("stage").agg(F.sum("n").alias("count"))
+    counts = found.groupBy("stage").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("_pieces"))
+    hidden = F.coalesce("_pieces", F.lit(0)) - F.coalesce(F.size("evidence"), F.lit(0))
     return (stage_dimension(spark).join(counts, "stage", "left").join(listed, "stage", "left")
             .select("stage_order", "stage", "label", "hint", F.col("count").isNotNull().alias("reached"),
-                    F.coalesce("count", F.lit(0)).alias("count"), "evidence").orderBy("stage_order"))
+                    F.coalesce("count", F.lit(0)).alias("count"), "evidence", hidden.alias("hidden")).orderBy("stage_order"))
 
 
 def next_stage(ladder: DataFrame) -> DataFrame:
@@ -338,9 +347,13 @@ def threat_counts(f: Findings) -> DataFrame:
 
 
 def notes_by_name(notes: DataFrame) -> DataFrame:
-    """One row per note name with its host count and hosts (distinct)."""
-    return notes.groupBy("filename").agg(F.array_sort(F.collect_set("host")).alias("hosts"),
-                                         F.count(F.lit(1)).alias("sightings"))
+    """One row per note name: on how many hosts and how often it was seen."""
+    return note_hosts(notes).groupBy("filename").agg(F.count(F.lit(1)).alias("hosts"), F.sum("sightings").alias("sightings"))
+
+
+def note_hosts(notes: DataFrame) -> DataFrame:
+    """One row per (note name, host)."""
+    return notes.groupBy("filename", "host").agg(F.count(F.lit(1)).alias("sightings"))
 
 
 def catalog_statistics(catalog: Catalog) -> DataFrame:

@@ -44,11 +44,12 @@ def neighbours_of(events: DataFrame, node_id: str, hops: int = 1, min_severity:
     return filtered_graph(events, focus=node_id, hops=hops, min_severity=min_severity, max_nodes=max_nodes)
 
 
-def threat_assessment(events: DataFrame, catalog: threat.Catalog, **event_filters) -> dict[str, DataFrame]:
-    """Detection and attribution tables over the filtered events (one scan, findings checkpointed)."""
+def threat_assessment(events: DataFrame, catalog: threat.Catalog, limit: int | None = threat.STAGE_EVIDENCE,
+                      **event_filters) -> dict[str, DataFrame]:
+    """Detection and attribution tables over the filtered events, findings written once; ``limit`` pieces of evidence a stage."""
     found = threat.scan(filter_events(events, **event_filters), catalog)
     found = threat.Findings(cut(found.tools), cut(found.notes), cut(found.behaviours))
-    ladder = threat.stage_ladder(found, events.sparkSession)
+    ladder = threat.stage_ladder(found, events.sparkSession, limit)
     return {
         "tools": found.tools, "notes": found.notes, "behaviours": threat.distinct_behaviours(found.behaviours),
         "counts": threat.threat_counts(found), "by_category": threat.tools_by_category(found.tools),

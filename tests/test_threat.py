@@ -67,6 +67,20 @@ def test_ladder_and_floor(spark, make_events):
     assert t.severity_floor(findings(spark, make_events([proc("git status")]))).first().severity_floor == 0
 
 
+def test_limits_of_evidence(spark, make_events):
+    long = "vssadmin delete shadows " + "x" * 400
+    events = make_events([proc(long)] + [proc(f"{tool} -a") for tool in ("nltest /dclist:x", "rclone copy a b")] + [file("WHALE_README.txt")])
+    f = t.scan(events, cat.catalog(spark), tool_chars=None, behaviour_chars=None)
+    assert max(len(r.evidence) for r in f.behaviours.collect()) > 400
+    whole = {r.stage: r for r in t.stage_ladder(f, spark, limit=None).collect()}
+    assert all(r.hidden == 0 for r in whole.values())
+    for r in t.stage_ladder(f, spark, limit=1).collect():
+        pieces = len(whole[r.stage].evidence or [])
+        assert r.hidden == max(0, pieces - 1) and len(r.evidence or []) == min(1, pieces)
+    assert {(r.filename, r.host, r.sightings) for r in t.note_hosts(f.notes).collect()} == {
+        (r.filename, r.host, 1) for r in f.notes.collect()}
+
+
 def test_building_the_catalog(spark):
     matrix = spark.createDataFrame([("Grab Keys*", "Net"), ("Temp[.]sh ", None)], "`Credential Theft` string, LOLBAS string")
     curated = spark.createDataFrame([("Net", ["net.exe", "net1.exe"])], "name string, patterns array<string>")
