@@ -1,7 +1,8 @@
 """Toxicity by a support vector machine on a gap-weighted subsequence kernel with Nyström landmarks.
 
-The kernel compares two segments of a sentence (words with marked ends, letters
-that stand alone in a row joined to one) by their common subsequences of four
+The kernel compares two segments of a sentence (words with marked ends; words
+with marks or repeated letters inside also without them; letters that stand
+alone in a row joined, whole and in windows) by their common subsequences of four
 characters inside windows of six, each worth ``DECAY`` to the power of what it
 spans; so inserted or left-out characters cost a little and no more.  Landmarks
 are words that set toxic training sentences apart, and common words; a squared-hinge
@@ -10,7 +11,8 @@ toxic text that the previous round finds most toxic (and copies of it with
 inserted characters) against segments of clean texts, hardest first.  Since the
 kernel has explicit features, landmarks and weights fold into one vector, and a
 segment is scored by adding up its subsequences.  A text is scored by its two
-most toxic segments, with a logistic scale fitted on the training texts.
+most toxic segments, with a logistic scale fitted on the training texts and on
+clean ones in which one witness, plain or with inserted characters, is put.
 
 Labels are read from at most ``MAX_TRAIN_ROWS`` training texts, half of either
 kind; no held-out row is among them.
@@ -27,6 +29,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,24 +45,49 @@ FEATURES = 1 << 18
 SEGMENT = 24
 OVERLAP = 6
 LANDMARKS = 320
-ROUNDS = 3
+ROUNDS = 8
+HARD = 1_000  # hardest clean segments of a round
+USUAL = 0.3  # share of the most frequent witness's texts that a planted witness has at least
+PLANTED = 0.5  # weight of all texts with a planted witness, in toxic texts
 SCORED_SEGMENTS = 1_000_000
 
 ALONE = re.compile(r"(?<!\S)\S(?:[^\S\n]+\S){2,}(?!\S)")
-EDGES = re.compile(r"^\W+|\W+$")
+EDGES = re.compile(r"^[\W_]+|[\W_]+$")
+INNER = re.compile(r"[\W_]+")
+REPEATED = re.compile(r"(.)\1+")
+SPACED = range(4, 13)  # lengths of the windows of a spaced-out run
 # offsets of the later characters of a subsequence behind its first
 STEPS = [s for s in itertools.combinations(range(1, WINDOW), ORDER - 1)]
 
 
 def segments(text: str | None) -> set[str]:
-    """The distinct segments of a text: its words in lower case, and single characters in a row joined."""
+    """The distinct segments of a text: its words in lower case with their plainer forms, and single characters in a row joined."""
     low = (text or "").lower()
-    found = set(low.split())
+    found = set()
+    for word in set(low.split()):
+        found.update(forms(word))
     for run in ALONE.findall(low):
-        found.add("".join(run.split()))
+        joined = "".join(run.split())
+        found.add(joined)
+        found.update(joined[k:k + n] for n in SPACED for k in range(len(joined) - n + 1))
     return found
 
 
+@lru_cache(maxsize=SCORED_SEGMENTS // 4)
+def forms(word: str) -> tuple[str, ...]:
+    """The word without marks at its ends; also without marks inside, and without repeated letters if it has several."""
+    bare = word if word.isalnum() else EDGES.sub("", word)
+    out = [bare]
+    if not bare.isalnum():
+        inner = INNER.sub("", bare)
+        if len(inner) >= ORDER:
+            out.append(inner)
+    single = REPEATED.sub(r"\1", out[-1])
+    if len(out[-1]) - len(single) >= 2 and len(single) >= ORDER:
+        out.append(single)
+    return tuple(out)
+
+
 def parts(segment: str) -> list[str]:
     """The segment without marks at its ends; long ones in overlapping parts."""
     bare = EDGES.sub("", segment)
@@ -201,7 +229,7 @@ def train(toxic: list[set[str]], clean: list[set[str]], seed: int = 11) -> Model
     values, vectors = np.linalg.eigh(gram.astype(float))
     root = vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])
     benign = sorted(n0)
-    positive = seeds[:60]
+    positive = first = seeds[:60]
     hard = common[:1500] + [benign[k] for k in rng.choice(len(benign), min(len(benign), 1500), replace=False)]
     model = None
     for _ in range(ROUNDS):
@@ -215,24 +243,34 @@ def train(toxic: list[set[str]], clean: list[set[str]], seed: int = 11) -> Model
         vector[used] = (landmarks.T @ (root @ w))[1:]
         model = Model(vector, bias, (0.0, 0.0, 0.0, 0.0))
         scores = dict(zip(benign, model.margins(benign).tolist(), strict=True))
-        hard = hard[:3000] + sorted(benign, key=lambda v: (-scores[v], v))[:1000]
+        hard = hard[:3000] + sorted(benign, key=lambda v: (-scores[v], v))[:HARD]
         # the witness of a toxic text: its most toxic segments that clean texts do not have
         mine = sorted({v for t in sets[0] for v in t if not n0[v]})
         score = dict(zip(mine, model.margins(mine).tolist(), strict=True))
         found = Counter(v for t in sets[0] for v in sorted((v for v in t if v in score), key=lambda v: (-score[v], v))[:2]
                         if score[v] > 0)
         positive = [v for v, _ in sorted(found.items(), key=lambda p: (-p[1], p[0]))[:700]] or positive
-    top = Scorer(model).top(toxic + clean)
+    scorer = Scorer(model)
+    top = scorer.top(toxic + clean)
+    # clean texts with one witness put in: words that a good share of the toxic texts have
+    usual = [v for v in first if n1[v] >= USUAL * n1[first[0]]]
+    planted = scorer.top([set(forms(v)) for v in usual])[:, 0]
+    planted = planted[rng.integers(len(planted), size=len(clean))]
+    below = top[len(toxic):]
+    put = np.stack([np.maximum(planted, below[:, 0]), np.maximum(np.minimum(planted, below[:, 0]), below[:, 1]), below[:, 2]], axis=1)
+    top = np.concatenate([top, put])
     a = np.stack([top[:, 0], top[:, 1], np.log1p(top[:, 2]), np.ones(len(top))], axis=1)
-    return Model(model.vector, model.bias, _scale(a, np.append(np.ones(len(toxic)), np.zeros(len(clean)))))
+    y = np.concatenate([np.ones(len(toxic)), np.zeros(len(clean)), np.ones(len(put))])
+    weight = np.concatenate([np.ones(len(toxic) + len(clean)), np.full(len(put), PLANTED * len(toxic) / len(put))])
+    return Model(model.vector, model.bias, _scale(a, y, weight))
 
 
-def _scale(a: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple:
+def _scale(a: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5) -> tuple:
     w = np.zeros(a.shape[1])
     keep = np.diag([ridge] * (a.shape[1] - 1) + [1e-6])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p) + 1e-6)[:, None]).T @ a + keep, a.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((a * (weight * p * (1 - p) + 1e-6)[:, None]).T @ a + keep, a.T @ (weight * (y - p)) - keep @ w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break

@@ -1,5 +1,6 @@
 """Packing, classifiers, extraction, decontamination and the pipeline."""
 
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -131,11 +132,43 @@ def test_toxicity(spark, corpus, documents, nothing):
     mild = toxicity.Scorer(model).top([toxicity.segments("bales fares caret")])[0, 0]
     for way in ("blorgface", "Blorg.face!", "blo*rgface", "b l o r g f a c e", "grub-toad"):
         assert toxicity.Scorer(model).top([toxicity.segments(f"bales {way} fares")])[0, 0] > mild + 0.5, way
+    clean = [text(random.Random(k), 1) for k in range(40)]
+    scorer = toxicity.Scorer(model)
+
+    def flagged(texts):
+        top = scorer.top([toxicity.segments(t) for t in texts])
+        return (model.chance(top[:, 0], top[:, 1], top[:, 2]) >= toxicity.THRESHOLD).mean()
+
+    assert flagged(clean) == 0
+    for way in (str, ".".join, "-".join, " ".join, "_".join, lambda w: w[:3] + "*" + w[3:], lambda w: "".join(c + c for c in w), str.upper):
+        for insult in insults:
+            assert flagged([f"{t} {way(insult)}" for t in clean]) >= 0.9, way(insult)
     out = toxicity.scored(documents, labels).collect()
     assert len(out) == len(corpus) and all(0 <= r.score <= 1 for r in out)
     assert toxicity.scored(nothing, labels).count() == 0 and toxicity.scored(documents, labels.limit(0)).count() == len(corpus)
 
 
+@pytest.mark.parametrize("word", ["abcdefgh", "blorgface", "ab", "übermut"])
+def test_subsequences_against_enumeration(word):
+    """Each choice of four places whose span is at most the window, worth the decay to the power of its span."""
+    marked = f"\x02{word}\x03"
+    worth = sorted(toxicity.DECAY ** (c[-1] - c[0] + 1) for c in itertools.combinations(range(len(marked)), toxicity.ORDER)
+                   if c[-1] - c[0] < toxicity.WINDOW)
+    ids, weights = toxicity.subsequences([word])
+    mine = sorted(w for w in weights[0] if w > 0)
+    norm = sum(w * w for w in worth) ** 0.5
+    assert len(mine) == len(worth) and all(abs(a - b / norm) < 1e-5 for a, b in zip(mine, worth, strict=True))
+    again, same = toxicity.subsequences([word])
+    assert (again == ids).all() and (same == weights).all()
+
+
+def test_forms_of_words():
+    assert toxicity.forms("...word!") == ("word",) and toxicity.forms("wo.rd") == ("wo.rd", "word")
+    assert toxicity.forms("wwoorrdd") == ("wwoorrdd", "word") and toxicity.forms("book") == ("book",)
+    assert toxicity.forms("") == ("",) and toxicity.forms("--") == ("",)
+    assert toxicity.segments(None) == toxicity.segments("  ") == set() and "word" in toxicity.segments("a w o r d")
+
+
 PAGES = [
     ("<html><body><nav><a href=x>Home</a></nav><article><h1>Title</h1><p>Hello <b>bold</b> &amp; more&nbsp; text\n here.<p>Next"
      "</article><aside><p>Other</p></aside><footer>&copy; me</footer></body></html>", "Title\nHello bold & more text here.\nNext"),
@@ -247,7 +280,7 @@ def test_registered_queries_match_their_sql(spark):
     sf = "/root/testdata/sf0.001"
     for name, sql in catalog.oracle_sql().items():
         assert compare.rows(catalog.queries()[name](spark, sf).toPandas()) == compare.rows(compare.duck(sf).execute(sql).df())
-    assert len([n for n in catalog.queries() if n.startswith("op")]) == 10 and "pipeline" in catalog.queries()
+    assert len([n for n in catalog.queries() if n.startswith("op")]) == 13 and "pipeline" in catalog.queries()
 
 
 def test_pipeline_rows(spark, tmp_path):
