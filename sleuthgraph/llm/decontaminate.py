@@ -199,4 +199,4 @@ def _matches(docs: DataFrame, shared, least: float) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The documents that hold no benchmark passage; documents without an id have none removed."""
     found = leaks(docs, benchmark, least).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

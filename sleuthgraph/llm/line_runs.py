@@ -13,8 +13,8 @@ is shuffled once, by its document, when its dropped lines are taken out.
 Nulls and ties: a null or empty text is one empty line; documents without an
 id keep all lines and drop none of others; rows that share an id are one
 document for the question who holds a line, and each is returned; an empty
-table gives no rows.  Columns other than ``text`` pass through; those named
-``n_lines``, ``n_dropped`` or ``_...`` are replaced.
+table gives no rows.  Columns other than ``text`` pass through, whatever their
+names; those named ``n_lines`` or ``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
@@ -125,8 +125,9 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches:
                            fan_out: int = FAN_OUT) -> DataFrame:
     """The documents with ``text`` reduced to its kept lines, ``n_lines`` (before) and ``n_dropped``."""
     gone = repeated_lines(docs, min_chars, batches, fan_out)
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped") and not c.startswith("_")]
-    rest = F.struct(F.lit(0).alias("_"), *[c for c in keep if c not in ("doc_id", "text")])
+    keep = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    # by position, so that no name of theirs meets one used here
+    rest = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep) if c not in ("doc_id", "text")])
     whole = docs.select("doc_id", F.lit(True).alias("_doc"), F.col("text").alias("_text"), rest.alias("_rest"))
     marks = gone.select("doc_id", F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
     # texts and the hashes of their dropped lines meet in one shuffle by id; all that follows stays in that partition
@@ -148,8 +149,8 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, batches:
         F.first("_rest", ignorenulls=True).alias("_rest"),
         F.collect_list(F.when(kept, F.struct("_at", "_line"))).alias("_kept")))
     text = F.when(~F.col("_null"), F.array_join(F.transform(F.array_sort("_kept"), lambda x: x["_line"]), "\n"))
-    return joined.select(*[F.col("doc_id") if c == "doc_id" else text.alias("text") if c == "text" else F.col(f"_rest.`{c}`")
-                           for c in keep], "n_lines", "n_dropped")
+    return joined.select(*[F.col("doc_id") if c == "doc_id" else text.alias("text") if c == "text" else F.col(f"_rest.c{k}").alias(c)
+                           for k, c in enumerate(keep)], "n_lines", "n_dropped")
 
 
 ORACLE = """

@@ -203,16 +203,20 @@ def held_out(doc_id: Column) -> Column:
 def scored(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with ``held_out``, ``score`` (1: good) and ``predicted``."""
     model = fit(docs, labels, max_rows)
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("held_out", "score", "predicted", *NAMES)
-           and not c.startswith("c_")]
-    return (measured(docs).select(*own, held_out(F.col("doc_id")).alias("held_out"), model.column().alias("score"))
+    own = [F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
+    return (measured(_whole(docs)).select(*own, held_out(F.col("_doc.doc_id")).alias("held_out"), model.column().alias("score"))
             .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """(_doc, text): all columns in one, so that no name of theirs meets a statistic's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "text")
+
+
 def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, as they are, whose score reaches the threshold."""
     model = fit(docs, labels, max_rows)
-    whole = docs.select(F.struct(*docs.columns).alias("_doc"), "text")
+    whole = _whole(docs)
     # the term of no weight keeps the optimiser from moving the test below the statistics, where
     # every rule would count its characters anew
     score = model.column() + F.rand(1) * 0

@@ -7,8 +7,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sleuthgraph.llm import catalog, decontaminate, html_text, packing, quality, toxicity
+from sleuthgraph.llm import catalog, decontaminate, html_text, line_runs, packing, quality, toxicity
 
 TOKENIZER = catalog.tokenizer_path()
 
@@ -375,3 +376,22 @@ def test_main_text_of_a_very_long_page():
     many = "".join(f"<div><p>Paragraph {k} of a very long page with some words in it.</p></div>" for k in range(30000))
     text = html_text.main_text(f"<html><body><nav><a href=x>x</a></nav><article>{many}</article></body></html>")
     assert text.count("\n") == 29999 and text.endswith("Paragraph 29999 of a very long page with some words in it.")
+
+
+def test_columns_of_any_name_come_through(spark, documents, corpus):
+    """Columns named like those that stages and statistics use, with null texts, repeated rows and an empty table."""
+    import corpus_pipeline
+    sf = "/root/testdata/sf0.001"
+    names = ["_keep", "_text", "n_lines", "n_dropped", "c_custkey", "upper", "digits", "score", "a.b", "others"]
+    odd = documents.select("doc_id", "text", "n_chars", *[F.concat(F.lit(f"{n} "), F.col("row")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        rows = out.collect()
+        assert out.columns == odd.columns and rows
+        assert all(r[n] == f"{n} z" for r in rows for n in names)
+        assert stage(spark, odd.limit(0), sf).count() == 0
+    marked = line_runs.without_repeated_lines(odd)
+    assert marked.columns == [c for c in odd.columns if c not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    assert marked.count() == len(corpus) and marked.select("n_lines").first()[0] >= 1
+    scored = quality.scored(odd, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert set(odd.columns) - {"score"} < set(scored.columns) and {r.upper for r in scored.collect()} == {"upper z"}
