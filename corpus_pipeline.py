@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences: filter, line dedup, near-dedup, decontaminate, pack."""
+"""From raw documents to packed training sequences: filter, line dedup, near-dedup, decontaminate, pack.
+
+Null texts pass as they are and are scored, deduplicated and packed as empty ones; an empty table gives no rows; columns
+of any name come through all stages but the last unchanged.
+"""
 
 from __future__ import annotations
 
@@ -19,15 +23,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that a smaller id also holds; documents left without text go."""
-    kept = line_runs.without_repeated_lines(docs)
+    others = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in ("doc_id", "text")])
+    kept = line_runs.without_repeated_lines(docs.select("doc_id", "text", others.alias("others")))
     emptied = (F.col("n_dropped") > 0) & (F.length(F.btrim("text", F.lit(line_runs.BLANKS))) == 0)
-    return kept.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.where(~emptied).select(*[new.get(c, F.col(f"others.c{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the smallest id."""
     gone = near_dup.near_duplicates(docs, percent=PERCENT).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
