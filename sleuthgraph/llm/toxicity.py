@@ -48,7 +48,7 @@ LANDMARKS = 320
 ROUNDS = 8
 HARD = 1_000  # hardest clean segments of a round
 USUAL = 0.3  # share of the most frequent witness's texts that a planted witness has at least
-PLANTED = 0.5  # weight of all texts with a planted witness, in toxic texts
+PLANTED = 0.05  # weight of all texts with a planted witness, in toxic texts
 SCORED_SEGMENTS = 1_000_000
 
 ALONE = re.compile(r"(?<!\S)\S(?:[^\S\n]+\S){2,}(?!\S)")
