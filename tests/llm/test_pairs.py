@@ -160,6 +160,40 @@ def test_repeats_of_any_window(spark, units, gram, size):
 def test_windows_hold_a_gram():
     with pytest.raises(ValueError):
         repeats.Shape("words", 8, 7)
+    with pytest.raises(ValueError):
+        substrings.levels(7, 8)
+
+
+def test_levels_double_at_most():
+    assert substrings.levels(35, 8) == [9, 18, 35] and substrings.levels(16, 8) == [8, 16] and substrings.levels(9, 8) == [9]
+    for window in range(1, 120):
+        steps = substrings.levels(window, 1)
+        assert steps[0] == 1 and steps[-1] == window and all(a < b <= 2 * a for a, b in zip(steps, steps[1:], strict=False))
+
+
+def test_each_window_starts_in_one_slice(monkeypatch):
+    monkeypatch.setattr(substrings, "PIECE", 400)
+    shape = pa.record_batch({"doc_id": pa.array(range(3)), "row_hash": pa.array([0] * 3, pa.int32()),
+                             "text": pa.array([" ".join(f"w{k}" for k in range(900)), None, "a b"])})
+    made = list(substrings._pieces(shape, 35))
+    assert len(made) > 3
+    starts = Counter()
+    for piece in made:
+        o = substrings._opened(piece, 35)
+        own = np.searchsorted(o["begin"], o["at"], side="right") - 1
+        starts.update((piece["doc_id"][d], at - o["begin"][d] + piece["skipped"]) for d, at in zip(own, o["at"], strict=True))
+    assert starts == Counter((0, k) for k in range(900 - 34))
+
+
+def test_no_window_reaches_over_documents():
+    at, ids = np.array([0, 1, 4, 5], dtype=np.int32), np.arange(4, dtype=np.uint64)
+    assert substrings._extended(at, ids, 3)[0].tolist() == [1]
+    empty = substrings._extended(at[:0], ids[:0], 3)
+    assert not len(empty[0]) and not len(empty[1])
+    piece = {"chunk": 1, "doc_id": [7, 8], "row_hash": [0, 0], "size": [5, 5], "skipped": 0, "body": b"a b c a b c", "n": 11}
+    assert substrings._opened(piece, 3)["at"].tolist() == [0, 4]
+    assert substrings._spans(piece | {"begin": [0, 4]}, np.array([0, 4], dtype=np.int32)) == [
+        {"doc_id": 7, "row_hash": 0, "start": 0, "n_windows": 1}, {"doc_id": 8, "row_hash": 0, "start": 0, "n_windows": 1}]
 
 
 def test_long_texts_hash_in_parts(monkeypatch):
