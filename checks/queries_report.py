@@ -112,9 +112,10 @@ def threat_counts(spark, sf):
     return t.threat_counts(found(spark, sf))
 
 
-@query(sql("SELECT filename, count(DISTINCT host) AS hosts, count(*) AS sightings FROM note_seen GROUP BY filename", "note_seen"))
+@query(sql("""SELECT filename, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts, count(DISTINCT host) AS n_hosts, count(*) AS sightings
+  FROM note_seen GROUP BY filename""", "note_seen"))
 def notes_by_name(spark, sf):
-    return t.notes_by_name(t.note_sightings(w.events(spark, sf), cat.catalog(spark)))
+    return t.notes_by_name(t.note_sightings(w.events(spark, sf), cat.catalog(spark))).withColumn("hosts", joined("hosts"))
 
 
 @query(sql("SELECT filename, host, count(*) AS sightings FROM note_seen GROUP BY ALL", "note_seen"))

@@ -31,6 +31,13 @@ def test_notes(spark, make_events):
     assert got == {("WHALE_README.txt", True), ("How_to_decrypt_abc.hta", False), ("!!!_READ_ME.txt", False)}
 
 
+def test_notes_by_name_lists_their_hosts(spark, make_events):
+    on = lambda host, name: file(name) | {"device": {"hostname": host}}
+    events = make_events([on("w2", "whale_readme.txt"), on("w1", "whale_readme.txt"), on("w2", "WHALE_README.txt"), on("w3", "!!!_READ_ME.txt")])
+    got = {r.filename: (r.hosts, r.n_hosts, r.sightings) for r in t.notes_by_name(t.note_sightings(events, cat.catalog(spark))).collect()}
+    assert got == {"WHALE_README.txt": (["w1", "w2"], 2, 3), "!!!_READ_ME.txt": (["w3"], 1, 1)}
+
+
 @pytest.mark.parametrize("command, signature", [
     ("vssadmin delete shadows /all", "shadow_copy_delete"), ("bcdedit /set x safeboot minimal", "safe_mode_boot"),
     ("sc stop sophos", "defender_disable"), ("wevtutil.exe cl System", "event_log_clear"), ("rclone copy a b", "exfil_tooling"),
