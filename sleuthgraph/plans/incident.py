@@ -19,13 +19,14 @@ from .lineage import cut
 def filtered_graph(events: DataFrame, *, entity_types: Sequence[str] | None = None,
                    relation_types: Sequence[str] | None = None, focus: str | None = None, hops: int = 1,
                    max_nodes: int = 0, weights: dict | None = None, catalog: threat.Catalog | None = None,
-                   clusters: bool = True, levels: bool = True, **event_filters) -> Graph:
+                   clusters: bool = True, levels: bool = True, built: Graph | None = None, **event_filters) -> Graph:
     """Filter, build, prune, enrich, level.
 
     Roles are decided on the pruned graph on purpose: they depend on the
-    neighbours that are still visible.
+    neighbours that are still visible.  ``built`` is the graph of the filtered
+    events, if it is at hand; the events are then not read again.
     """
-    graph = build_graph(filter_events(events, **event_filters), weights).cut()
+    graph = build_graph(filter_events(events, **event_filters), weights).cut() if built is None else built
     graph = prune(graph, entity_types, relation_types, focus, hops, max_nodes)
     graph = assign_roles(graph)
     if catalog is not None:
@@ -39,9 +40,9 @@ def filtered_graph(events: DataFrame, *, entity_types: Sequence[str] | None = No
 
 
 def neighbours_of(events: DataFrame, node_id: str, hops: int = 1, min_severity: int = 0,
-                  max_nodes: int = 0) -> Graph:
-    """Expansion of one node: its neighbourhood, enriched."""
-    return filtered_graph(events, focus=node_id, hops=hops, min_severity=min_severity, max_nodes=max_nodes)
+                  max_nodes: int = 0, built: Graph | None = None) -> Graph:
+    """Expansion of one node: its neighbourhood, enriched; ``built`` is the graph of the events from ``min_severity`` on, if at hand."""
+    return filtered_graph(events, focus=node_id, hops=hops, min_severity=min_severity, max_nodes=max_nodes, built=built)
 
 
 def threat_assessment(events: DataFrame, catalog: threat.Catalog, limit: int | None = threat.STAGE_EVIDENCE,

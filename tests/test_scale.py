@@ -3,7 +3,21 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
+from sleuthgraph.operators import graph as g
 from sleuthgraph.operators import iterate
+from sleuthgraph.plans import incident
+
+
+def test_a_built_graph_is_not_built_again(make_events):
+    events = make_events([{"class_name": "Authentication", "actor": {"user": u}, "device": {"hostname": h}}
+                          for u, h in (("ann", "w1"), ("bob", "w1"), ("cat", "w2"), ("bob", "w2"))])
+    graph = g.build_graph(events).cut()
+    unread = events.where(F.raise_error(F.lit("read again")).isNull())
+    got = incident.neighbours_of(unread, "user:ann", built=graph).nodes.select("node_id", "risk").collect()
+    assert sorted(got) == sorted(incident.neighbours_of(events, "user:ann").nodes.select("node_id", "risk").collect())
+    assert {r.node_id for r in got} == {"user:ann", "host:w1"}
 
 
 def test_labels_travel_as_numbers(spark, monkeypatch):
