@@ -96,19 +96,22 @@ def with_route(records: DataFrame) -> DataFrame:
 def _slot(by_route: dict[str, list[str]]) -> Column:
     """First filled field among the route's candidates.
 
-    The candidates are a constant array chosen by route (whole-vendor entries
-    come after the specific ones), so a slot the route does not use costs one
-    comparison chain and no map lookup.
+    The first, second, ... candidates are each chosen by route (whole-vendor entries
+    come after the specific ones), so a slot costs comparisons with the route and
+    at most as many map lookups as it has candidates, all of them compiled.
     """
-    keys = None
-    for name in sorted(by_route, key=lambda k: ("." not in k, k)):
-        exact = "." in name or name == "generic"
-        test = F.col("route") == name if exact else F.col("route").startswith(name + ".")
-        listed = F.array(*[F.lit(k) for k in by_route[name]])
-        keys = F.when(test, listed) if keys is None else keys.when(test, listed)
-    found = F.filter(F.transform(keys, lambda k: F.try_element_at("_fields", k)),
-                     lambda v: v.isNotNull() & ~v.isin(canon.EMPTY_MARKS))
-    return F.get(found, F.lit(0))
+    ordered = sorted(by_route, key=lambda k: ("." not in k, k))
+
+    def candidate(place: int) -> Column:
+        key = None
+        for name in ordered:
+            exact = "." in name or name == "generic"
+            test = F.col("route") == name if exact else F.col("route").startswith(name + ".")
+            field = F.lit(by_route[name][place] if place < len(by_route[name]) else None).cast("string")
+            key = F.when(test, field) if key is None else key.when(test, field)
+        return F.try_element_at("_filled", key)
+
+    return F.coalesce(*[candidate(k) for k in range(max(map(len, by_route.values())))])
 
 
 def with_slots(routed: DataFrame) -> DataFrame:
@@ -116,7 +119,8 @@ def with_slots(routed: DataFrame) -> DataFrame:
     staged = routed.withColumns({"_keys": F.when(ariel, F.transform(F.map_keys("record"), F.lower)),
                                  "_vals": F.when(ariel, F.map_values("record"))})
     staged = staged.withColumn("_lowered", F.when(ariel, last_wins_map(F.col("_keys"), F.col("_vals"))))
-    fields = staged.withColumn("_fields", F.coalesce("_lowered", "record")).drop("_keys", "_vals")
+    filled = F.map_filter(F.coalesce("_lowered", "record"), lambda k, v: v.isNotNull() & ~v.isin(canon.EMPTY_MARKS))
+    fields = staged.withColumn("_filled", filled).drop("_keys", "_vals")
     return fields.withColumns({f"s_{name}": _slot(by_route) for name, by_route in names.SLOTS.items()})
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canon
+from ..functions.values import unnest
 
 # Envelope keys tried in order (fixed values).
 ENVELOPE_KEYS = ["results", "events", "value", "records", "data", "hits", "rows"]
@@ -40,6 +41,12 @@ def with_entry(record: Column, key: str, value: Column) -> Column:
         F.map_concat(record, F.create_map(F.lit(key), value)))
 
 
+def marked(values: str, value: str, known: str) -> Column:
+    """The texts of an array column as structs with a mark that they are known; a null array as one null text that is not."""
+    one = lambda text, flag: F.struct(text.cast("string").alias(value), F.lit(flag).alias(known))
+    return F.coalesce(F.transform(values, lambda v: one(v, True)), F.array(one(F.lit(None), False)))
+
+
 # --- JSON -------------------------------------------------------------------------------
 
 def _starts(text: Column, mark: str) -> Column:
@@ -122,10 +129,12 @@ def _lines(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def _line_values(lines: DataFrame) -> DataFrame:
-    """One row for each JSON value of ``line`` rows; lines that are no JSON have a null ``value``.  Bracket lines are skipped."""
+    """One row for each JSON value of ``line`` rows; lines that are no JSON have a null ``value``.  Bracket lines are skipped.
+
+    ``json`` comes out of the array as well: a test on a column beside it would be pushed below and parse each line again.
+    """
     found = lines.where(~F.rtrim(F.col("line"), F.lit(",")).isin("", "[", "]")).withColumn("_values", json_values(F.col("line")))
-    return found.select(*lines.columns, F.explode(F.coalesce("_values", F.array(F.lit(None).cast("string")))).alias("value"),
-                        F.col("_values").isNotNull().alias("json"))
+    return unnest(found, [F.col(c) for c in lines.columns], marked("_values", "value", "json"), "json")
 
 
 def parse_ndjson(lines: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import canon, values
-from .records import _lines, json_values, last_wins_map, unwrap
+from .records import _lines, json_values, last_wins_map, marked, unwrap
 
 # Short extension keys and their readable names (fixed values).
 KEY_NAMES = {
@@ -131,8 +131,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     shaped = shaped.withColumns({
         "_text": F.when(has_pri, F.regexp_extract(line, PRIORITY, 2)).when(fmt == "syslog", line),
         "_severity": F.when(has_pri, (F.regexp_extract(line, PRIORITY, 1).try_cast("int") % 8).cast("string")),
-        "_json": F.explode(F.coalesce("_values", F.array(F.lit(None).cast("string")))),
     })
+    shaped = values.unnest(shaped, [F.col(c) for c in shaped.columns], marked("_values", "_json", "_known"), "_known")
     parsed = {"cef": _cef_fields(), "leef": _leef_fields(), "syslog": _syslog_fields()}
     pick = lambda i, last: F.concat(reduce(lambda acc, f: acc.when(fmt == f, parsed[f][i]), list(parsed)[1:],
                                            F.when(fmt == "cef", parsed["cef"][i])), F.array(last))

@@ -7,7 +7,31 @@ from pyspark.sql import functions as F
 
 from sleuthgraph.operators import graph as g
 from sleuthgraph.operators import iterate
+from sleuthgraph.operators import normalize as n
 from sleuthgraph.plans import incident
+from sleuthgraph.sources import records, textlogs
+
+
+def filters(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+
+
+def test_lines_are_parsed_once(spark):
+    lines = ['{"a": 1}', '{"a": 2} {"a": 3},', "[]", "[1, {\"a\": 4}]", "text", "", None, "[", '{"a":']
+    rows = spark.createDataFrame([(x, "f") for x in lines], "line string, origin_file string")
+    parsed = records.parse_ndjson(rows)
+    assert not any("from_json" in x for x in filters(parsed)) and not any("from_json" in x for x in filters(textlogs.parse_lines(rows)))
+    assert sorted(r.record["a"] for r in parsed.collect()) == ["1", "2", "3", "4"]
+    assert sorted(r.line for r in records.ndjson_rejects(rows).collect()) == ["1", "text", '{"a":']
+
+
+def test_slots_are_compiled(spark):
+    rows = spark.createDataFrame([({"sourcetype": "x", "_time": "1", "user": "-", "Account_Name": "ann", "EventCode": "4624"},)], "record map<string,string>")
+    slots = n.with_slots(n.with_route(rows))
+    assert slots.select("s_user", "s_device").collect() == [("ann", None)]
+    plan = slots.select("s_user")._jdf.queryExecution().analyzed().toString()
+    assert "filter(transform(" not in plan
 
 
 def test_a_built_graph_is_not_built_again(make_events):
