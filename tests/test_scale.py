@@ -3,15 +3,30 @@
 import itertools
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from sleuthgraph.operators import graph as g
 from sleuthgraph.operators import iterate
 from sleuthgraph.operators import normalize as n
 from sleuthgraph.plans import incident
+from sleuthgraph.plans.session import spread
 from sleuthgraph.sources import records, textlogs
 
 
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    pq.write_table(pa.table({"id": list(range(40_000)), "text": [str(random.random()) for _ in range(40_000)]}), tmp_path / "one.parquet")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        scan = spark.read.parquet(str(tmp_path / "one.parquet"))
+        assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [r["count"] for r in spread(scan).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum(sizes) == 40_000 and max(sizes) <= 10_000
+
+
 def filters(df):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     return [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
