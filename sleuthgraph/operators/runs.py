@@ -15,7 +15,8 @@ from ..plans.lineage import cut
 
 def number_runs(rows: DataFrame, order: list[str], same: list[str]) -> DataFrame:
     """``rows`` plus ``run_id`` (0, 1, ... in order) and ``_pos``; equal neighbours on ``same`` share a run."""
-    ordered = cut(rows.orderBy(*order).withColumn("_pos", F.monotonically_increasing_id()))
+    # written first: a range sort runs its input twice, once to sample the order
+    ordered = cut(cut(rows).orderBy(*order).withColumn("_pos", F.monotonically_increasing_id()))
     marked = ordered.withColumns({"_part": F.shiftright("_pos", 33), "_key": F.struct(*same)})
     lasts = marked.groupBy("_part").agg(F.max_by("_key", "_pos").alias("_last"))
     handed = lasts.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_handed"))

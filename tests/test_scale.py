@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from sleuthgraph.operators import graph as g
-from sleuthgraph.operators import iterate
+from sleuthgraph.operators import iterate, runs
 from sleuthgraph.operators import normalize as n
 from sleuthgraph.plans import incident
 from sleuthgraph.plans.session import spread
@@ -59,6 +59,19 @@ def test_a_built_graph_is_not_built_again(make_events):
     assert {r.node_id for r in got} == {"user:ann", "host:w1"}
 
 
+def test_runs_take_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(value):
+        seen.add(1)
+        return str(value // 10)
+
+    rows = spark.range(100).select("id", told("id").alias("text"))
+    assert runs.number_runs(rows, ["id"], ["text"]).where("run_id = id div 10").count() == 100
+    assert seen.value == 100
+
+
 def test_labels_travel_as_numbers(spark, monkeypatch):
     ids = [f"n{k}" for k in range(30)]
     chosen = random.Random(7).sample(list(itertools.combinations(ids, 2)), 45)
