@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sleuthgraph.operators import graph as g
 from sleuthgraph.operators import iterate, runs
+from sleuthgraph.operators import mentions as m
 from sleuthgraph.operators import normalize as n
 from sleuthgraph.plans import incident
 from sleuthgraph.plans.session import spread
@@ -89,3 +90,47 @@ def test_labels_travel_as_numbers(spark, monkeypatch):
         labels = {x: min(set(v), key=lambda c: (-v.count(c), c)) for x, v in heard.items()}
     assert got == labels | {None: None}
     assert {d["label"] for d in kept if "label" in d} == {"bigint"}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_masks_and_mentions_are_columns_before_the_generator(make_events):
+    """What stands beside a generator is computed for each row it returns, and its own expression is interpreted."""
+    events = make_events([{"class_name": "Authentication", "actor": {"user": "ann"}, "device": {"hostname": "w1"}}])
+    for df in (m.graph_mentions(events), m.entity_mentions(events), m.relation_mentions(events)):
+        above, below = plan_of(df.drop("uid")).split("Generate ", 1)
+        assert "element_at" not in above and "aggregate(" not in above
+        assert below.startswith("inline(_mentions#")
+
+
+def test_relations_build_ids_only(make_events):
+    events = make_events([{"class_name": "Authentication", "actor": {"user": "ann"}, "device": {"hostname": "w1"}}])
+    assert "label," not in plan_of(m.relation_mentions(events))
+    assert m.relation_mentions(events).select("source", "target", "rel", "detail").collect() == [("user:ann", "host:w1", "authenticated", None)]
+
+
+def test_mentions_of_one_array_are_those_of_two(make_events):
+    """Events that name a node twice, once or not at all, of every class and with extra entities."""
+    chosen = random.Random(3)
+    pick = lambda *xs: chosen.choice([None, *xs])
+    end = lambda: pick({"hostname": "w1"}, {"hostname": "W1.corp", "ip": "10.0.0.1"}, {"ip": "10.0.0.1"}, {"hostname": "10.0.0.1"}, {"ip": "8.8.8.8"})
+    image = lambda: pick({"name": "a.exe", "path": "C:\\a.exe", "parent_name": "C:\\A.exe"}, {"name": "a.exe"},
+                         {"name": "b.exe", "parent_name": "a.exe"})
+    rows = [{"class_name": kind, "actor": pick({"user": "ann"}, {"user": "CORP\\Ann"}), "device": end(), "src": end(), "dst": end(),
+             "process": image(), "file": pick({"name": "f.txt"}, {"name": "F.txt", "path": "C:\\f.txt", "md5": "d" * 32}),
+             "email": pick({"sender": "a@x.org", "recipient": "A@x.org"}, {"sender": "b@x.org", "recipient": "a@x.org", "url": "http://x.org/a"}),
+             "domain": pick("x.org", "10.0.0.1"), "app": pick("Portal"), "source": pick("splunk", "other"),
+             "extra_entities": pick([{"type": "host", "value": "w1"}], [{"type": "host", "value": "w1"}, {"type": "user", "value": ""}], []),
+             "mitre": pick([], [{"id": "T1486", "name": "x", "tactic": "impact"}])}
+            for kind in ("Authentication", "Process Activity", "Network Activity", "File System Activity", "DNS Activity", "Email Activity",
+                         "Account Change", "Detection Finding", None) for _ in range(60)]
+    events = make_events(rows)
+    ents = m.entity_mentions(events).select("uid", "source_mask", "tactic_mask", F.lit(0).alias("kind"), "node_id", "type", "label", "ip", "path")
+    rels = m.relation_mentions(events).select("uid", "source_mask", F.lit(1).alias("kind"), "source", "target", "rel")
+    got = m.graph_mentions(events)
+    assert sorted(map(str, got.where("kind = 0").select("uid", "source_mask", "tactic_mask", "kind", "a", "b", "c", "ip", "path").collect())) == sorted(
+        str(r).replace("node_id=", "a=").replace("type=", "b=").replace("label=", "c=") for r in ents.collect())
+    assert sorted(map(tuple, got.where("kind = 1").select("uid", "source_mask", "kind", "a", "b", "c").collect())) == sorted(map(tuple, rels.collect()))
+    assert got.where("kind = 0").groupBy("uid", "a").count().where("count > 1").isEmpty()
