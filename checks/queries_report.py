@@ -222,7 +222,7 @@ STEPS["iocs"] = (f"""SELECT type AS kind, CASE WHEN type = 'hash' THEN split_par
 
 
 def enriched(spark, sf):
-    return r.assign_roles(built(spark, sf)).cut()
+    return incident.with_roles(built(spark, sf).cut())
 
 
 @query(sql("SELECT kind, value, algo, role, risk FROM iocs", "iocs"))

@@ -16,6 +16,14 @@ from ..operators.roles import annotate_tools, assign_roles
 from .lineage import cut
 
 
+def with_roles(graph: Graph, catalog: threat.Catalog | None = None) -> Graph:
+    """Roles (and known tools) of a graph whose links are written: of the result only the nodes are."""
+    graph = assign_roles(graph)
+    if catalog is not None:
+        graph = annotate_tools(graph, threat.binary_index(catalog.tools), catalog.tools)
+    return replace(graph, nodes=cut(graph.nodes))
+
+
 def filtered_graph(events: DataFrame, *, entity_types: Sequence[str] | None = None,
                    relation_types: Sequence[str] | None = None, focus: str | None = None, hops: int = 1,
                    max_nodes: int = 0, weights: dict | None = None, catalog: threat.Catalog | None = None,
@@ -26,12 +34,11 @@ def filtered_graph(events: DataFrame, *, entity_types: Sequence[str] | None = No
     neighbours that are still visible.  ``built`` is the graph of the filtered
     events, if it is at hand; the events are then not read again.
     """
-    graph = build_graph(filter_events(events, **event_filters), weights).cut() if built is None else built
-    graph = prune(graph, entity_types, relation_types, focus, hops, max_nodes)
-    graph = assign_roles(graph)
-    if catalog is not None:
-        graph = annotate_tools(graph, threat.binary_index(catalog.tools), catalog.tools)
-    graph = graph.cut()
+    whole = build_graph(filter_events(events, **event_filters), weights).cut() if built is None else built
+    graph = prune(whole, entity_types, relation_types, focus, hops, max_nodes)
+    if built is not None or graph.links is not whole.links:
+        graph = replace(graph, links=cut(graph.links))
+    graph = with_roles(graph, catalog)
     if clusters:
         graph = replace(graph, nodes=cut(assign_clusters(graph)))
     if levels:

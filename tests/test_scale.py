@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from checks import queries_report
 from sleuthgraph.operators import graph as g
 from sleuthgraph.operators import iterate, runs
 from sleuthgraph.operators import mentions as m
@@ -134,3 +135,23 @@ def test_mentions_of_one_array_are_those_of_two(make_events):
         str(r).replace("node_id=", "a=").replace("type=", "b=").replace("label=", "c=") for r in ents.collect())
     assert sorted(map(tuple, got.where("kind = 1").select("uid", "source_mask", "kind", "a", "b", "c").collect())) == sorted(map(tuple, rels.collect()))
     assert got.where("kind = 0").groupBy("uid", "a").count().where("count > 1").isEmpty()
+
+
+def test_roles_read_a_written_graph(spark, make_events, monkeypatch):
+    events = make_events([{"class_name": "Authentication", "actor": {"user": u}, "device": {"hostname": h}}
+                          for u, h in (("ann", "w1"), ("bob", "w1"), ("cat", "w2"))])
+    given, written = [], []
+    monkeypatch.setattr(queries_report, "built", lambda spark, sf: g.build_graph(events))
+    monkeypatch.setattr(incident, "assign_roles", lambda graph, real=incident.assign_roles: given.append(graph) or real(graph))
+    for module in (incident, g):
+        monkeypatch.setattr(module, "cut", lambda df, real=g.cut: written.append(df.columns) or real(df))
+    roles = queries_report.enriched(spark, "")
+    assert {r.node_id: r.role for r in roles.nodes.collect()} == {f"{k}": "asset" for k in ("user:ann", "user:bob", "user:cat", "host:w1", "host:w2")}
+    assert "Join" not in plan_of(given[0].nodes) and "Join" not in plan_of(given[0].links)
+    assert sum("link_id" in x for x in written) == 1
+    written.clear()
+    incident.filtered_graph(events, clusters=False, levels=False)
+    assert sum("link_id" in x for x in written) == 1
+    written.clear()
+    pruned = incident.filtered_graph(events, entity_types=["user"], clusters=False, levels=False)
+    assert sum("link_id" in x for x in written) == 2 and pruned.links.count() == 0
