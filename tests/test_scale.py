@@ -155,3 +155,59 @@ def test_roles_read_a_written_graph(spark, make_events, monkeypatch):
     written.clear()
     pruned = incident.filtered_graph(events, entity_types=["user"], clusters=False, levels=False)
     assert sum("link_id" in x for x in written) == 2 and pruned.links.count() == 0
+
+
+def voted(nodes, pairs, rounds=12):
+    """Label rounds by hand: a node given several times votes as often, pairs count once in each direction."""
+    times = {x: nodes.count(x) for x in nodes if x is not None}
+    ends = {(a, b) for a, b in pairs if a in times and b in times}
+    near = {x: {b for a, b in ends | {(b, a) for a, b in ends} if a == x} for x in times}
+    labels = {x: x for x in times}
+    for _ in range(rounds):
+        heard = {x: [labels[x]] * times[x] + [labels[y] for y in near[x] for _ in range(times[y])] for x in times}
+        labels = {x: min(set(v), key=lambda c: (-v.count(c), c)) for x, v in heard.items()}
+    return labels | {None: None}
+
+
+def odd_graph():
+    """Repeated nodes and links, links both ways, to oneself, to nowhere and to a node that is not given; a node without links; a hub."""
+    ids = [f"n{k:02d}" for k in range(70)]
+    chosen = random.Random(11).sample(list(itertools.combinations(ids[:-1], 2)), 90)
+    pairs = [*chosen, *chosen[:20], *[(b, a) for a, b in chosen[10:30]], *[("n50", x) for x in ids[:40]], ("n05", "n05"), ("n60", "n60"),
+             (None, "n01"), ("n02", None), (None, None), ("n03", "gone"), ("gone", "away")]
+    return [*ids, None, *ids[20:30], *ids[25:30], None], pairs
+
+
+def test_labels_of_many_slices(spark, monkeypatch):
+    from sleuthgraph.operators import slices
+    monkeypatch.setattr(slices, "LEAST", 8)
+    monkeypatch.setattr(slices, "PER_SLICE", 16)
+    monkeypatch.setattr(slices, "CHUNK", 8)
+    monkeypatch.setattr(iterate, "FEW", 0)
+    nodes, pairs = odd_graph()
+    assert slices.slice_bits(70, len(pairs), 4) >= 4
+    links = spark.createDataFrame(pairs, "source string, target string")
+    for rounds in (0, 1, 2, 12):
+        got = iterate.label_propagation(spark.createDataFrame([(x,) for x in nodes], "node_id string"), links, rounds).collect()
+        assert sorted(str(r.node_id) for r in got) == sorted(map(str, nodes))
+        assert {r.node_id: r.label for r in got} == voted(nodes, pairs, rounds)
+    none = spark.createDataFrame([], "node_id string")
+    assert iterate.label_propagation(none, links).collect() == []
+    assert iterate.label_propagation(none.unionByName(spark.createDataFrame([("a",)], "node_id string")), links.limit(0)).collect() == [("a", "a")]
+
+
+def test_edges_are_no_rows_and_nodes_are_read_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(value):
+        seen.add(1)
+        return value
+
+    written = []
+    monkeypatch.setattr(iterate, "cut", lambda df, real=iterate.cut: written.append(real(df)) or written[-1])
+    pairs = random.Random(5).sample(list(itertools.combinations([f"n{k:02d}" for k in range(40)], 2)), 200)
+    nodes = spark.createDataFrame([(f"n{k:02d}",) for k in range(40)], "node_id string").select(told("node_id").alias("node_id"))
+    iterate.label_propagation(nodes, spark.createDataFrame(pairs, "source string, target string")).collect()
+    assert seen.value == 40
+    assert max(df.count() for df in written) == len(pairs)
